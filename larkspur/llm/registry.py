@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_url_filter
+from larkspur.llm import q_quality, q_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_url_filters": q_url_filter.op7_url_filters}
+    return {
+        "op2_quality_rules": q_quality.op2_quality_rules,
+        "op7_url_filters": q_url_filter.op7_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": q_url_filter.SQL}
+    return {
+        "op2_quality_rules": q_quality.SQL,
+        "op7_url_filters": q_url_filter.SQL,
+    }
