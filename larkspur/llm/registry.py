@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_quality, q_url_filter
+from larkspur.llm import q_decontaminate, q_quality, q_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": q_decontaminate.op1_decontamination,
         "op2_quality_rules": q_quality.op2_quality_rules,
         "op7_url_filters": q_url_filter.op7_url_filters,
     }
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": q_decontaminate.SQL,
         "op2_quality_rules": q_quality.SQL,
         "op7_url_filters": q_url_filter.SQL,
     }
