@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_decontaminate, q_jaccard, q_quality, q_url_filter
+from larkspur.llm import q_decontaminate, q_jaccard, q_quality, q_repeats, q_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": q_decontaminate.op1_decontamination,
         "op2_quality_rules": q_quality.op2_quality_rules,
+        "op6_suffix_dedup": q_repeats.op6_suffix_dedup,
         "op7_url_filters": q_url_filter.op7_url_filters,
         "op10_jaccard_join": q_jaccard.op10_jaccard_join,
     }
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": q_decontaminate.SQL,
         "op2_quality_rules": q_quality.SQL,
+        "op6_suffix_dedup": q_repeats.SQL,
         "op7_url_filters": q_url_filter.SQL,
         "op10_jaccard_join": q_jaccard.SQL,
     }
