@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACE, let
+from larkspur.llm.common import let, materialize
 
 WINDOW = 8
 MIN_LITERAL = 5
@@ -28,67 +28,61 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that follow a number.
 UNITS = "kg|mg|g|km|cm|mm|m|l|ml|mph|kmh|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|dollars?|euros?|cents?|percent|miles?|meters?|metres?|feet|inches"
 
-#: Steps as (pattern, replacement), in syntax that Java and RE2 share; group references are written for Java.
+#: Words are what white space and ASCII punctuation separate.
+SEPARATOR = "[\\x09-\\x0D\\x20-/:-@\\[-`{-~]+"
+MARK = "[\ue000-\ue002]"
+#: Steps as (condition, [(pattern, replacement)]), in syntax that Java and RE2 share; group references are written
+#: for Java. A text that does not meet a condition is left as it is.
 STEPS = [
-    ("[\ue000-\ue002]", ""),
+    (MARK, [(MARK, "")]),
     # a capital letter that does not begin a sentence; twice, as neighbours share a letter
-    ("([^.!?:\\x20\\x09-\\x0D]\\x20)([A-Z][a-z])", f"$1{NAME}$2"),
-    ("([^.!?:\\x20\\x09-\\x0D]\\x20)([A-Z][a-z])", f"$1{NAME}$2"),
-    ("[0-9]+([.,][0-9]+)*", f"{NUMBER}$0"),
-    (f"({NUMBER}[0-9.,]+\\x20?)({UNITS})\\b", f"$1{UNIT}$2"),
-    ("[!-/:-@\\[-`{-~]+", ""),
+    ("[^.!?:\\x20\\x09-\\x0D]\\x20[A-Z][a-z]", [("([^.!?:\\x20\\x09-\\x0D]\\x20)([A-Z][a-z])", f"$1{NAME}$2")] * 2),
+    # 1,000.5 is one number; twice, as neighbours share a digit
+    ("[0-9]", [("([0-9])[.,]([0-9])", "$1$2")] * 2 + [("[0-9]+", f"{NUMBER}$0"), (f"({NUMBER}[0-9]+\\x20?)({UNITS})\\b", f"$1{UNIT}$2")]),
 ]
-BLANK = ("([\ue000-\ue002])[^\\x20\\x09-\\x0D]*", "$1")
+#: A word with a mark keeps what stands up to the mark.
+BLANK = (f"({MARK})[^\\x09-\\x0D\\x20-/:-@\\[-`{{-~]*", "$1")
 
 
 def marked(text: Column) -> Column:
-    """Lower-cased text without ASCII punctuation; a placeholder mark stands before each slot's value."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern, replacement in STEPS:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.lower(out)
+    """Lower-cased text in which a placeholder mark stands before each slot's value."""
 
+    def steps(t: Column, rest: list) -> Column:
+        if not rest:
+            return F.lower(t)
+        (condition, replaces), rest = rest[0], rest[1:]
+        out = t
+        for pattern, replacement in replaces:
+            out = F.regexp_replace(out, pattern, replacement)
+        return let(F.when(t.rlike(condition), out).otherwise(t), lambda v: steps(v, rest))
 
-def windows_of(rows: DataFrame, key: str) -> DataFrame:
-    """rows(key, text) to (key, pos, h, slots): a row for each window with enough plain words.
+    return let(F.coalesce(text, F.lit("")), lambda t: steps(t, STEPS))
 
-    slots holds the window's words with a mark, in order; null for texts without any mark.
-    """
 
-    def split(t: Column) -> Column:
-        return F.array_remove(F.split(t, SPACE), "")
+def words_of(t: Column) -> Column:
+    return F.array_remove(F.split(t, SEPARATOR), "")
 
-    def with_slots(canon: Column, raw: Column) -> Column:
-        def one(i: Column) -> Column:
-            slots = F.filter(F.slice(raw, i + 1, WINDOW), lambda w: w.rlike("[\ue000-\ue002]"))
-            return let(slots, lambda s: F.when(F.size(s) <= WINDOW - MIN_LITERAL, F.struct(hashed(canon, i).alias("h"), i.alias("pos"), s.alias("slots"))))
 
-        return F.filter(F.transform(starts(canon), one), lambda w: w.isNotNull())
+def window_hashes(t: Column) -> Column:
+    """A hash for each window of the canonical words of a marked text, in order."""
+    canon = words_of(F.when(t.rlike(MARK), F.regexp_replace(t, *BLANK)).otherwise(t))
 
-    def without(canon: Column) -> Column:
-        none = F.lit(None).cast("array<string>")
-        return let(
-            F.transform(canon, lambda w: F.xxhash64(w)),
-            lambda h: F.transform(starts(h), lambda i: F.struct(joined(h, i).alias("h"), i.alias("pos"), none.alias("slots"))),
-        )
+    def windows(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
 
-    def joined(h: Column, i: Column) -> Column:
-        return F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
+    none = F.array().cast("array<bigint>")
+    return let(canon, lambda c: F.when(F.size(c) < WINDOW, none).otherwise(let(F.transform(c, lambda w: F.xxhash64(w)), windows)))
 
-    def hashed(canon: Column, i: Column) -> Column:
-        return F.xxhash64(*[F.xxhash64(F.get(canon, i + k)) for k in range(WINDOW)])
 
-    def starts(a: Column) -> Column:
-        return F.sequence(F.lit(0), F.size(a) - WINDOW)
+def slots_at(t: Column, pos: Column) -> Column:
+    """The words with a mark in the window at pos, in order."""
+    return F.filter(F.slice(words_of(t), pos + 1, WINDOW), lambda w: w.rlike(MARK))
 
-    def from_marked(t: Column) -> Column:
-        empty = F.array().cast("array<struct<h:bigint,pos:int,slots:array<string>>>")
-        return (
-            F.when(~t.rlike("[\ue000-\ue002]"), let(split(t), lambda c: F.when(F.size(c) < WINDOW, empty).otherwise(without(c))))
-            .otherwise(let(split(F.regexp_replace(t, *BLANK)), lambda c: let(split(t), lambda r: F.when(F.size(c) < WINDOW, empty).otherwise(with_slots(c, r)))))
-        )
 
-    return rows.select(key, F.explode(let(marked(F.col("text")), from_marked)).alias("w")).select(key, "w.pos", "w.h", "w.slots")
+def windows_of(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, text) to (key, t, pos, h): a row for each window; t is the marked text."""
+    return rows.select(key, marked(F.col("text")).alias("t")).select(key, "t", F.posexplode(window_hashes(F.col("t"))).alias("pos", "h"))
 
 
 def one_to_one(pairs: Column) -> Column:
@@ -100,11 +94,16 @@ def one_to_one(pairs: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pairs (doc_id, item_id, n_windows, n_item_windows) where docs(doc_id, text) holds enough of an item."""
     items = windows_of(benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()), "item_id")
+    items = items.select("item_id", F.col("pos").alias("item_pos"), "h", slots_at(F.col("t"), F.col("pos")).alias("item_slots"))
+    items = materialize(items.where(F.size("item_slots") <= WINDOW - MIN_LITERAL).distinct(), "items")
     sizes = items.groupBy("item_id").agg(F.countDistinct("h").alias("n_item_windows"))
-    items = items.select("item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "h").distinct()
+    rows = windows_of(docs.select("doc_id", "text"), "doc_id")
     if items.count() <= BROADCAST_WINDOWS:
-        items, sizes = F.broadcast(items), F.broadcast(sizes)
-    hits = windows_of(docs.select("doc_id", "text"), "doc_id").join(items, "h")
+        # the text stays in its task until a window of it has matched
+        hits = rows.join(F.broadcast(items), "h").withColumn("slots", slots_at(F.col("t"), F.col("pos")))
+    else:
+        wide = rows.withColumn("slots", F.when(F.col("t").rlike(MARK), slots_at(F.col("t"), F.col("pos")))).drop("t")
+        hits = wide.join(items, "h").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
     # a copy of an item with gaps has one alignment a piece; an item has few windows, so the sets are small
     pairs = F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))
     aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import decontaminate as d
-from larkspur.llm.common import SPACE, table
+from larkspur.llm.common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +18,16 @@ def _re2(replacement: str) -> str:
 
 def _marked(text: str) -> str:
     out = f"coalesce({text}, '')"
-    for pattern, replacement in d.STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{_re2(replacement)}', 'g')"
+    for _, replaces in d.STEPS:
+        for pattern, replacement in replaces:
+            out = f"regexp_replace({out}, '{pattern}', '{_re2(replacement)}', 'g')"
     return f"lower({out})"
 
 
 def _windows(table: str, key: str) -> str:
-    split = lambda t: f"[x FOR x IN regexp_split_to_array({t}, '{SPACE}') IF x <> '']"
+    split = lambda t: f"[x FOR x IN regexp_split_to_array({t}, '{d.SEPARATOR}') IF x <> '']"
     return f"""
-  SELECT rid, {key}, i, c[i:i + {d.WINDOW - 1}] AS w, [x FOR x IN r[i:i + {d.WINDOW - 1}] IF regexp_matches(x, '[\ue000-\ue002]')] AS slots
+  SELECT rid, {key}, i, c[i:i + {d.WINDOW - 1}] AS w, [x FOR x IN r[i:i + {d.WINDOW - 1}] IF regexp_matches(x, '{d.MARK}')] AS slots
   FROM (
     SELECT rid, {key}, c, r, unnest(range(1, len(c) - {d.WINDOW - 2})) AS i
     FROM (SELECT rid, {key}, {split("t")} AS r, {split(f"regexp_replace(t, '{d.BLANK[0]}', '{_re2(d.BLANK[1])}', 'g')")} AS c
