@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_decontaminate, q_jaccard, q_quality, q_repeats, q_url_filter
+from larkspur.llm import q_decontaminate, q_jaccard, q_licenses, q_quality, q_quotes, q_repeats, q_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": q_decontaminate.op1_decontamination,
         "op2_quality_rules": q_quality.op2_quality_rules,
+        "op3_license_scan": q_licenses.op3_license_scan,
         "op6_suffix_dedup": q_repeats.op6_suffix_dedup,
         "op7_url_filters": q_url_filter.op7_url_filters,
+        "op9_chat_quotes": q_quotes.op9_chat_quotes,
         "op10_jaccard_join": q_jaccard.op10_jaccard_join,
     }
 
