@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_decontaminate, q_jaccard, q_licenses, q_quality, q_quotes, q_repeats, q_url_filter
+from larkspur.llm import q_decontaminate, q_html_text, q_jaccard, q_licenses, q_quality, q_quotes, q_repeats, q_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": q_licenses.op3_license_scan,
         "op6_suffix_dedup": q_repeats.op6_suffix_dedup,
         "op7_url_filters": q_url_filter.op7_url_filters,
+        "op8_html_text": q_html_text.op8_html_text,
         "op9_chat_quotes": q_quotes.op9_chat_quotes,
         "op10_jaccard_join": q_jaccard.op10_jaccard_join,
     }
