@@ -2,20 +2,23 @@
 
 Tokens are hashes of word shingles. Documents with equal token sets form a class and one stands for all.
 
-1. Prefixes: a document's tokens stand in one order for all (longer shingles first, then by hash). Two sets
-   that link share a token within their prefixes. Tokens of the prefixes are indexed singly; a token that
-   at most RARE classes have in their prefix gives all its pairs.
-2. A token that more classes have is frequent. Documents with a frequent token in the prefix are indexed by
-   combinations of tokens instead: the prefix is extended to the whole set, which is split by hash into
-   more parts than the tokens in which two linked sets of that size can differ, and the combination of all
-   tokens of a part is one key. So linked sets share a key, and texts that only share a passage share none.
-   Sizes are put in classes; a set is split for its own size class and for the next one.
+1. Prefixes: a document's tokens stand in one order for all (longer shingles first, then by hash). Prefixes are
+   extended so that two sets that link share m tokens within both. The tokens are indexed singly; a token that
+   at most RARE classes have in their prefix gives its pairs, which count if they meet often enough: m times, less
+   the frequent tokens that the two may share as well.
+2. A token that more classes have is frequent. Documents with m frequent tokens in the prefix are indexed by
+   combinations of tokens too: the prefix is extended to the whole set, which is split by hash into more parts
+   than the tokens in which two linked sets of that size can differ, and the combination of all tokens of a
+   part is one key. So linked sets share a key, and texts that only share a passage share none. Sizes are put in
+   classes; a set is split for its own size class and for the next one.
 3. Small groups of a combination give all pairs. A large group gives pairs with one pivot; once these are
    verified and merged, only pairs between different components remain, again by pivots, round by round.
 4. Candidates are verified on whole sets, made again from the texts.
 
-A pair of documents may share only frequent tokens in its prefixes, or a rare one: step 2 covers the first
-case, step 1 the second, so no link is lost.
+Of the m tokens that linked sets share in their prefixes all are frequent, or one is rare: step 2 covers the
+first case, step 1 the second, so no link is lost.
+
+A token's index group has a row a document at most, where a document has some 0.18 n rows: one task can hold it.
 
 Null and empty texts have no tokens and link with nothing. Rows with one doc_id are one document, come back
 once, and have the largest of their texts; rows without doc_id are left out. Extra columns are ignored.
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.bytes import mix, shingles
@@ -55,6 +58,11 @@ def at_least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n: int) -> int:
+    """m: how many tokens linked sets share within their prefixes, the smaller having n tokens."""
+    return 1 + n // 40
+
+
 def apart(n: int, percent: int) -> int:
     """Most tokens in which a set of up to n and a linked one of up to n differ."""
     return (100 - percent) * 2 * n // (100 + percent)
@@ -106,7 +114,7 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 ids.append(doc)
                 ns.append(len(h))
                 digests.append(hashlib.blake2b(np.sort(h).tobytes(), digest_size=16).digest())
-                p = h[: len(h) - at_least(len(h), percent) + 1] if len(h) else h
+                p = h[: len(h) - at_least(len(h), percent) + shared_least(len(h))]
                 values.append(p.view(np.int64))
                 offsets.append(offsets[-1] + len(p))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
@@ -157,27 +165,30 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near(n: str, m: str, percent: int) -> F.Column:
+def near(n: str, m: str, percent: int) -> Column:
     """Whether sets of these sizes can link."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def small_group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """All pairs of groups(key, members), each of a bounded number of members struct(doc, n)."""
+def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs of groups(key, members), each of a bounded number of members struct(doc, n, f)."""
     first = groups.select("members", F.posexplode("members").alias("i", "x"))
     pair = first.select("x", F.explode(F.expr("slice(members, i + 2, size(members))")).alias("y"))
-    return pair.where(near("x.n", "y.n", percent)).select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
+    return pair.where(near("x.n", "y.n", percent)).select(
+        F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"), F.least("x.n", "y.n").alias("n"), F.least("x.f", "y.f").alias("f")
+    )
 
 
 def grouped(index: DataFrame) -> DataFrame:
-    """index(key, doc, n) with the group's size and least member, for groups of two or more."""
-    sizes = index.groupBy("key").agg(F.count("*").alias("held"), F.min("doc").alias("pivot")).where("held > 1")
-    return index.join(sizes, "key")
+    """index(key, doc, n) with the group's size and its least member, for groups of two or more; one shuffle."""
+    dealt = index.repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct("doc", "n")).alias("pivot")).where("held > 1")
+    return dealt.join(sizes, "key")
 
 
 def collected(index: DataFrame) -> DataFrame:
     """Groups of at most RARE members as arrays."""
-    return index.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n"))).alias("members"))
+    return index.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "f"))).alias("members"))
 
 
 def single(rows: DataFrame) -> DataFrame:
@@ -198,17 +209,21 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     reps = found.join(classes.select("digest", F.col("doc").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     index = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"), "n")
     shared = materialize(grouped(index), "shared")
-    rare = small_group_pairs(collected(shared.where(F.col("held") <= RARE)), percent)
-    hot = shared.where(F.col("held") > RARE).select("doc").distinct()
-    involved = shared.select(F.col("doc").alias("doc_id")).distinct()
+    frequent = shared.where(F.col("held") > RARE).groupBy("doc").agg(F.count("*").alias("f"), F.first("n").alias("n"))
+    frequent = materialize(frequent, "frequent")
+    # the smaller of two linked sets, one of which has n tokens, has percent of n at least
+    hot = frequent.where(F.col("f") >= 1 + F.expr(f"({percent} * n + 99) DIV 100 DIV 40")).select("doc")
+    few = shared.where(F.col("held") <= RARE).join(frequent.select("doc", "f"), "doc", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    met = group_pairs(collected(few), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(1 + F.expr("n DIV 40") - F.col("f")).alias("least"))
+    rare = materialize(met.where("c >= least").select("a", "b"), "pairs")
+    involved = rare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(hot.select("doc")).distinct()
     texts = materialize(rows.join(involved, "doc_id", "left_semi"), "texts")
     combos = combination_keys(texts.join(hot.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), size, percent)
     parts = materialize(grouped(combos), "parts")
-    few = small_group_pairs(collected(parts.where(F.col("held") <= RARE)), percent)
+    small = group_pairs(collected(parts.where(F.col("held") <= RARE).withColumn("f", F.lit(0))), percent).select("a", "b")
     many = parts.where(F.col("held") > RARE)
-    star = many.where("doc != pivot").join(many.where("doc = pivot").select("key", F.col("n").alias("m")), "key")
-    pivots = star.where(near("n", "m", percent)).select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-    pairs = materialize(rare.union(few).union(pivots).distinct(), "pairs")
+    star = many.where("doc != pivot.doc").where(near("n", "pivot.n", percent)).select(F.col("doc").alias("a"), F.col("pivot.doc").alias("b"))
+    pairs = materialize(rare.union(small).union(star).distinct(), "pairs")
     links = materialize(verified(pairs, texts, size, percent), "links")
     comps = materialize(components(links), "components")
     done = pairs
