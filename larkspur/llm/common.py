@@ -6,8 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +47,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized frame that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/larkspur-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            discard_folder(df.sparkSession, parent)
+
+
+def discard_folder(spark: SparkSession, url: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(url)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row, whatever the optimizer inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def local_path(url: str) -> str:
-    return urlparse(url).path if url.startswith("file:") else url
-
-
-def clean_texts(values: list) -> Iterator[str]:
-    """Strings of an Arrow column; null as the empty text."""
-    for v in values:
-        yield v if v is not None else ""

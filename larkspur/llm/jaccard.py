@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.bytes import mix, shingles
@@ -240,6 +240,17 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """docs with one row of each group of linked documents, the one of least doc_id; rows without doc_id stay."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        best = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
+        again = docs.join(repeated, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(again)
+    late = join(docs, size, percent).where("doc_id != component_id").select("doc_id")
+    return docs.join(late, "doc_id", "left_anti")
+
+
 def _open_pairs(many: DataFrame, comps: DataFrame, done: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Unverified pairs of members of one large group that lie in different components.
 

@@ -9,7 +9,7 @@ from larkspur.llm.common import materialize, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.judge(materialize(q.measure(table(spark, sf_dir, "documents")), "quality"))
+    return q.judge(materialize(q.measure(table(spark, sf_dir, "documents")).drop("_row"), "quality"))
 
 
 _M = len(q.RULES)

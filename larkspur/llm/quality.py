@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACE, WORD, let
+from larkspur.llm.common import SPACE, WORD, let, materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -68,10 +68,10 @@ def repeated_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id with the base figures and what the rules vote on."""
+    """doc_id, the whole row as _row, the base figures and what the rules vote on."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    base = docs.select("doc_id", text.alias("text"))
+    base = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("text"))
     figures = F.struct(
         let(
             words_of(F.col("text")),
@@ -83,8 +83,8 @@ def measure(docs: DataFrame) -> DataFrame:
         counted(F.col("text"), "A-Z").alias("n_upper"),
         counted(F.col("text"), "!?").alias("n_marks"),
     )
-    return base.select("doc_id", let(figures, lambda f: f).alias("f")).select(
-        "doc_id", "f.w.n_words", "f.w.word_chars", "f.n_symbols", "f.l.n_dup_lines", "f.w.n_repeat_words",
+    return base.select("doc_id", "_row", let(figures, lambda f: f).alias("f")).select(
+        "doc_id", "_row", "f.w.n_words", "f.w.word_chars", "f.n_symbols", "f.l.n_dup_lines", "f.w.n_repeat_words",
         "f.l.n_lines", "f.n_bars", "f.n_upper", "f.n_marks",
     )
 
@@ -178,4 +178,10 @@ def judge(figures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         (~failed & (F.col("p_quality") >= threshold)).alias("kept"),
         F.round("p_quality", 6).alias("p_quality"),
         *names,
+        *[c for c in figures.columns if c == "_row"],
     )
+
+
+def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, as they were. They are written once with their figures, never shuffled."""
+    return judge(materialize(measure(docs), "quality"), threshold).where("kept").select("_row.*")

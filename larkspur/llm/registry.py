@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_decontaminate, q_html_text, q_jaccard, q_licenses, q_quality, q_quotes, q_repeats, q_url_filter
+from larkspur.llm import q_decontaminate, q_html_text, q_jaccard, q_licenses, q_pieces, q_quality, q_quotes, q_repeats, q_token_files, q_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": q_decontaminate.op1_decontamination,
         "op2_quality_rules": q_quality.op2_quality_rules,
         "op3_license_scan": q_licenses.op3_license_scan,
+        "op4_sentencepiece": q_pieces.op4_sentencepiece,
+        "op5_token_counts": q_token_files.op5_token_counts,
         "op6_suffix_dedup": q_repeats.op6_suffix_dedup,
         "op7_url_filters": q_url_filter.op7_url_filters,
         "op8_html_text": q_html_text.op8_html_text,
