@@ -11,8 +11,10 @@ Tokens are hashes of word shingles. Documents with equal token sets form a class
    than the tokens in which two linked sets of that size can differ, and the combination of all tokens of a
    part is one key. So linked sets share a key, and texts that only share a passage share none. Sizes are put in
    classes; a set is split for its own size class and for the next one.
-3. Small groups of a combination give all pairs. A large group gives pairs with one pivot; once these are
-   verified and merged, only pairs between different components remain, again by pivots, round by round.
+3. Small groups of a combination give all pairs. A large group gives pairs with one pivot; these are verified and
+   merged into components. Large groups that still hold several components are joined to clusters, one size class
+   at a time, whose sets are compared in blocks: a task holds two blocks of bounded size, counts all overlaps as
+   products of incidence matrices and gives only the links that merge components.
 4. Candidates are verified on whole sets, made again from the texts.
 
 Of the m tokens that linked sets share in their prefixes all are frequent, or one is rare: step 2 covers the
@@ -40,8 +42,8 @@ from larkspur.llm.components import components
 
 #: A token or combination held by at most so many classes gives all their pairs.
 RARE = 16
-#: Rounds of pivots in large groups before what remains is paired whole.
-PIVOT_ROUNDS = 6
+#: Sets and tokens of a block; columns of an incidence matrix that are multiplied at once.
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 800, 1_000_000, 8_192
 
 
 def tokens(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +85,10 @@ def class_top(k: int, percent: int) -> int:
     return top
 
 
-def combinations(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of a token set, for its size class and the next."""
+def combinations(h: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of a token set, for its size class and the next, and these classes."""
     own = size_class(len(h), percent)
-    keys = []
+    keys, classes = [], []
     for k in (own, own + 1):
         # two linked sets, the larger in class k, differ in at most d tokens
         d = apart(class_top(k, percent), percent)
@@ -100,7 +102,8 @@ def combinations(h: np.ndarray, percent: int) -> np.ndarray:
         keys.append(mix(sums[full] ^ mix((full + 1 + (k << 32)).astype(np.uint64))))
         if parts - len(full) > spare:  # the parts that agree may all be empty ones
             keys.append(mix(np.array([(k << 32) | 0xFFFFFFFF], np.uint64)))
-    return np.concatenate(keys).view(np.int64)
+        classes.append(np.full(sum(map(len, keys)) - sum(map(len, classes)), k, np.int64))
+    return np.concatenate(keys).view(np.int64), np.concatenate(classes)
 
 
 def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -127,20 +130,19 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def combination_keys(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """texts(doc_id, text) to (key, doc, n)."""
+    """texts(doc_id, text) to (key, doc, n, k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out = [[np.zeros(0, np.int64)] for _ in range(4)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, _ = tokens(text.as_py(), size)
-                k = combinations(h, percent)
-                keys.append(k)
-                ids.append(np.full(len(k), doc, np.int64))
-                ns.append(np.full(len(k), len(h), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, ns)], names=["key", "doc", "n"])
+                keys, classes = combinations(h, percent)
+                for column, x in zip(out, (keys, np.full(len(keys), doc), np.full(len(keys), len(h)), classes), strict=True):
+                    column.append(x.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "doc", "n", "k"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "key long, doc long, n long")
+    return texts.select("doc_id", "text").mapInArrow(run, "key long, doc long, n long, k long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,14 +228,9 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     pairs = materialize(rare.union(small).union(star).distinct(), "pairs")
     links = materialize(verified(pairs, texts, size, percent), "links")
     comps = materialize(components(links), "components")
-    done = pairs
-    for whole in [False] * PIVOT_ROUNDS + [True]:
-        more = materialize(_open_pairs(many, comps, done, percent, whole), "pairs")
-        if more.isEmpty():
-            continue
-        done = done.union(more)
-        links = links.union(materialize(verified(more, texts, size, percent), "links"))
-        comps = materialize(components(links), "components")
+    across = materialize(block_links(many, comps, texts, size, percent), "links")
+    if not across.isEmpty():
+        comps = materialize(components(links.union(across)), "components")
     merged = classes.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     return found.join(merged, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
@@ -251,23 +248,79 @@ def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     return docs.join(late, "doc_id", "left_anti")
 
 
-def _open_pairs(many: DataFrame, comps: DataFrame, done: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Unverified pairs of members of one large group that lie in different components.
-
-    One pivot a group and component, the least member that is new as pivot, meets the members of the others;
-    the whole of them in the last round.
-    """
-    placed = many.select("key", "doc", "n").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+def block_links(many: DataFrame, comps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that meet in a large group: many(key, doc, n, k), by blocks of clusters of groups."""
+    placed = many.select("key", "doc", "n", "k").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = placed.join(mixed, "key")
-    other = rest.select("key", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
-    if whole:
-        pair = rest.join(other, "key").where("component != there AND doc > other")
-    else:
-        used = done.select(F.explode(F.array("a", "b")).alias("doc")).distinct().withColumn("used", F.lit(1))
-        tried = rest.join(used, "doc", "left")
-        pivot = tried.groupBy("key", "component").agg(F.min_by(F.struct("doc", "n"), F.struct(F.coalesce("used", F.lit(0)), "doc")).alias("p"))
-        heads = pivot.select("key", F.col("component").alias("there"), F.col("p.doc").alias("other"), F.col("p.n").alias("m"))
-        pair = rest.join(heads, "key").where("component != there")
-    pair = pair.where(near("n", "m", percent)).select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
-    return pair.join(done, ["a", "b"], "left_anti")
+    rest = materialize(placed.join(mixed, "key").withColumn("node", F.xxhash64("doc", "k")), "mixed")
+    heads = rest.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = components(rest.join(heads, "key").select(F.col("node").alias("a"), "b").where("a != b")).select("node", F.col("component").alias("cluster"))
+    members = materialize(rest.select("node", "doc", "n", "component").distinct().join(clusters, "node"), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    rows = dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("cluster", "block", "doc", "component", "text", other)
+    pairs = rows.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != group:
+                    if held:
+                        yield _linked(group, held, size, percent)
+                    group, held = row[:3], []
+                held.append((*row[3:6], np.unique(shingles(row[6] or "", size)[0])))
+        if held:
+            yield _linked(group, held, size, percent)
+
+    by = ["cluster", "lo", "hi"]
+    return pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
+def _linked(group: tuple, held: list[tuple], size: int, percent: int) -> pa.RecordBatch:
+    """Links among held (block, doc, component, set) that merge components: across two blocks, or within one."""
+    left = [r for r in held if r[0] == group[1]]
+    right = [r for r in held if r[0] == group[2]]
+    both = overlaps([r[3] for r in left], [r[3] for r in right])
+    n, m = (np.array([len(r[3]) for r in side]) for side in (left, right))
+    linked = (both > 0) & (100 * both >= percent * (n[:, None] + m[None, :] - both))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    a, b = [], []
+    for i, j in np.argwhere(linked):
+        x, y = find(left[i][2]), find(right[j][2])
+        if x != y:
+            root[x] = y
+            a.append(left[i][1])
+            b.append(right[j][1])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets in left with those in right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    flat = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    at, row = [], []
+    for side, values in zip((left, right), flat, strict=True):
+        place = np.searchsorted(common, values)
+        kept = np.flatnonzero(common[np.minimum(place, len(common) - 1)] == values) if len(common) else np.zeros(0, np.int64)
+        at.append(place[kept])
+        row.append(np.repeat(np.arange(len(side)), [len(x) for x in side])[kept])
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for k, side in enumerate((left, right)):
+            here = (at[k] >= start) & (at[k] < start + COLUMNS)
+            part = np.zeros((len(side), min(COLUMNS, len(common) - start)), np.float32)
+            part[row[k][here], at[k][here] - start] = 1
+            parts.append(part)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
