@@ -14,9 +14,10 @@ def parse_instant(text: Column, naive_zone: str = "+00:00") -> Column:
     """Instant from epoch seconds or milliseconds, ``/Date(ms)/``, ISO with Z, offset or none; null if none fits."""
     t = F.trim(text)
     digits = F.regexp_extract(t, r"^(?:/Date\()?(\d{9,14})(?:[+-]\d{4})?(?:\)/)?$", 1)
-    number = F.expr("1") * F.when(digits != "", digits.cast("double"))
+    number = F.when(digits != "", digits.cast("double"))
     epoch = F.timestamp_seconds(F.when(number > 1e11, number / 1000).otherwise(number))
-    iso = F.regexp_replace(F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})_(\d{2})(\d{2})$", "$1 $2:$3"), r"(\.\d{6})\d+", "$1")
+    minutes = F.regexp_replace(F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})_(\d{2})(\d{2})$", "$1 $2:$3"), r"(\.\d{6})\d+", "$1")
+    iso = F.regexp_replace(minutes, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
     zoned = F.when(iso.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & iso.rlike(r"\d{2}:\d{2}"), iso).otherwise(F.concat(iso, F.lit(naive_zone)))
     full = F.when(zoned.rlike(r"^\d{4}-\d{2}-\d{2}[+-]"), F.regexp_replace(zoned, r"^(\d{4}-\d{2}-\d{2})", "$1T00:00:00")).otherwise(zoned)
     return F.coalesce(epoch, F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), full.try_cast("timestamp")))
