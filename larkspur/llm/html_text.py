@@ -41,7 +41,7 @@ CONTENT_WORDS = "article|content|entry|main|post|story"
 #: Costs by evidence, in the unit of a smoothness edge between neighbours.
 ELEMENT = {"article": 6.0, "main": 6.0, **dict.fromkeys("nav aside footer form menu dialog button search fieldset header".split(), -14.0)}
 BOILER, CONTENT, HIDDEN = -14.0, 3.0, -14.0
-PARAGRAPH, PLAIN, LONG, LINKS, SHORT = 0.6, 0.3, 1.5, -3.0, -0.4
+PARAGRAPH, PLAIN, LONG, LINKS, SHORT = 0.6, 0.5, 1.5, -3.0, -0.4
 NEIGHBOUR, SIBLING = 1.0, 0.8
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
