@@ -230,7 +230,9 @@ def spans(rows: DataFrame) -> DataFrame:
     """rows(_key, text) to (_key, spans): the sorted, possibly overlapping spans of bytes to remove."""
     found = materialize(_records(rows.select("_key", "text")), "records")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
-    shared = materialize(found.join(grams.select("gram", (F.col("a") != F.col("b")).alias("mixed")), "gram"), "shared")
+    # written first: a join of two plain exchanges is one whose hot partitions Spark can split
+    grams = materialize(grams.select("gram", (F.col("a") != F.col("b")).alias("mixed")), "grams")
+    shared = materialize(found.join(grams, "gram"), "shared")
     span = lambda d: d.select("_key", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + LENGTH).alias("stop"))
     mixed = shared.where("mixed")
     kinds = materialize(mixed.groupBy("gram", "whole").agg(F.count("*").alias("held"), F.min(F.struct("_key", "lo", "more")).alias("at")), "kinds")
