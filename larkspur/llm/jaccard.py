@@ -42,6 +42,8 @@ from larkspur.llm.components import components
 
 #: A token or combination held by at most so many classes gives all their pairs.
 RARE = 16
+#: Ids of candidate documents are broadcast up to this many (some 50 MB), so that only candidates' texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Sets and tokens of a block; columns of an incidence matrix that are multiplied at once.
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 800, 1_000_000, 8_192
 
@@ -219,7 +221,8 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     met = group_pairs(collected(few), percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(1 + F.expr("n DIV 40") - F.col("f")).alias("least"))
     rare = materialize(met.where("c >= least").select("a", "b"), "pairs")
     involved = rare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(hot.select("doc")).distinct()
-    texts = materialize(rows.join(involved, "doc_id", "left_semi"), "texts")
+    involved = materialize(involved, "involved")
+    texts = materialize(rows.join(F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved, "doc_id", "left_semi"), "texts")
     combos = combination_keys(texts.join(hot.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), size, percent)
     parts = materialize(grouped(combos), "parts")
     small = group_pairs(collected(parts.where(F.col("held") <= RARE).withColumn("f", F.lit(0))), percent).select("a", "b")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from larkspur.llm import decontaminate, html_text, jaccard, licenses, pieces, quality, quotes, repeats, token_files, url_filter
+from larkspur.llm import components as graph
 from larkspur.llm.components import components
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -275,7 +276,9 @@ def test_urls(spark):
                    (5, "ok.org", "/en/1", "ok.org/en/1", "allow"), (6, "one.net", "/p/", None, "block"), (6, "one.net", "/p/", None, "block")]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("forest", [1_000_000, 0])
+def test_components(spark, monkeypatch, forest):
+    monkeypatch.setattr(graph, "FOREST", forest)  # 0: stars in rounds
     rng = random.Random(11)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]
     root = {x: x for p in pairs for x in p if p[0] != p[1]}
