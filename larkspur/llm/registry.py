@@ -30,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": q_quality.SQL,
         "op6_suffix_dedup": q_repeats.SQL,
         "op7_url_filters": q_url_filter.SQL,
+        "op9_chat_quotes": q_quotes.SQL,
         "op10_jaccard_join": q_jaccard.SQL,
     }

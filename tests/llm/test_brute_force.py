@@ -5,12 +5,14 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from larkspur.llm import decontaminate, html_text, jaccard, licenses, pieces, quality, quotes, repeats, token_files, url_filter
+from larkspur.llm import decontaminate, html_text, jaccard, licenses, pieces, q_quotes, quality, quotes, repeats, token_files, url_filter
 from larkspur.llm import components as graph
 from larkspur.llm.components import components
+from tests.compare import same
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DOC = "doc_id long, text string"
@@ -264,7 +266,11 @@ def test_quotes(spark):
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS mark")
     got = {(r.conv_id, r.turn): (r.text, r.n_linked, r.parent_turn, r.thread_turn) for r in quotes.linked_messages(d).collect()}
     assert got[1, 1] == ("Fine.\nAnd you?", 1, 0, 0) and got[1, 3] == ("Good", 2, 1, 0) and got[1, 4] == ("hm", 0, None, 4) and got[2, 0] == ("", 0, None, 0)
-    assert [r.turns for r in quotes.conversations(d).where("conv_id = 1").collect()] == ["0,1,3,2,4"]
+    talks = quotes.conversations(d)
+    assert [r.turns for r in talks.where("conv_id = 1").collect()] == ["0,1,3,2,4"]
+    con = duckdb.connect()
+    conversations = d.drop("mark").toArrow()  # noqa: F841  the SQL reads it by name
+    same(talks, con.execute(q_quotes.SQL))
 
 
 def test_urls(spark):
