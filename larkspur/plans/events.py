@@ -220,8 +220,8 @@ def baseline_collapse_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT house, count(*) AS total, count(*) FILTER (odd > 1.3) AS ok, round(100.0 * count(*) FILTER (odd > 1.3) / count(*), 6) AS rate, round(avg(odd), 6) AS avg_n FROM ({E}) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY house")
 def reliability_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observed(spark, sf_dir)
-    last = rows.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since"))
-    recent = rows.join(F.broadcast(last), F.col("ts") >= F.col("since"))
+    since = rows.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since")).first().since
+    recent = rows.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     ok = F.count_if(F.col("odd") > 1.3)
     return recent.groupBy("house").agg(F.count("*").alias("total"), ok.alias("ok"), F.round(100.0 * ok / F.count("*"), 6).alias("rate"), F.round(F.avg("odd"), 6).alias("avg_n"))
 
