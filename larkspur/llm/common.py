@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _local: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/larkspur-{tag}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder; the folder goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/larkspur-{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    """Results may be read as long as the session lasts, so their folders are removed last."""
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            discard_folder(spark, path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
