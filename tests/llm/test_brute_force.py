@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from larkspur.llm import decontaminate, html_text, jaccard, licenses, pieces, q_quotes, quality, quotes, repeats, token_files, url_filter
 from larkspur.llm import components as graph
 from larkspur.llm.components import components
@@ -108,6 +109,17 @@ def test_jaccard_empty_null_and_repeated_ids(spark):
     assert sorted(r.doc_id or 0 for r in jaccard.keep_first(frame(spark, rows)).collect()) == [0, 1]
 
 
+def test_pipeline_drops_near_copies_by_its_own_rule(spark):
+    w = [f"w{k}" for k in range(200)]
+    scattered = [f"x{k}" if k in (30, 70, 110, 150) else x for k, x in enumerate(w)]  # 176 of 216 five-word shingles, 181 of 213 four-word ones
+    run = [f"y{k}" if 90 <= k < 104 else x for k, x in enumerate(w)]  # 178 of 214, 180 of 214
+    far = [f"z{k}" if k in (20, 60, 100, 140, 180) else x for k, x in enumerate(w)]  # 171 of 221
+    rows = [*texts(12, 40), *((500 + 10 * k, " ".join(t)) for k, t in enumerate((w, scattered, run, far)))]
+    kept = {i for i, (_, first) in brute_components(rows, 5, 80).items() if i == first}
+    assert {500, 530} <= kept and not {510, 520} & kept
+    assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, frame(spark, rows), "").collect()} == kept
+
+
 def brute_repeats(rows, length=200):
     data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
