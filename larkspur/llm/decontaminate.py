@@ -5,8 +5,12 @@ benchmark's; the windows that match at one alignment count if their slots are co
 values of the item stand for equal values in the document and different for different. So a question with other numbers or names in it is
 found, and a text that only has placeholders in the same places is not. DataFrame functions only.
 
-A null text is empty and leaks nothing. Items of fewer than WINDOW words never match, as do windows with
-fewer than MIN_LITERAL plain words. Rows that share a doc_id, null included, are judged together. Repeated
+An item of which no window counts, being shorter than WINDOW words or having fewer than MIN_LITERAL plain words
+in each, is looked for as a whole: all its canonical words in a row. If it has fewer than MIN_LITERAL plain words,
+its slots must have equal values. A name mark on the first word is left out of account, as it comes from what stands before.
+
+A null text is empty and leaks nothing. An item without words never matches. Windows with fewer than MIN_LITERAL
+plain words do not count. Rows that share a doc_id, null included, are judged together. Repeated
 benchmark rows count once for each item_id. Extra columns are ignored.
 """
 
@@ -91,8 +95,66 @@ def one_to_one(pairs: Column) -> Column:
     return (distinct("ours") == F.size(pairs)) & (distinct("theirs") == F.size(pairs))
 
 
+def unnamed(words: Column) -> Column:
+    """words with the first one's name mark taken off."""
+    return F.transform(words, lambda w, i: F.when((i == 0) & w.startswith(NAME), F.substring(w, F.lit(2), F.length(w))).otherwise(w))
+
+
+def blanked(word: Column) -> Column:
+    return F.when(word.rlike(MARK), F.regexp_replace(word, *BLANK)).otherwise(word)
+
+
+def anchors(words: Column, sizes: list[int]) -> Column:
+    """array<struct<pos, h>>: a hash for each run of so many canonical words, the first word unnamed."""
+
+    def runs(both: Column) -> Column:
+        first, rest = both["first"], both["rest"]
+        empty = F.array().cast("array<struct<pos:int,h:bigint>>")
+
+        def of(size: int) -> Column:
+            one = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.get(first, i), *[F.get(rest, i + k) for k in range(1, size)]).alias("h"))
+            return F.when(F.size(rest) < size, empty).otherwise(F.transform(F.sequence(F.lit(0), F.size(rest) - size), one))
+
+        return F.concat(*[of(size) for size in sizes])
+
+    hashed = lambda w: F.xxhash64(blanked(w))
+    bare = lambda w: F.when(w.startswith(NAME), F.substring(w, F.lit(2), F.length(w))).otherwise(w)
+    return let(words, lambda r: let(F.struct(F.transform(r, lambda w: hashed(bare(w))).alias("first"), F.transform(r, hashed).alias("rest")), runs))
+
+
+def whole_leaks(docs: DataFrame, benchmark: DataFrame, items: DataFrame) -> DataFrame | None:
+    """leaks() of the benchmark's items that have no row in items(item_id); None if there are none."""
+    rest = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).join(items.select("item_id").distinct(), "item_id", "left_anti")
+    ours = rest.select("item_id", unnamed(words_of(marked(F.col("text")))).alias("ours")).where(F.size("ours") > 0).distinct()
+    ours = materialize(ours.withColumn("size", F.least(F.size("ours"), F.lit(WINDOW))), "whole")
+    sizes = sorted(r["size"] for r in ours.select("size").distinct().collect())
+    if not sizes:
+        return None
+    n, longest = ours.agg(F.count("*"), F.max(F.size("ours"))).first()
+    key = F.lit(None).cast("bigint")
+    for size in sizes:
+        key = F.when(F.col("size") == size, F.get(anchors(F.col("ours"), [size]), F.lit(0))["h"]).otherwise(key)
+    ours = ours.select("item_id", "ours", key.alias("h"))
+    rows = docs.select("doc_id", marked(F.col("text")).alias("t")).select("doc_id", "t", F.explode(anchors(words_of(F.col("t")), sizes)).alias("a"))
+    rows = rows.select("doc_id", "t", "a.pos", "a.h")
+    there = F.slice(words_of(F.col("t")), F.col("pos") + 1, F.lit(longest))
+    if n <= BROADCAST_WINDOWS:
+        hits = rows.join(F.broadcast(ours), "h").withColumn("there", there)
+    else:
+        hits = rows.withColumn("there", there).drop("t").join(ours, "h")
+    hits = hits.select("doc_id", "item_id", "ours", unnamed(F.slice("there", F.lit(1), F.size("ours"))).alias("theirs"))
+    same = F.transform("ours", blanked) == F.transform("theirs", blanked)
+    plain = F.size(F.filter("ours", lambda w: ~w.rlike(MARK)))
+    slots = F.array_distinct(F.filter(F.arrays_zip("ours", "theirs"), lambda p: p["ours"].rlike(MARK)))
+    equal = F.when(plain < MIN_LITERAL, F.col("ours") == F.col("theirs")).otherwise(one_to_one(slots))
+    one = F.lit(1).cast("long")
+    return hits.where(same & equal).select("doc_id", "item_id").distinct().select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_item_windows"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs (doc_id, item_id, n_windows, n_item_windows) where docs(doc_id, text) holds enough of an item."""
+    """Pairs (doc_id, item_id, n_windows, n_item_windows) where docs(doc_id, text) holds enough of an item.
+
+    An item looked for as a whole counts as one window."""
     items = windows_of(benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()), "item_id")
     items = items.select("item_id", F.col("pos").alias("item_pos"), "h", slots_at(F.col("t"), F.col("pos")).alias("item_slots"))
     items = materialize(items.where(F.size("item_slots") <= WINDOW - MIN_LITERAL).distinct(), "items")
@@ -112,7 +174,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     counted = aligned.where(one_to_one(F.col("pairs"))).groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).cast("long").alias("n_windows")
     )
-    return counted.join(sizes, "item_id").where(F.col("n_windows") >= F.lit(coverage) * F.col("n_item_windows")).select("doc_id", "item_id", "n_windows", "n_item_windows")
+    found = counted.join(sizes, "item_id").where(F.col("n_windows") >= F.lit(coverage) * F.col("n_item_windows")).select("doc_id", "item_id", "n_windows", "n_item_windows")
+    whole = whole_leaks(docs, benchmark, items)
+    return found if whole is None else found.unionByName(whole)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

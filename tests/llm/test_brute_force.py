@@ -176,6 +176,24 @@ def test_templates(spark):
     assert {r.doc_id for r in decontaminate.remove(frame(spark, docs), bench).collect()} == {2, 4, 5, None}
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_short_and_number_heavy_items(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    france, numbers = "What is the capital of France?", "Add 12, 7, 3, 4, 2, 15, 9 and 8"
+    mixed = "Take 1 and 2 from 3 or 4 but 5 to 6 by 7 at 8 up 9"  # every window has four slots, nine plain words in all
+    items = [(1, france), (2, numbers), (3, mixed), (4, "Two words"), (5, ""), (6, "9"), (7, "...")]
+    docs = [
+        (1, f"A quiz. {france} Say it."), (2, "so the quiz What is the Capital of Spain, then"), (3, "What is the capital of"),
+        (4, f"Sum: {numbers}."), (5, "Add 12, 7, 3, 4, 2, 15, 8 and 8"), (6, "and " + mixed.replace("9", "77").lower()), (7, mixed.replace("9", "8")),
+        (8, "just two words in it"), (9, "word two"), (10, None), (11, ""), (12, "what is the capital of France"), (13, "so the quiz What is the capital of Spain then"), (None, f"{numbers} or {france}"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.items for r in decontaminate.report(frame(spark, docs), bench.where("item_id != 6")).collect()}
+    assert got == {1: "1", 2: "", 3: "", 4: "2", 5: "", 6: "3", 7: "", 8: "4", 9: "", 10: "", 11: "", 12: "1", 13: "1", None: "1,2"}
+    one = {r.doc_id for r in decontaminate.report(frame(spark, docs), bench.where("item_id = 6")).where("leaked").collect()}
+    assert one == {4, None}
+
+
 def test_templates_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     test_templates(spark)
