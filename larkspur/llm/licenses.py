@@ -3,7 +3,11 @@
 Fuzzy search. A notice of L characters may differ by up to k edits. It is cut in k + 1 pieces; by the pigeonhole
 principle one of them stands unchanged in every match, so all pieces together, found by one Aho-Corasick
 automaton, locate every candidate window. There the regex library matches the whole notice with at most k
-errors and gives span and edits.
+errors and gives span and edits. A window is that of one place (starts that differ by k at most are one), so that
+notices back to back are each found; of overlapping matches of a notice the one of fewest edits counts.
+
+A match is of its own license only if the word that tells licenses apart is not another one's: it must keep a letter
+in its place, and a name of RIVALS is no edited form of it. Where spans of different labels overlap, the best score stands.
 
 Texts are searched as words joined by single spaces: A-Z lower-cased, words are runs of letters, digits and
 non-ASCII characters. A null text is empty, without words or labels. Every row gives one row; extra columns
@@ -12,6 +16,8 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +47,12 @@ NOTICES = (
     ("mozilla public license version 2 0", "mpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
 )
+#: Words that tell a notice's license, with words of other licenses in their place.
+RIVALS = {
+    "mit": "isc bsd gpl lgpl agpl mpl epl eupl cpl lppl ofl osl afl ecl w3c psf php ncsa zlib x11 cc0 artistic apache boost ms".split(),
+    "nc": ["sa", "nd"],
+    "sa": ["nc", "nd"],
+}
 #: One edit for so many characters of a notice.
 PER_EDIT = 10
 
@@ -57,6 +69,25 @@ def pieces(notice: str, edits: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def undisplaced(spans: list[tuple], labels: list[str]) -> list[tuple]:
+    """The spans (score, start, end, notice, edits) that no better one of another label overlaps."""
+    held: dict[int, list[tuple[int, int]]] = {}  # by notice, whose spans are disjoint
+    out = []
+    for _, group in itertools.groupby(sorted(spans, key=lambda s: (-s[0], *s[1:])), key=lambda s: s[0]):
+        # equal scores do not displace each other
+        fresh = [x for x in group if not any(labels[k] != labels[x[3]] and meets(places, x[1], x[2]) for k, places in held.items())]
+        for _, start, end, which, _ in fresh:
+            bisect.insort(held.setdefault(which, []), (start, end))
+        out += fresh
+    return out
+
+
+def meets(places: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the places, disjoint and sorted, overlaps start to end."""
+    at = bisect.bisect_left(places, (end,))
+    return at > 0 and places[at - 1][1] > start
+
+
 class Scanner:
     def __init__(self, phrases: tuple, notices: tuple, per_edit: int) -> None:
         self.phrases = [(f" {p} ", label) for p, label in phrases]
@@ -82,7 +113,7 @@ class Scanner:
         return out
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """Candidate windows [start, end] of each notice, merged where they overlap."""
+        """Candidate windows [start, end] of each notice, one for starts that differ by its edits at most."""
         found: dict[int, set[int]] = {}
         for end, (size, places) in self.seeds.iter(text):
             for which, offset in places:
@@ -90,27 +121,51 @@ class Scanner:
         out: dict[int, list[list[int]]] = {}
         for which, starts in found.items():
             n, _, k = self.notices[which]
-            merged: list[list[int]] = []
+            places, first = [], None
             for s in sorted(starts):
                 a, b = max(0, s - k), min(len(text), s + len(n) + k)
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
+                if first is not None and s - first <= k:
+                    places[-1][1] = b
                 else:
-                    merged.append([a, b])
-            out[which] = merged
+                    places.append([a, b])
+                    first = s
+            out[which] = places
         return out
 
+    def own(self, notice: str, found: str) -> bool:
+        """Whether the words of found (whole words) tell the notice's license."""
+        ours, theirs = notice.split(), found.split()
+        for word in set(ours) & set(RIVALS):
+            if word in theirs:
+                continue
+            if any(x in theirs for x in RIVALS[word]):
+                return False
+            if len(ours) == len(theirs):
+                there = theirs[ours.index(word)]
+                if len(there) == len(word) and not any(x == y for x, y in zip(word, there, strict=True)):
+                    return False
+        return True
+
     def fuzzy(self, text: str) -> list[dict]:
         """Spans of the notices: label, first and last word, edits, score."""
-        out = []
+        spans = []
         for which, windows in self.windows(text).items():
-            n, label, _ = self.notices[which]
-            for a, b in windows:
-                for m in self.patterns[which].finditer(text, a, b):
-                    edits = sum(m.fuzzy_counts)
-                    first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
-                    last = text.count(" ", 0, m.end() - (text[m.end() - 1] == " "))
-                    out.append({"label": label, "first_word": first, "last_word": last, "edits": edits, "score": round(1 - edits / len(n), 6)})
+            n = self.notices[which][0]
+            matches = {(m.start(), m.end(), sum(m.fuzzy_counts)) for a, b in windows if (m := self.patterns[which].search(text, a, b))}
+            held: list[tuple[int, int]] = []  # disjoint and sorted
+            for start, end, edits in sorted(matches, key=lambda x: (x[2], x[0], x[1])):
+                if meets(held, start, end):
+                    continue
+                bisect.insort(held, (start, end))
+                first_char, last_char = start + (text[start] == " "), end - (text[end - 1] == " ")
+                around = text[text.rfind(" ", 0, first_char) + 1 : e if (e := text.find(" ", last_char)) >= 0 else len(text)]
+                if self.own(n, around):
+                    spans.append((round(1 - edits / len(n), 6), start, end, which, edits))
+        out, labels = [], [label for _, label, _ in self.notices]
+        for score, start, end, which, edits in undisplaced(spans, labels):
+            first = text.count(" ", 0, start + (text[start] == " "))
+            last = text.count(" ", 0, end - (text[end - 1] == " "))
+            out.append({"label": labels[which], "first_word": first, "last_word": last, "edits": edits, "score": score})
         return sorted(out, key=lambda s: (s["first_word"], s["last_word"], s["label"], s["edits"]))
 
     def scan(self, text: str | None) -> dict:

@@ -212,6 +212,19 @@ def test_licenses_against_all_windows():
     assert one.fuzzy("nothing of that kind stands here") == []
 
 
+def test_near_and_adjacent_notices():
+    one = licenses.scanner()
+    spans = lambda t: [(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in one.fuzzy(t)]
+    nc, sa, mit, mat = "licensed under cc by nc 4 0", "licensed under cc by sa 4 0", "licensed under the mit license", "licensed under the mat license"
+    assert one.scan("Licensed under CC BY-NC 4.0.")["labels"] == "cc-by,cc-by-nc" and one.scan("Licensed under CC BY-SA 4.0.")["labels"] == "cc-by,cc-by-sa"
+    assert one.scan("Licensed under CC BY-ND 4.0.")["labels"] == "cc-by"
+    assert spans(f"{nc} {sa}") == [("cc-by-nc", 0, 6, 0), ("cc-by-sa", 7, 13, 0)] and spans(nc.replace("nc", "nx")) == [("cc-by-nc", 0, 6, 1)]
+    for other in ("isc", "mpl", "bsd", "foo"):
+        assert spans(mit.replace("mit", other)) == [], other
+    assert spans(f"{mat} {mit}") == [("mit", 0, 4, 1), ("mit", 5, 9, 0)]
+    assert spans(" ".join([mit, mat, mit, mat, mat])) == [("mit", 5 * k, 5 * k + 4, k % 2 or k // 4) for k in range(5)]
+
+
 def test_license_rows(spark):
     rows = [(1, "Released under the MIT License."), (2, "x GNU General Public License y mit license"), (3, None), (4, "Releesed undr the MlT License")]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
