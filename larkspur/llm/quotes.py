@@ -3,6 +3,8 @@
 Lines that begin with ``>`` are quotes, as many levels deep as there are marks. Runs of lines of one level are
 passages; a passage, lower-cased and with single spaces, is looked up by hash among the lines, paragraphs and
 whole texts that earlier messages of the conversation wrote themselves, and linked to the first of them. A
+passage that is none of these is linked to the first message that wrote its lines one after the other, blank lines
+left out; failing that, what its empty quoted lines separate is linked piece by piece, in both ways. A
 message answers the latest message that its shallowest linked quotes come from. Chains of answers lead to
 the message that began the thread; threads in order of their first turn, each in order of turns, give the
 conversation, from which quotes and the lines that introduce them are dropped.
@@ -29,6 +31,17 @@ def _norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _tidy(body: Column) -> Column:
+    """The lines of body, each as _norm() has it, without blank ones at the ends."""
+    return F.regexp_replace(F.array_join(F.transform(F.split(body, "\n"), _norm), "\n"), r"^\n+|\n+$", "")
+
+
+def _pairs(lines: Column) -> Column:
+    """array<struct<at, pair>>: a hash for each two neighbouring lines."""
+    pair = lambda i: F.struct(i.alias("at"), F.md5(F.concat_ws("\n", F.get(lines, i), F.get(lines, i + 1))).alias("pair"))
+    return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(0), F.size(lines) - 2), pair)).otherwise(F.array().cast("array<struct<at:int,pair:string>>"))
+
+
 def _lines(text: Column) -> Column:
     """array<struct<depth, body>> of a text's lines."""
     def one(line: Column) -> Column:
@@ -39,14 +52,14 @@ def _lines(text: Column) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """Maximal runs of lines of one depth, joined by spaces; blank lines of depth 0 end a run."""
+    """Maximal runs of lines of one depth, joined by line feeds; blank lines of depth 0 end a run."""
     empty = F.array().cast("array<struct<depth:int,body:string>>")
 
     def add(runs: Column, line: Column) -> Column:
         last = F.element_at(runs, -1)
         blank = (line["depth"] == 0) & (F.trim(line["body"]) == "")
         joins = (F.size(runs) > 0) & F.coalesce(F.try_element_at(runs, F.lit(-1))["depth"] == line["depth"], F.lit(False)) & ~blank
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(line["depth"].alias("depth"), F.concat_ws(" ", last["body"], line["body"]).alias("body"))))
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(line["depth"].alias("depth"), F.concat_ws("\n", last["body"], line["body"]).alias("body"))))
         fresh = F.concat(runs, F.array(F.struct(F.when(blank, -1).otherwise(line["depth"]).alias("depth"), line["body"].alias("body"))))
         return F.when(joins, longer).otherwise(fresh)
 
@@ -54,20 +67,20 @@ def _runs(lines: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (own, without quotes), quotes (depth, mark), marks of what the message wrote."""
+    """conv_id, turn, role, text (own, without quotes), quotes (depth, mark, body), marks of what the message wrote."""
     rows = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     has = F.col("text").rlike(r"(?m)^[ \t]*>")
-    empty = F.array().cast("array<struct<depth:int,mark:string>>")
+    empty = F.array().cast("array<struct<depth:int,mark:string,body:string>>")
 
     def cut(lines: Column) -> Column:
         introduces = lambda x, i: x["body"].rlike(_INTRO) & F.coalesce(F.get(lines, i + 1)["depth"] > 0, F.lit(False))
         own = F.filter(lines, lambda x, i: (x["depth"] == 0) & ~introduces(x, i))
         return let(own, lambda o: F.struct(
             F.trim(F.array_join(F.transform(o, lambda x: x["body"]), "\n")).alias("text"),
-            F.transform(F.filter(_runs(lines), lambda r: (r["depth"] > 0) & (_norm(r["body"]) != "")), lambda r: F.struct(r["depth"].alias("depth"), F.md5(_norm(r["body"])).alias("mark"))).alias("quotes"),
+            F.transform(F.filter(_runs(lines), lambda r: (r["depth"] > 0) & (_norm(r["body"]) != "")), lambda r: F.struct(r["depth"].alias("depth"), F.md5(_norm(r["body"])).alias("mark"), _tidy(r["body"]).alias("body"))).alias("quotes"),
             o.alias("own"),
         ))
 
@@ -85,13 +98,44 @@ def _originals(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     return talk.select("conv_id", "turn", F.explode(marks).alias("mark")).groupBy("conv_id", "mark").agg(F.min("turn").alias("source"))
 
 
+def _written(messages: DataFrame, units: DataFrame) -> DataFrame:
+    """units(conv_id, turn, unit) to those of two lines or more with source, the first message that wrote the lines in a row."""
+    talk = messages.join(units.select("conv_id").distinct(), "conv_id", "left_semi")
+    lines = F.filter(F.transform(F.col("own"), lambda x: _norm(x["body"])), lambda x: x != "")
+    wrote = talk.select("conv_id", "turn", lines.alias("lines")).where(F.size("lines") > 1).groupBy("conv_id", "lines").agg(F.min("turn").alias("source"))
+    theirs = wrote.select("conv_id", "source", F.xxhash64("lines").alias("text"), F.posexplode(_pairs(F.col("lines"))).alias("i", "p")).select("conv_id", "source", "text", F.col("p.at").alias("there"), "p.pair")
+    ours = units.select("conv_id", "turn", "unit", F.split("unit", "\n").alias("lines")).distinct()
+    ours = ours.select("conv_id", "turn", "unit", (F.size("lines") - 1).alias("n"), F.explode(_pairs(F.col("lines"))).alias("p")).select("conv_id", "turn", "unit", "n", "p.at", "p.pair")
+    met = ours.join(theirs, ["conv_id", "pair"]).where("source < turn").groupBy("conv_id", "turn", "unit", "n", "source", "text", F.expr("there - at").alias("shift")).count()
+    return met.where("count = n").groupBy("conv_id", "turn", "unit").agg(F.min("source").alias("source"))
+
+
+def _parts(messages: DataFrame, originals: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs that are no passage, with the source of their lines, or the latest source of their pieces."""
+    whole = F.struct(F.lit(True).alias("whole"), F.regexp_replace("body", r"\n{2,}", "\n").alias("unit"))
+    pieces = F.transform(F.split("body", r"\n{2,}"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
+    units = runs.withColumn("u", F.explode(F.concat(F.array(whole), pieces))).select(*runs.columns, "u.whole", "u.unit")
+    units = materialize(units.withColumn("mark", F.md5(F.regexp_replace("unit", "\n", " "))), "units")
+    by_mark = units.select("conv_id", "turn", "unit", "mark").join(originals, ["conv_id", "mark"]).where("source < turn").select("conv_id", "turn", "unit", "source")
+    found = by_mark.unionByName(_written(messages, units)).groupBy("conv_id", "turn", "unit").agg(F.min("source").alias("source"))
+    of_run = units.join(found, ["conv_id", "turn", "unit"]).groupBy("conv_id", "turn", "depth", "body", "times")
+    sources = of_run.agg(F.min(F.when(F.col("whole"), F.col("source"))).alias("all"), F.max(F.when(~F.col("whole"), F.col("source"))).alias("some"))
+    return sources.select("conv_id", "turn", "depth", "times", F.coalesce("all", "some").alias("source"))
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """parsed() messages to (conv_id, turn, parent_turn, n_linked) of those with linked quotes."""
     quoted = messages.where(F.size("quotes") > 0)
-    quotes = quoted.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.depth", "q.mark")
-    hits = quotes.join(_originals(messages, quoted), ["conv_id", "mark"]).where("source < turn")
+    quotes = quoted.select("conv_id", "turn", F.explode("quotes").alias("q")).groupBy("conv_id", "turn", "q.depth", "q.mark", "q.body").agg(F.count("*").alias("times"))
+    quotes = materialize(quotes, "quotes")
+    originals = _originals(messages, quotes)
+    sought = materialize(quotes.join(originals, ["conv_id", "mark"], "left").withColumn("source", F.expr("CASE WHEN source < turn THEN source END")), "sought")
+    hits = sought.where("source IS NOT NULL").select("conv_id", "turn", "depth", "times", "source")
+    rest = sought.where("source IS NULL").select("conv_id", "turn", "depth", "body", "times")
+    if not rest.isEmpty():
+        hits = hits.unionByName(_parts(messages, originals, rest))
     return hits.groupBy("conv_id", "turn").agg(
-        F.max_by("source", F.struct(-F.col("depth"), F.col("source"))).alias("parent_turn"), F.count("*").alias("n_linked")
+        F.max_by("source", F.struct(-F.col("depth"), F.col("source"))).alias("parent_turn"), F.sum("times").alias("n_linked")
     )
 
 

@@ -316,6 +316,23 @@ def test_quotes(spark):
     same(talks, con.execute(q_quotes.SQL))
 
 
+def test_partial_quotes(spark):
+    three, paragraphs = "One is here.\nTwo comes next.\nThree ends it.", "First part\ngoes on\n\nSecond part\n\nThird part\nends"
+    rows = [
+        (1, 0, "a", three), (1, 1, "a", paragraphs), (1, 2, "b", "> two  comes next.\n> Three ends it.\nYes"), (1, 3, "b", "> Second part\n>\n> Third part\n> ends\nNo"),
+        (1, 4, "c", "> One is here.\n> Three ends it.\nnot in a row"), (1, 5, "c", "> One is here.\n> Two comes next.\n>\n> Second part\n> Third part\nfrom both"),
+        (1, 6, "d", ">\n> First part goes on\n>\n> unknown\nrewrapped"), (1, 7, "d", "> > Two comes next.\n> > Three ends it.\n> Yes\nnested"),
+        (1, 8, "e", "> later line\n> and more\nearly"), (1, 9, "e", "later line\nand more\nand most"), (1, 10, "f", "x\nx\nx\ny"), (1, 11, "f", "> x\n> x\n> y\nrepeats"),
+        (2, 3, "g", "> Two comes next.\n> Three ends it.\nother talk"),
+    ]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.parent_turn, r.thread_turn) for r in quotes.linked_messages(d).collect()}
+    assert got == {
+        (1, 0): (0, 0, None, 0), (1, 1): (0, 0, None, 1), (1, 2): (1, 1, 0, 0), (1, 3): (1, 1, 1, 1), (1, 4): (1, 0, None, 4), (1, 5): (1, 1, 1, 1), (1, 6): (1, 1, 1, 1),
+        (1, 7): (2, 2, 2, 0), (1, 8): (1, 0, None, 8), (1, 9): (0, 0, None, 9), (1, 10): (0, 0, None, 10), (1, 11): (1, 1, 10, 10), (2, 3): (1, 0, None, 3),
+    }
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.Spam.com/a/"), (2, "https://x.spam.com/?q"), (3, "no url"), (4, None), (5, "http://ok.org/en/1"), (6, "http://one.net/p/"), (6, "http://one.net/p/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS entry", "2 AS block")
