@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from larkspur.llm import decontaminate, html_text, jaccard, licenses, pieces, q_quotes, quality, quotes, repeats, token_files, url_filter
+from larkspur.llm import decontaminate, html_text, jaccard, licenses, pieces, q_quotes, q_token_files, quality, quotes, repeats, token_files, url_filter
 from larkspur.llm import components as graph
 from larkspur.llm.components import components
 from tests.compare import same
@@ -279,6 +279,14 @@ def test_separator_scan(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in token_files.counts(blocks, found).collect()) == sorted(expected)
 
 
+def test_token_counts_of_documents(spark, tmp_path):
+    rows = [*texts(14, 30), (800, "It's 1,000 km; über 日本\n\n  end")]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    one = q_token_files.encoding()
+    got = sorted(tuple(r) for r in q_token_files.op5_token_counts(spark, str(tmp_path)).collect())
+    assert got == [(i, len(one.encode_ordinary(t or ""))) for i, t in rows]
+
+
 def test_minimum_cut_is_minimal():
     import itertools
 
