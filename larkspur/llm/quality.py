@@ -1,31 +1,36 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-Each rule votes good (1), bad (-1) or abstains (0). A two-class model with two accuracies a rule, one on good
-and one on bad documents, is fitted by expectation-maximisation on the histogram of vote patterns, which has at most 3 ** (number of rules) rows
-whatever the input; a document is kept if its posterior probability of being good reaches a threshold.
-DataFrame functions only.
-
-A null text has no words; it and the empty text fail the base rules. Repeated rows count as rows of their own.
-Extra columns are ignored. An empty table gives an empty result.
+Each rule votes good (1), bad (-1) or abstains (0). Junk comes in kinds that other rules see, so the model has one
+class of good documents and one for each of KINDS. In every class a rule that votes accuses with a chance of its own,
+estimated on both sides of the question by expectation-maximisation with weak Beta priors, which only say
+where the search begins. The histogram of vote patterns, at most 3 ** (number of rules) rows whatever the input, is all that it
+reads. A document is kept if its posterior probability of being good reaches a threshold: one noisy rule is outvoted,
+several weak ones together condemn.
+
+DataFrame functions only. A null text has no words; it and the empty text fail the base rules. Repeated rows count as
+rows of their own. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import SPACE, WORD, let, materialize
 
 SYMBOLS = "#*$%&|<>"
+#: ASCII characters that are no letters, in syntax that Java and RE2 share.
+NO_LETTERS = r"[\x00-@\[-`{-\x7F]+"
 WINDOW = 5
-#: Rounds of expectation-maximisation; prior weight of each accuracy, in documents.
-ROUNDS = 20
-PRIOR_GOOD, PRIOR_WEIGHT = 0.8, 10.0
-#: (first value, least, most) of the chance that a rule which votes is right, on good and on bad documents.
-#: The rules are written so that they hardly ever accuse a good document; what they miss is left to the data.
-ON_GOOD, ON_BAD = (0.997, 0.995, 0.999), (0.35, 0.05, 0.95)
+#: Rounds of expectation-maximisation.
+ROUNDS = 12
+#: Weight of each prior, in documents.
+PRIOR_WEIGHT = 10.0
+#: Prior chance that a rule which votes accuses a good document, and one of junk of a kind that it sees or does not see.
+ACCUSES_GOOD, SEES, MISSES = 0.05, 0.7, 0.2
+#: Kinds of junk, by the rules that are to see them, and the prior share of good documents and of each kind.
+KINDS = (("word_size", "symbols", "letters", "marked", "upper", "marks"), ("dup_lines", "repeats", "variety"))
+SHARES = (0.8, 0.1, 0.1)
 THRESHOLD = 0.5
 
 
@@ -75,32 +80,43 @@ def measure(docs: DataFrame) -> DataFrame:
     figures = F.struct(
         let(
             words_of(F.col("text")),
-            lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                repeated_words(w).alias("n_repeat_words"),
+                F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+                F.size(F.filter(w, lambda x: x.rlike(f"[{SYMBOLS}]"))).cast("long").alias("n_marked"),
+            ),
         ).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
         counted(F.col("text"), SYMBOLS).alias("n_symbols"),
-        counted(F.col("text"), "|").alias("n_bars"),
+        F.length(F.regexp_replace("text", NO_LETTERS, "")).cast("long").alias("n_letters"),
         counted(F.col("text"), "A-Z").alias("n_upper"),
         counted(F.col("text"), "!?").alias("n_marks"),
     )
     return base.select("doc_id", "_row", let(figures, lambda f: f).alias("f")).select(
         "doc_id", "_row", "f.w.n_words", "f.w.word_chars", "f.n_symbols", "f.l.n_dup_lines", "f.w.n_repeat_words",
-        "f.l.n_lines", "f.n_bars", "f.n_upper", "f.n_marks",
+        "f.l.n_lines", "f.w.n_distinct", "f.w.n_marked", "f.n_letters", "f.n_upper", "f.n_marks",
     )
 
 
 #: Rules as SQL over the figures: (name, bad if, good if); the first that holds counts, else the rule abstains.
-#: Comparisons are of whole numbers, so that every engine agrees.
+#: Comparisons are of whole numbers, so that every engine agrees. Some accuse good documents too; the fit says how often.
 RULES = [
-    ("length", "n_words < 10", "n_words >= 60"),
-    ("word_size", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
+    ("length", "n_words < 20", "n_words >= 60"),
+    ("word_size", "word_chars < 3 * n_words OR word_chars > 10 * n_words", "word_chars BETWEEN 4 * n_words AND 8 * n_words"),
     ("symbols", "20 * n_symbols > word_chars", "200 * n_symbols <= word_chars"),
-    ("bars", "4 * n_bars > n_words", "n_bars = 0"),
-    ("upper", "3 * n_upper > word_chars", "8 * n_upper <= word_chars"),
-    ("marks", "4 * n_marks > n_words", "50 * n_marks <= n_words"),
-    ("dup_lines", "3 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines > 1"),
-    ("repeats", "5 * n_repeat_words > n_words", "50 * n_repeat_words <= n_words AND n_words >= 30"),
+    ("letters", "20 * n_letters < 17 * word_chars", "100 * n_letters >= 95 * word_chars"),
+    ("marked", "5 * n_marked > n_words", "20 * n_marked <= n_words"),
+    ("upper", "5 * n_upper > word_chars", "12 * n_upper <= word_chars"),
+    ("marks", "20 * n_marks > n_words", "n_marks = 0"),
+    ("dup_lines", "n_dup_lines > 0", "n_dup_lines = 0 AND n_lines > 1"),
+    ("repeats", "5 * n_repeat_words > n_words", "n_repeat_words = 0 AND n_words >= 30"),
+    ("variety", "5 * n_distinct < 2 * n_words", "2 * n_distinct >= n_words AND n_words >= 30"),
 ]
+NAMES = [n for n, _, _ in RULES]
+#: Prior chances of an accusation: a list for each class, good documents first.
+PRIORS = [[ACCUSES_GOOD] * len(NAMES), *([SEES if n in kind else MISSES for n in NAMES] for kind in KINDS)]
 
 
 def vote(bad: str, good: str) -> Column:
@@ -112,53 +128,63 @@ def pattern(names: list[str]) -> Column:
     return sum(((F.col(n) + 1) * 3**k for k, n in enumerate(names)), F.lit(0)).cast("int")
 
 
-def fit(patterns: DataFrame, names: list[str]) -> DataFrame:
+def doubles(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def posteriors(votes: Column, model: Column) -> Column:
+    """The chance of each class, given the votes."""
+
+    def evidence(accuses: Column) -> Column:
+        return total(F.zip_with(votes, accuses, lambda v, a: F.when(v == -1, F.log(a)).when(v == 1, F.log(1 - a)).otherwise(0.0)))
+
+    def normal(logs: Column) -> Column:
+        return let(F.transform(logs, lambda x: F.exp(x - F.array_max(logs))), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
+
+    return let(F.zip_with(model["shares"], model["accuses"], lambda share, a: F.log(share) + evidence(a)), normal)
+
+
+def fit(patterns: DataFrame) -> DataFrame:
     """patterns(pattern, n), one row a pattern, to (pattern, p_quality): the posterior after EM.
 
-    The patterns, at most 3 ** len(names), are folded in one row; each round of EM is a fold over them.
+    The patterns, at most 3 ** len(RULES), are folded in one row; each round of EM is a fold over them.
     """
-    m = len(names)
+    m, classes = len(NAMES), len(PRIORS)
     votes = F.array(*[(F.floor(F.col("pattern") / 3**k) % 3 - 1).cast("int") for k in range(m)])
     table = F.sort_array(F.collect_list(F.struct("pattern", votes.alias("v"), F.col("n").cast("double").alias("n"))))
     one = patterns.agg(table.alias("t")).where(F.size("t") > 0)
 
-    def posterior(p: Column, state: Column) -> Column:
-        odds = F.aggregate(
-            F.zip_with(p["v"], state["acc"], lambda v, a: F.when(v == 1, F.log(a["g"]) - F.log(1 - a["b"])).when(v == -1, F.log(1 - a["g"]) - F.log(a["b"])).otherwise(0.0)),
-            F.log(state["pi"]) - F.log(1 - state["pi"]),
-            lambda s, x: s + x,
-        )
-        return 1 / (1 + F.exp(-odds))
+    def maximised(rows: Column) -> Column:
+        """The model that rows(v, w), w the documents of the pattern by class, make likeliest."""
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        def share(c: int) -> Column:
+            mass = total(F.transform(rows, lambda r: r["w"][c]))
+            every = total(F.transform(rows, lambda r: total(r["w"])))
+            return (mass + SHARES[c] * PRIOR_WEIGHT) / (every + PRIOR_WEIGHT)
 
-    def step(t: Column, state: Column) -> Column:
-        def from_posteriors(q: Column) -> Column:
-            both = F.zip_with(t, q, lambda p, x: F.struct(p["v"].alias("v"), p["n"].alias("n"), x.alias("q")))
+        def accuses(c: int, k: int) -> Column:
+            bad = total(F.transform(rows, lambda r: F.when(r["v"][k] == -1, r["w"][c]).otherwise(0.0)))
+            cast = total(F.transform(rows, lambda r: F.when(r["v"][k] != 0, r["w"][c]).otherwise(0.0)))
+            return (bad + PRIORS[c][k] * PRIOR_WEIGHT) / (cast + PRIOR_WEIGHT)
 
-            def accuracy(b: Column, k: int) -> Column:
-                def side(weight: Callable, right: int, prior: tuple) -> Column:
-                    won = total(F.transform(b, lambda r: F.when(r["v"][k] == right, r["n"] * weight(r["q"])).otherwise(0.0)))
-                    cast = total(F.transform(b, lambda r: F.when(r["v"][k] != 0, r["n"] * weight(r["q"])).otherwise(0.0)))
-                    a = (won + prior[0] * PRIOR_WEIGHT) / (cast + PRIOR_WEIGHT)
-                    return F.least(F.greatest(a, F.lit(prior[1])), F.lit(prior[2]))
-
-                return F.struct(side(lambda q: q, 1, ON_GOOD).alias("g"), side(lambda q: 1 - q, -1, ON_BAD).alias("b"))
-
-            return let(both, lambda b: F.struct(
-                ((total(F.transform(b, lambda r: r["n"] * r["q"])) + PRIOR_GOOD * PRIOR_WEIGHT)
-                 / (total(F.transform(b, lambda r: r["n"])) + PRIOR_WEIGHT)).alias("pi"),
-                F.array(*[accuracy(b, k) for k in range(m)]).alias("acc"),
-            ))
+        return F.struct(
+            F.array(*[share(c) for c in range(classes)]).alias("shares"),
+            F.array(*[F.array(*[accuses(c, k) for k in range(m)]) for c in range(classes)]).alias("accuses"),
+        )
 
-        return let(F.transform(t, lambda p: posterior(p, state)), from_posteriors)
+    def step(t: Column, model: Column) -> Column:
+        weighed = F.transform(t, lambda p: F.struct(p["v"].alias("v"), F.transform(posteriors(p["v"], model), lambda q: q * p["n"]).alias("w")))
+        return let(weighed, maximised)
 
-    start = F.struct(F.lit(PRIOR_GOOD).alias("pi"), F.array(*[F.struct(F.lit(ON_GOOD[0]).alias("g"), F.lit(ON_BAD[0]).alias("b"))] * m).alias("acc"))
+    start = F.struct(doubles(SHARES).alias("shares"), F.array(*[doubles(p) for p in PRIORS]).alias("accuses"))
     fitted = let(F.col("t"), lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: step(t, s)))
     model = one.select("t", fitted.alias("model"))
     return model.select(F.explode("t").alias("p"), "model").select(
-        F.col("p.pattern").alias("pattern"), posterior(F.col("p"), F.col("model")).alias("p_quality")
+        F.col("p.pattern").alias("pattern"), F.get(posteriors(F.col("p.v"), F.col("model")), F.lit(0)).alias("p_quality")
     )
 
 
@@ -167,17 +193,16 @@ def judge(figures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     figures is read twice, for the histogram and for the verdicts: hand in a materialized frame.
     """
-    names = [n for n, _, _ in RULES]
-    voted = figures.withColumns({n: vote(bad, good) for n, bad, good in RULES}).withColumn("pattern", pattern(names))
-    posteriors = fit(voted.groupBy("pattern").agg(F.count("*").alias("n")), names)
+    voted = figures.withColumns({n: vote(bad, good) for n, bad, good in RULES}).withColumn("pattern", pattern(NAMES))
+    fitted = fit(voted.groupBy("pattern").agg(F.count("*").alias("n")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    # at most 3 ** 8 patterns: a proven bound for the broadcast
-    return voted.join(F.broadcast(posteriors), "pattern").select(
+    # at most 3 ** 10 patterns: a proven bound for the broadcast
+    return voted.join(F.broadcast(fitted), "pattern").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.col("p_quality") >= threshold)).alias("kept"),
         F.round("p_quality", 6).alias("p_quality"),
-        *names,
+        *NAMES,
         *[c for c in figures.columns if c == "_row"],
     )
 
