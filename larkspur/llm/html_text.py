@@ -1,23 +1,27 @@
 """HTML extraction by minimum-cut labelling.
 
-A page is cut into text blocks. A classifier turns each block's place in the document, its link density and its
-length into a cost for calling it content or boilerplate; the costs are the capacities from the source and to the
-sink. Neighbouring blocks, and more so neighbours in one parent, are tied by smoothness edges. The minimum cut,
-by maximum flow, labels the blocks: content is what stays with the source.
+A page is cut into text blocks. A classifier turns what is known of each block alone, its elements, class names, links,
+length and form, into log odds of being content; they are the capacities of its edge from the source or to the sink. Blocks that
+follow each other, and successive blocks of one parent, are tied by smoothness edges, the stronger the nearer they
+are in the tree of elements. The minimum cut, by maximum flow, labels the blocks: content is what stays with the source. So a
+short line among paragraphs stays, and a wordy notice among links goes. The weights were fitted on pages of known articles
+(html_training.py).
 
 Before the flow, blocks whose terminal outweighs all their edges take its side (such a block is on that side of
-every minimum cut) and pass their edges on as capacities; on most pages none is left over.
+every minimum cut) and pass their edges on as capacities; the flow runs on each connected run of the rest.
 
-A null or empty html gives an empty text. Every row gives one row; extra columns are ignored. Broken markup never
-fails: unclosed elements end with their parents, stray end tags and the rest of an unclosed tag are dropped.
+A null or empty html gives an empty text. Every row gives one row; extra columns are ignored, repeated rows stay. Broken markup never
+fails: unclosed elements end with their parents, stray end tags and the rest of an unclosed tag are dropped. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +42,33 @@ BOILER_WORDS = (
     "promoted|promotion|related|replies|reply|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|teaser|toolbar|topbar|widget|widgets"
 )
 CONTENT_WORDS = "article|content|entry|main|post|story"
-#: Costs by evidence, in the unit of a smoothness edge between neighbours.
-ELEMENT = {"article": 6.0, "main": 6.0, **dict.fromkeys("nav aside footer form menu dialog button search fieldset header".split(), -14.0)}
-BOILER, CONTENT, HIDDEN = -14.0, 3.0, -14.0
-PARAGRAPH, PLAIN, LONG, LINKS, SHORT = 0.6, 0.5, 1.5, -3.0, -0.4
-NEIGHBOUR, SIBLING = 1.0, 0.8
+BOILER_ELEMENTS = frozenset("nav aside footer form menu dialog button search fieldset header".split())
+#: What the classifier knows of a block, and the log odds of content that each tells; fitted by html_training.fit.
+WEIGHTS = {
+    "always": 0.76,
+    "bare": 2.82,
+    "in_article": 5.06,
+    "boiler_element": -7.49,
+    "boiler_name": -9.47,
+    "content_name": 5.04,
+    "paragraph": 2.01,
+    "title": 4.28,
+    "heading": -0.35,
+    "item": -0.25,
+    "length": 0.94,
+    "short": -1.18,
+    "links": -3.32,
+    "copyright": -6.45,
+}
+FEATURES = list(WEIGHTS)
+#: Log odds of a block that is not shown.
+HIDDEN = -50.0
+#: Capacity between blocks that follow each other, and between successive blocks of one parent; shared by steps in the tree.
+NEIGHBOUR, SIBLING = 3.0, 0.5
+#: Share of the capacity that is left with each step up the tree.
+DECAY = 0.5
+#: Elements around a block that its place in the tree is told by.
+DEPTH = 24
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
@@ -50,14 +76,31 @@ _BOILER = re.compile(rf"(?<![a-z])(?:{BOILER_WORDS})(?![a-z])")
 _CONTENT = re.compile(rf"(?<![a-z])(?:{CONTENT_WORDS})(?![a-z])")
 
 
-class Block:
-    __slots__ = ("parts", "linked", "cost", "parent", "name")
+@dataclass(slots=True)
+class Place:
+    """An open element: what it and those around it say."""
+
+    name: str = ""
+    path: tuple[int, ...] = ()
+    linked: bool = False
+    article: bool = False
+    boiler: bool = False
+    boiler_name: bool = False
+    content_name: bool = False
+    hidden: bool = False
 
-    def __init__(self, cost: float, parent: int, name: str) -> None:
-        self.parts, self.linked, self.cost, self.parent, self.name = [], 0, cost, parent, name
+
+@dataclass(slots=True)
+class Block:
+    place: Place
+    element: str
+    parts: list[str] = field(default_factory=list)
+    linked: int = 0
+    text: str = ""
 
 
-def attributes_cost(text: str) -> float:
+def told(text: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes speak of boilerplate, of content, of being hidden."""
     boiler = content = hidden = False
     for name, *values in _ATTRIBUTE.findall(text):
         name, value = name.lower(), "".join(values).lower()
@@ -68,23 +111,46 @@ def attributes_cost(text: str) -> float:
         else:
             boiler |= bool(_BOILER.search(value))
             content |= bool(_CONTENT.search(value))
-    return BOILER * boiler + HIDDEN * hidden + CONTENT * (content and not boiler)
-
-
-def blocks_of(page: str) -> list[tuple[str, float, int]]:
-    """(text, cost, parent) of the blocks of a page in order; a positive cost speaks for content."""
-    # open elements: (name, cost so far, id, inside a link, inside an article)
-    stack: list[tuple] = [("", 0.0, 0, False, False)]
-    out: list[tuple[str, float, int]] = []
+    return boiler, content and not boiler, hidden
+
+
+def inside(around: Place, name: str, attributes: str, serial: int) -> Place:
+    """The place in an element that opens there."""
+    main = name in ("article", "main")
+    # a header in an article holds its title
+    heads = name == "header" and around.article
+    boiler, content, hidden = told(attributes) if attributes and name not in ("html", "body") else (False, False, False)
+    return Place(
+        name,
+        (*around.path[-DEPTH:], serial),
+        around.linked or name == "a",
+        around.article or main,
+        around.boiler or name in BOILER_ELEMENTS and not heads,
+        around.boiler_name or boiler and not heads and not main,
+        around.content_name or content,
+        around.hidden or hidden,
+    )
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order."""
+    stack = [Place()]
+    held: Counter[str] = Counter()  # names in the stack, so that a stray end tag costs no search
+    out: list[Block] = []
     block: Block | None = None
     serial = skip = at = 0
 
+    def close(depth: int) -> None:
+        held.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+
     def flush() -> None:
         nonlocal block
         if block is not None:
-            text = " ".join(html.unescape("".join(block.parts)).split())
-            if text:
-                out.append((text, block.cost + text_cost(text, block), block.parent))
+            block.text = " ".join(html.unescape("".join(block.parts)).split())
+            if block.text:
+                block.parts = []
+                out.append(block)
             block = None
 
     def say(raw: str) -> None:
@@ -94,14 +160,12 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
         if block is None:
             if raw.isspace():
                 return
-            name, cost, parent, _, _ = stack[-1]
             depth = len(stack) - 1
-            while name not in BLOCK and depth:
+            while depth and stack[depth].name not in BLOCK:
                 depth -= 1
-                name, parent = stack[depth][0], stack[depth][2]
-            block = Block(cost, parent, name)
+            block = Block(stack[-1], stack[depth].name)
         block.parts.append(raw)
-        if stack[-1][3]:
+        if stack[-1].linked:
             block.linked += len(raw)
 
     while m := _TAG.search(page, at):
@@ -111,12 +175,11 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
         if not name:
             continue
         if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
             if name in BLOCK:
                 flush()
-            if depth:
-                del stack[depth:]
-                skip = sum(e[0] in SKIPPED for e in stack) if skip else 0
+            if held[name]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
+                skip = sum(held[x] for x in SKIPPED) if skip else 0
             continue
         if name == "br" or name == "wbr":
             say(" " if name == "br" else "")
@@ -125,50 +188,58 @@ def blocks_of(page: str) -> list[tuple[str, float, int]]:
         if name in BLOCK:
             flush()
             closes = CLOSED_BY.get(name, set()) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK and stack[k][0] != "p":
-                    break
+            if any(held[x] for x in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name in closes:
+                        close(k)
+                        break
+                    if stack[k].name in BLOCK and stack[k].name != "p":
+                        break
         if name in VOID or attributes.endswith("/"):
             continue
         if name == "body":
-            del stack[1:]
+            close(1)
             skip = 0
         serial += 1
-        _, cost, _, linked, inside = stack[-1]
-        if name == "header" and inside:
-            pass
-        else:
-            cost += ELEMENT.get(name, 0.0) if not (name in ("article", "main") and inside) else 0.0
-        if attributes and name not in ("html", "body", "article", "main"):
-            extra = attributes_cost(attributes)
-            cost += 0.0 if inside and name == "header" and extra == BOILER else extra
-        stack.append((name, cost, serial, linked or name == "a", inside or name in ("article", "main")))
-        if name in SKIPPED:
-            skip += 1
-            if name in RAW:
-                end = re.compile(rf"</{name}(?![\w-])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                stack.pop()
-                skip -= 1
+        if name in RAW:
+            end = re.compile(rf"</{name}(?![\w-])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        stack.append(inside(stack[-1], name, attributes, serial))
+        held[name] += 1
+        skip += name in SKIPPED
     say(page[at:])
     flush()
     return out
 
 
-def text_cost(text: str, block: Block) -> float:
-    """What length, links and the block's own element say."""
-    words = text.count(" ") + 1
-    cost = PARAGRAPH if block.name in ("p", "blockquote", "pre") else PLAIN
-    if words >= 20:
-        cost += LONG
-    elif words < 4:
-        cost += SHORT
-    if 2 * block.linked > len(text):
-        cost += LINKS
-    return cost
+def features(block: Block) -> list[float]:
+    """Values of FEATURES."""
+    p, text = block.place, block.text
+    n = text.count(" ") + 1
+    return [
+        1.0,
+        block.element in ("", "html", "body"),
+        p.article,
+        p.boiler,
+        p.boiler_name,
+        p.content_name,
+        block.element in ("p", "blockquote", "pre"),
+        block.element == "h1",
+        block.element in ("h2", "h3", "h4", "h5", "h6"),
+        block.element in ("li", "dd", "dt", "label", "legend", "option"),
+        min(n, 60) / 20,
+        n < 4,
+        min(1.0, block.linked / len(text)),
+        text[0] == "©",
+    ]
+
+
+def cost(block: Block) -> float:
+    """Log odds of content."""
+    if block.place.hidden:
+        return HIDDEN
+    return sum(w * x for w, x in zip(WEIGHTS.values(), features(block), strict=True))
 
 
 def minimum_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -195,70 +266,90 @@ def minimum_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list
                     rest[j] += w if label[i] else -w
                     tied[j] -= w
                     queue.append(j)
-    left = [i for i in range(n) if label[i] is None]
-    if left:
-        for i, side in zip(left, _flow(left, rest, near, label), strict=True):
-            label[i] = side
+    seen: set[int] = set()
+    for i in range(n):
+        if label[i] is None and i not in seen:
+            run, queue = [i], deque([i])
+            seen.add(i)
+            while queue:
+                for j in near[queue.popleft()]:
+                    if label[j] is None and j not in seen:
+                        seen.add(j)
+                        run.append(j)
+                        queue.append(j)
+            sides = flow(run, rest, near)
+            for j in run:
+                label[j] = sides[j]
     return [bool(x) for x in label]
 
 
-def _flow(left: list[int], rest: list[float], near: list[dict[int, float]], label: list) -> list[bool]:
-    """Maximum flow by shortest augmenting paths among the blocks left; False for what still reaches the sink."""
-    residual = {i: {j: w for j, w in near[i].items() if label[j] is None} for i in left}
-    source = {i: max(rest[i], 0.0) for i in left}
-    sink = {i: max(-rest[i], 0.0) for i in left}
+def flow(run: list[int], rest: list[float], near: list[dict[int, float]]) -> dict[int, bool]:
+    """Labels of the blocks of a run by maximum flow in phases of shortest paths; False for what still reaches the sink."""
+    member = set(run)
+    residual = {i: {j: w for j, w in near[i].items() if j in member} for i in run}
+    source = {i: max(rest[i], 0.0) for i in run}
+    sink = {i: max(-rest[i], 0.0) for i in run}
     tiny = 1e-9
     while True:
-        before: dict[int, int | None] = {i: None for i in left if source[i] > tiny}
-        queue, end = deque(before), None
-        while queue and end is None:
+        # steps to the nearest block that can still pass flow on to the sink
+        steps = {i: 0 for i in run if sink[i] > tiny}
+        queue = deque(steps)
+        while queue:
             i = queue.popleft()
-            if sink[i] > tiny:
-                end = i
-                break
-            for j, w in residual[i].items():
-                if w > tiny and j not in before:
-                    before[j] = i
+            for j in residual[i]:
+                if j not in steps and residual[j].get(i, 0.0) > tiny:
+                    steps[j] = steps[i] + 1
                     queue.append(j)
-        if end is None:
-            break
-        path = [end]
-        while before[path[-1]] is not None:
-            path.append(before[path[-1]])
-        push = min([sink[end], source[path[-1]], *(residual[b][a] for a, b in zip(path, path[1:], strict=False))])
-        sink[end] -= push
-        source[path[-1]] -= push
-        for a, b in zip(path, path[1:], strict=False):
-            residual[b][a] -= push
-            residual[a][b] = residual[a].get(b, 0.0) + push
-    reach = {i for i in left if sink[i] > tiny}
-    queue = deque(reach)
-    while queue:
-        i = queue.popleft()
-        for j in residual[i]:
-            if j not in reach and residual[j].get(i, 0.0) > tiny:
-                reach.add(j)
-                queue.append(j)
-    return [i not in reach for i in left]
-
-
-def smoothness(parents: list[int]) -> dict[tuple[int, int], float]:
-    """Edges between successive blocks, stronger within one parent, and between successive blocks of one parent."""
+        starts = [i for i in run if source[i] > tiny and i in steps]
+        if not starts:
+            return {i: i not in steps for i in run}
+        ways = {i: iter(tuple(residual[i])) for i in run}
+        for start in starts:
+            path = [start]
+            while path:
+                i = path[-1]
+                if sink[i] > tiny:
+                    push = min([sink[i], source[start], *(residual[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    sink[i] -= push
+                    source[start] -= push
+                    for a, b in zip(path, path[1:], strict=False):
+                        residual[a][b] -= push
+                        residual[b][a] = residual[b].get(a, 0.0) + push
+                    if source[start] <= tiny:
+                        break
+                    # back to before the first edge that is used up
+                    full = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if residual[a][b] <= tiny), None)
+                    if full is not None:
+                        del path[full + 1 :]
+                    continue
+                step = next((j for j in ways[i] if residual[i][j] > tiny and j in steps and steps[j] == steps[i] - 1), None)
+                if step is None:
+                    path.pop()
+                else:
+                    path.append(step)
+
+
+def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
+    """Edges between blocks that follow each other, the weaker the farther apart in the tree, and between those of one parent."""
     edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for i, parent in enumerate(parents):
+    last: dict[tuple[int, ...], int] = {}
+    for i, block in enumerate(blocks):
+        path = block.place.path
         if i:
-            edges[i - 1, i] = NEIGHBOUR
-        if parent in last:
-            edges[last[parent], i] = edges.get((last[parent], i), 0.0) + SIBLING
-        last[parent] = i
+            before = blocks[i - 1].place.path
+            common = next((k for k, (a, b) in enumerate(zip(before, path, strict=False)) if a != b), min(len(before), len(path)))
+            edges[i - 1, i] = NEIGHBOUR * DECAY ** (max(len(before), len(path)) - common - 1)
+        around = path[:-1]
+        if around in last:
+            edges[last[around], i] = edges.get((last[around], i), 0.0) + SIBLING
+        last[around] = i
     return edges
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    labels = minimum_cut([b[1] for b in blocks], smoothness([b[2] for b in blocks]))
-    return "\n".join(b[0] for b, keep in zip(blocks, labels, strict=True) if keep)
+    labels = minimum_cut([cost(b) for b in blocks], smoothness(blocks))
+    return "\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
