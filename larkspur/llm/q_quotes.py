@@ -60,9 +60,10 @@ s AS (
   SELECT c.conv_id, c.turn, c.role, c.text, coalesce(nq, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(root.thread, c.turn) AS thread
   FROM c LEFT JOIN (SELECT rid, count(*) AS nq FROM q GROUP BY rid) USING (rid)
     LEFT JOIN link ON c.conv_id = link.conv_id AND c.turn = link.turn LEFT JOIN root ON c.conv_id = root.conv_id AND c.turn = root.turn
-)
-SELECT conv_id, thread // {quotes.PART} AS part, turn // {quotes.LONG} AS late, count(*) AS n_messages, CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked,
+),
+o AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, text) - 1) // {quotes.CHUNK} AS chunk FROM s)
+SELECT conv_id, chunk, count(*) AS n_messages, CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked,
   string_agg(CAST(turn AS VARCHAR), ',' ORDER BY thread, turn, role, text) AS turns,
   string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY thread, turn, role, text) AS chat
-FROM s GROUP BY ALL
+FROM o GROUP BY ALL
 """

@@ -10,18 +10,19 @@ the message that began the thread; threads in order of their first turn, each in
 conversation, from which quotes and the lines that introduce them are dropped.
 
 A null text is empty, a null role ``unknown``. Rows without conv_id or turn are left out. Rows that share
-both are messages of their own with one place. Extra columns are ignored. A conversation comes in parts of PART
-turns by thread and LONG turns by turn, so that one of any length needs no single task.
+both are messages of their own with one place. Extra columns are ignored. An empty table gives an empty result. A conversation comes in
+chunks of CHUNK messages, counted in its order whatever its turns are, so that one of any length needs no single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import let, materialize
 
-PART, LONG = 1_000, 10_000
+#: Messages of a row of conversations().
+CHUNK = 1_000
 _QUOTE = r"^((?:[ \t]*>)+)[ \t]?"
 #: Ends of lines that introduce a quote.
 _INTRO = r"(?i)\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
@@ -53,17 +54,20 @@ def _lines(text: Column) -> Column:
 
 def _runs(lines: Column) -> Column:
     """Maximal runs of lines of one depth, joined by line feeds; blank lines of depth 0 end a run."""
-    empty = F.array().cast("array<struct<depth:int,body:string>>")
 
-    def add(runs: Column, line: Column) -> Column:
-        last = F.element_at(runs, -1)
-        blank = (line["depth"] == 0) & (F.trim(line["body"]) == "")
-        joins = (F.size(runs) > 0) & F.coalesce(F.try_element_at(runs, F.lit(-1))["depth"] == line["depth"], F.lit(False)) & ~blank
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(line["depth"].alias("depth"), F.concat_ws("\n", last["body"], line["body"]).alias("body"))))
-        fresh = F.concat(runs, F.array(F.struct(F.when(blank, -1).otherwise(line["depth"]).alias("depth"), line["body"].alias("body"))))
-        return F.when(joins, longer).otherwise(fresh)
+    def of(kinds: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(kinds) - 1)
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(kinds, i) != F.get(kinds, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: run(i, F.coalesce(F.get(s, k + 1), F.size(kinds)), kinds)))
 
-    return F.aggregate(lines, empty, add)
+    def run(start: Column, stop: Column, kinds: Column) -> Column:
+        body = F.array_join(F.transform(F.slice(lines, start + 1, stop - start), lambda x: x["body"]), "\n")
+        return F.struct(F.greatest(F.get(kinds, start), F.lit(-1)).alias("depth"), body.alias("body"))
+
+    # a blank line of depth 0 has a kind of its own
+    kinds = F.transform(lines, lambda x, i: F.when((x["depth"] == 0) & (F.trim(x["body"]) == ""), -1 - i).otherwise(x["depth"]))
+    none = F.array().cast("array<struct<depth:int,body:string>>")
+    return F.when(F.size(lines) == 0, none).otherwise(let(kinds, of))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -161,15 +165,31 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def placed(said: DataFrame) -> DataFrame:
+    """said with place, the row's number from 0 in its conversation, in order of thread, turn, role and text.
+
+    Rows are dealt by ranges of the whole order, so that a long conversation is spread over tasks; a range counts its own rows
+    and starts after those of the ranges before it.
+    """
+    order = ["conv_id", "thread_turn", "turn", "role", "text"]
+    written = materialize(said.withColumn("_at", F.monotonically_increasing_id()), "said")
+    dealt = materialize(written.repartitionByRange(*order, "_at").withColumn("_range", F.spark_partition_id()), "dealt")
+    # a row for each conversation of a range: two or more only for conversations that a range ends in
+    counts = dealt.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.row_number().over(Window.partitionBy("conv_id", "_range").orderBy(*order[1:], "_at"))
+    return dealt.withColumn("_number", number).join(offsets, ["conv_id", "_range"]).withColumn("place", F.col("_before") + F.col("_number") - 1).drop("_at", "_range", "_number", "_before")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """(conv_id, part, late, n_messages, n_quotes, n_linked, turns, chat): reply-ordered text without quotes."""
-    said = linked_messages(messages).withColumns({"part": F.expr(f"thread_turn DIV {PART}"), "late": F.expr(f"turn DIV {LONG}")})
-    item = F.struct("thread_turn", "turn", "role", "text")
-    parts = said.groupBy("conv_id", "part", "late").agg(
+    """(conv_id, chunk, n_messages, n_quotes, n_linked, turns, chat): reply-ordered text without quotes."""
+    item = F.struct("place", "turn", "role", "text")
+    parts = placed(linked_messages(messages)).groupBy("conv_id", F.expr(f"place DIV {CHUNK}").alias("chunk")).agg(
         F.count("*").alias("n_messages"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"), F.sort_array(F.collect_list(item)).alias("m")
     )
     return parts.select(
-        "conv_id", "part", "late", "n_messages", "n_quotes", "n_linked",
+        "conv_id", "chunk", "n_messages", "n_quotes", "n_linked",
         F.array_join(F.transform("m", lambda x: x["turn"].cast("string")), ",").alias("turns"),
         F.array_join(F.transform("m", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"])), "\n").alias("chat"),
     )
