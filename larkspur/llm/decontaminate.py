@@ -67,26 +67,35 @@ def words_of(t: Column) -> Column:
     return F.array_remove(F.split(t, SEPARATOR), "")
 
 
-def window_hashes(t: Column) -> Column:
-    """A hash for each window of the canonical words of a marked text, in order."""
-    canon = words_of(F.when(t.rlike(MARK), F.regexp_replace(t, *BLANK)).otherwise(t))
+_WINDOWS = "array<struct<h:bigint,slots:array<string>>>"
 
-    def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
 
-    none = F.array().cast("array<bigint>")
-    return let(canon, lambda c: F.when(F.size(c) < WINDOW, none).otherwise(let(F.transform(c, lambda w: F.xxhash64(w)), windows)))
+def windows_in(t: Column) -> Column:
+    """array<struct<h, slots>>: each window of a marked text by the hash of its canonical words, with the words that have a mark.
 
+    Words are made once; a window looks at its own words only.
+    """
 
-def slots_at(t: Column, pos: Column) -> Column:
-    """The words with a mark in the window at pos, in order."""
-    return F.filter(F.slice(words_of(t), pos + 1, WINDOW), lambda w: w.rlike(MARK))
+    def of(words: Column, has: Column) -> Column:
+        blank = lambda w: F.when(w.rlike(MARK), F.regexp_replace(w, *BLANK)).otherwise(w)
+        hashes = F.when(has, F.transform(words, lambda w: F.xxhash64(blank(w)))).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+        slot = F.when(has, F.transform(words, lambda w: F.when(w.rlike(MARK), w)))
+        return let(F.struct(hashes.alias("h"), slot.alias("slot")), windows)
+
+    def windows(x: Column) -> Column:
+        def one(i: Column) -> Column:
+            slots = F.when(x["slot"].isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.slice(x["slot"], i + 1, WINDOW)))
+            return F.struct(F.xxhash64(*[F.get(x["h"], i + k) for k in range(WINDOW)]).alias("h"), slots.alias("slots"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(x["h"]) - WINDOW), one)
+
+    return let(words_of(t), lambda w: F.when(F.size(w) < WINDOW, F.array().cast(_WINDOWS)).otherwise(of(w, t.rlike(MARK))))
 
 
 def windows_of(rows: DataFrame, key: str) -> DataFrame:
-    """rows(key, text) to (key, t, pos, h): a row for each window; t is the marked text."""
-    return rows.select(key, marked(F.col("text")).alias("t")).select(key, "t", F.posexplode(window_hashes(F.col("t"))).alias("pos", "h"))
+    """rows(key, text) to (key, pos, h, slots): a row for each window with MIN_LITERAL plain words; nothing of the text but its slots goes along."""
+    every = rows.select(key, marked(F.col("text")).alias("t")).select(key, F.posexplode(windows_in(F.col("t"))).alias("pos", "w"))
+    return every.select(key, "pos", "w.h", "w.slots").where(F.size("slots") <= WINDOW - MIN_LITERAL)
 
 
 def one_to_one(pairs: Column) -> Column:
@@ -130,19 +139,20 @@ def whole_leaks(docs: DataFrame, benchmark: DataFrame, items: DataFrame) -> Data
     sizes = sorted(r["size"] for r in ours.select("size").distinct().collect())
     if not sizes:
         return None
-    n, longest = ours.agg(F.count("*"), F.max(F.size("ours"))).first()
+    n = ours.count()
     key = F.lit(None).cast("bigint")
     for size in sizes:
         key = F.when(F.col("size") == size, F.get(anchors(F.col("ours"), [size]), F.lit(0))["h"]).otherwise(key)
     ours = ours.select("item_id", "ours", key.alias("h"))
-    rows = docs.select("doc_id", marked(F.col("text")).alias("t")).select("doc_id", "t", F.explode(anchors(words_of(F.col("t")), sizes)).alias("a"))
-    rows = rows.select("doc_id", "t", "a.pos", "a.h")
-    there = F.slice(words_of(F.col("t")), F.col("pos") + 1, F.lit(longest))
-    if n <= BROADCAST_WINDOWS:
-        hits = rows.join(F.broadcast(ours), "h").withColumn("there", there)
-    else:
-        hits = rows.withColumn("there", there).drop("t").join(ours, "h")
-    hits = hits.select("doc_id", "item_id", "ours", unnamed(F.slice("there", F.lit(1), F.size("ours"))).alias("theirs"))
+    texts = docs.select("doc_id", marked(F.col("text")).alias("t")).withColumn("_text", F.xxhash64("t"))
+    rows = texts.select("doc_id", "_text", F.explode(anchors(words_of(F.col("t")), sizes)).alias("a")).select("doc_id", "_text", "a.pos", "a.h")
+    met = rows.join(F.broadcast(ours) if n <= BROADCAST_WINDOWS else ours, "h")
+    # the words of a text are made once for all its hits; rows of one doc_id and hash are judged together anyway
+    met = met.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("item_id", "pos", "ours")).alias("met"))
+    met = met.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "met")
+    found = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
+    cut = lambda w: F.transform("met", lambda m: F.struct(m["item_id"].alias("item_id"), m["ours"].alias("ours"), F.slice(w, m["pos"] + 1, F.size(m["ours"])).alias("there")))
+    hits = found.select("doc_id", F.explode(let(words_of(F.col("t")), cut)).alias("m")).select("doc_id", "m.item_id", "m.ours", unnamed(F.col("m.there")).alias("theirs"))
     same = F.transform("ours", blanked) == F.transform("theirs", blanked)
     plain = F.size(F.filter("ours", lambda w: ~w.rlike(MARK)))
     slots = F.array_distinct(F.filter(F.arrays_zip("ours", "theirs"), lambda p: p["ours"].rlike(MARK)))
@@ -156,16 +166,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
     An item looked for as a whole counts as one window."""
     items = windows_of(benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()), "item_id")
-    items = items.select("item_id", F.col("pos").alias("item_pos"), "h", slots_at(F.col("t"), F.col("pos")).alias("item_slots"))
-    items = materialize(items.where(F.size("item_slots") <= WINDOW - MIN_LITERAL).distinct(), "items")
+    items = materialize(items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")).distinct(), "items")
     sizes = items.groupBy("item_id").agg(F.countDistinct("h").alias("n_item_windows"))
     rows = windows_of(docs.select("doc_id", "text"), "doc_id")
-    if items.count() <= BROADCAST_WINDOWS:
-        # the text stays in its task until a window of it has matched
-        hits = rows.join(F.broadcast(items), "h").withColumn("slots", slots_at(F.col("t"), F.col("pos")))
-    else:
-        wide = rows.withColumn("slots", F.when(F.col("t").rlike(MARK), slots_at(F.col("t"), F.col("pos")))).drop("t")
-        hits = wide.join(items, "h").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
+    hits = rows.join(F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items, "h")
     # a copy of an item with gaps has one alignment a piece; an item has few windows, so the sets are small
     pairs = F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))
     aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -368,3 +369,30 @@ def test_components(spark, monkeypatch, forest):
             root[y] = x
     got = {tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {(x, find(x)) for x in root}
+
+
+def test_decontamination_is_linear_in_the_text(spark, monkeypatch):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    item = "a pump fills a tank of 40 litres in 7 minutes while Anna drinks tea with Boris"
+    bench = spark.createDataFrame([(1, item), (2, "why is it so")], "item_id long, text string")
+
+    def took(n):
+        words_ = [rng.choice(vocab) if k % 5 else str(k) for k in range(n)]
+        doc = spark.createDataFrame([(1, " ".join(words_) + " " + item + " " + " ".join(words_) + " why is it so " + "why is it so " * 50)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert decontaminate.report(doc, bench).first().items == "1,2"
+        return time.perf_counter() - began
+
+    for bound in (200_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+        took(1000)
+        assert took(40_000) < 3 * took(20_000) + 2
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, bench = spark.createDataFrame([], DOC), spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame([(1, "a text of ten words or so that says nothing much")], DOC)
+    assert decontaminate.report(docs, bench).collect() == []
+    assert [tuple(r) for r in decontaminate.report(some, bench).collect()] == [(1, False, 0, "")]
+    assert decontaminate.remove(docs, spark.createDataFrame([(1, "what is it")], "item_id long, text string")).collect() == []
