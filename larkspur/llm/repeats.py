@@ -3,17 +3,19 @@
 Candidates. Every window of LENGTH bytes owns the q-gram in it of least hash, the leftmost at ties; which one
 that is depends on the window's bytes alone, so equal windows own equal q-grams at equal offsets. Runs of
 windows with the same q-gram make one record: some n / 77 for n bytes. Records are counted by q-gram with
-partial aggregates; a q-gram met once leads nowhere. Where all records of a q-gram have equal bytes, their
-windows are repeated; the rest, records of one q-gram with different bytes, is sorted.
-
-Sorting. Bucket-pointer refinement orders the suffixes of the different records: buckets of q-grams are made
-first, then each bucket of two or more is split by the bucket ids of later offsets, twice as far each
-round, ids of one round being used by the next; buckets of one are left alone. At LENGTH bytes, the buckets
-of two or more hold the repeated windows. A task sorts whole q-gram groups, packed in batches. A group of
-more than GROUP records takes another exact way: its windows are counted as rows.
-
-A null text is empty. Rows whose doc_id is null or repeated are told apart by a key of their own, so each row
-counts as a document. Extra columns are ignored.
+partial aggregates; a q-gram met once leads nowhere. Records with equal bytes (by 128 bits of BLAKE2) are copies of
+one kind; each kind is sorted once, or twice next to itself if it has copies.
+
+Sorting. The suffixes of all kinds of a q-gram are sorted by bucket-pointer refinement: buckets of 8-grams are made
+first; a bucket of two or more is sorted by the bucket ids at the offset up to which its members agree, and what it becomes is at once what
+later buckets point to, so that the depth up to which a bucket agrees grows by that of the buckets it points to. Buckets of one are left
+alone. Windows that stand next to each other in the end are compared byte by byte; equal ones are repeated.
+That verdict goes back to all records of the kind. A task sorts whole q-gram groups, packed in batches. A group of
+more than GROUP kinds takes another exact way: its windows are counted as rows.
+
+Kinds with more than a thousandth of the records, a thousand at most, reach their records by broadcast, the rest by a
+shuffle, so no kind fills a task. A null text is empty. Rows whose doc_id is null or repeated are told apart by a key of their own,
+so each row counts as a document. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,18 +33,21 @@ from larkspur.llm.common import materialize
 
 LENGTH = 200
 GRAM = 48
-#: Records of one q-gram that a task sorts at most (some 300 bytes each).
+#: Kinds of one q-gram that a task sorts at most (some 300 bytes each).
 GROUP = 20_000
 #: Bytes that are sorted at once.
-BATCH = 4 << 20
+BATCH = 1 << 20
+#: Bytes of the initial buckets; parts in which a round refines its buckets, each with what the parts before have found.
+FIRST, PARTS = 8, 4
+#: Kinds with more than one in so many records are broadcast.
+HOT = 1_000
 
 
 def records(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(q-gram hash, bytes hash, first window, last window) of the runs of windows that own one q-gram."""
+    """(q-gram hash, two halves of the digest, first window, last window) of the runs of windows that own one q-gram."""
     n = len(data)
     if n < LENGTH:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -59,60 +64,89 @@ def records(data: np.ndarray) -> tuple[np.ndarray, ...]:
     lo = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     hi = np.concatenate([lo[1:] - 1, [n - LENGTH]])
     at = anchor[lo]
-    whole = mix((sums[hi + LENGTH] - sums[lo]) * down[lo] + ((at - lo) << 20 | (hi - lo)).astype(np.uint64))
-    return g[at].view(np.int64), whole.view(np.int64), lo, hi
+    text, shift = data.tobytes(), at - lo
+    digests = b"".join(
+        hashlib.blake2b(text[i:j], digest_size=16, salt=k.to_bytes(8, "little")).digest() for i, j, k in zip(lo.tolist(), (hi + LENGTH).tolist(), shift.tolist(), strict=True)
+    )
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return g[at].view(np.int64), halves[:, 0], halves[:, 1], lo, hi
 
 
-def refined(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of starts begin a LENGTH-byte string that another of starts begins too, by bucket-pointer refinement.
+def sorted_windows(data: np.ndarray, starts: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """starts in order of the suffixes of data that begin there, by bucket-pointer refinement.
 
-    starts are at least LENGTH bytes before the end of data.
+    needed has, for each place in data, the bytes from there on that count; a bucket is refined as long as one of its
+    members needs it.
     """
     n = len(data)
-    width = 8
-    # initial buckets: the 8-grams themselves, read as big-endian numbers
-    first = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        first = (first << np.uint64(8)) | data[k : n - width + 1 + k]
-    _, bucket, held = np.unique(first, return_inverse=True, return_counts=True)
-    open_ = held[bucket] > 1
-    while width * 2 <= LENGTH:
-        bucket, open_ = _split(bucket, open_, width, len(bucket))
-        width *= 2
-    step = LENGTH - width
-    mine = starts[open_[starts]]
-    if step and len(mine):
-        pair = bucket[mine].astype(np.int64) * (len(bucket) + n) + bucket[mine + step]
-    else:
-        pair = bucket[mine].astype(np.int64)
-    _, inverse, held = np.unique(pair, return_inverse=True, return_counts=True)
-    out = np.zeros(n, bool)
-    out[mine[held[inverse] > 1]] = True
-    return out[starts]
-
-
-def _split(bucket: np.ndarray, open_: np.ndarray, step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of two or more split by the bucket ids step bytes later; ids stay in order within a bucket."""
-    at = np.flatnonzero(open_)
-    out, still = bucket.copy(), np.zeros(n, bool)
-    if len(at):
-        later = at + step
-        inside = later < n
-        # a suffix that ends before the later offset has an id of its own below all others
-        pair = bucket[at].astype(np.int64) * (n + 1) + np.where(inside, bucket[np.minimum(later, n - 1)] + 1, 0)
-        order = np.argsort(pair, kind="stable")
-        sorted_ = pair[order]
-        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(at)))
-        # the id of a bucket is the place of its first member, counted from the old bucket's first place
-        rank = np.repeat(head, size)
-        out[at[order]] = rank
-        still[at[order]] = np.repeat(size > 1, size)
-        # closed suffixes need ids that no open bucket has
-        closed = np.flatnonzero(~open_)
-        out[closed] = len(at) + np.arange(len(closed))
-    return out, still
+    words = words_at(data)
+    at = np.argsort(words, kind="stable")
+    new = np.concatenate([[True], words[at[1:]] != words[at[:-1]]])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, n))
+    # the id of a bucket is the place of its first member in the order, so that a part keeps the ids of its bucket
+    bucket, depth = np.empty(n, np.int64), np.full(n, FIRST)
+    bucket[at] = np.repeat(head, size)
+    open_ = _unfinished(at, head, size, depth, needed)
+    while len(open_):
+        ids = bucket[open_]
+        cuts = np.unique(np.searchsorted(ids, ids[np.arange(PARTS) * len(ids) // PARTS]))
+        open_ = np.concatenate([_refine(part, bucket, depth, needed) for part in np.split(open_, cuts[1:])])
+    return starts[np.argsort(bucket[starts], kind="stable")]
+
+
+def _unfinished(at: np.ndarray, head: np.ndarray, size: np.ndarray, depth: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """The members, at in order, of the buckets of two or more that agree in fewer bytes than one of them needs."""
+    wants = np.maximum.reduceat(needed[at], head) > depth[at[head]]
+    return at[np.repeat((size > 1) & wants, size)]
+
+
+def _refine(at: np.ndarray, bucket: np.ndarray, depth: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Sorts the members at of whole buckets by the buckets they point to, in place; gives the unfinished ones in order."""
+    n = len(bucket)
+    target = at + depth[at]
+    inside = target < n
+    there = np.minimum(target, n - 1)
+    # what ends before its target comes first and stands alone
+    pointer = np.where(inside, bucket[there], at - n)
+    gain = np.where(inside, depth[there], 0)
+    order = np.argsort(bucket[at] * (2 * n + 1) + pointer + n, kind="stable")
+    at, pointer, gain = at[order], pointer[order], gain[order]
+    own = bucket[at]
+    fresh = np.concatenate([[True], own[1:] != own[:-1]])
+    new = fresh | np.concatenate([[True], pointer[1:] != pointer[:-1]])
+    head, first = np.flatnonzero(new), np.flatnonzero(fresh)
+    size = np.diff(np.append(head, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    bucket[at] = own + np.repeat(place[head], size)
+    depth[at] += gain
+    return _unfinished(at, head, size, depth, needed)
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The FIRST bytes from each place on, as big-endian numbers; zeros follow the end."""
+    long = np.concatenate([data, np.zeros(FIRST - 1, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for k in range(FIRST):
+        out = (out << np.uint64(8)) | long[k : k + len(data)]
+    return out
+
+
+def refined(data: np.ndarray, starts: np.ndarray, needed: np.ndarray | None = None) -> np.ndarray:
+    """Which of starts begin a LENGTH-byte string that another of starts begins too.
+
+    starts are at least LENGTH bytes before the end of data. Neighbours in the order are compared byte by byte.
+    """
+    if needed is None:
+        needed = np.minimum(len(data) - np.arange(len(data)), LENGTH)
+    at = sorted_windows(data, starts, needed)
+    words = words_at(data)
+    pair = np.arange(len(at) - 1)
+    for k in [*range(0, LENGTH - FIRST, FIRST), LENGTH - FIRST]:
+        pair = pair[words[at[pair] + k] == words[at[pair + 1] + k]]
+    hit = np.zeros(len(data), bool)
+    hit[at[pair]] = hit[at[pair + 1]] = True
+    return hit[starts]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -132,116 +166,124 @@ def _records(rows: DataFrame) -> DataFrame:
         for batch in batches:
             parts = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                gram, whole, lo, hi = records(np.frombuffer(_encoded(text.as_py()), np.uint8))
-                parts.append((gram, whole, np.full(len(lo), key, np.int64), lo, hi - lo))
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+                gram, a, b, lo, hi = records(np.frombuffer(_encoded(text.as_py()), np.uint8))
+                parts.append((gram, a, b, np.full(len(lo), key, np.int64), lo, hi - lo))
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns[:3]), pa.array(columns[3].astype(np.int32)), pa.array(columns[4].astype(np.int32))],
-                names=["gram", "whole", "_key", "lo", "more"],
+                [*map(pa.array, columns[:4]), pa.array(columns[4].astype(np.int32)), pa.array(columns[5].astype(np.int32))],
+                names=["gram", "a", "b", "_key", "lo", "more"],
             )
 
-    return rows.mapInArrow(run, "gram long, whole long, _key long, lo int, more int")
+    return rows.mapInArrow(run, "gram long, a long, b long, _key long, lo int, more int")
+
+
+#: A kind of a q-gram: how many records it has, and where its first one stands.
+_KIND = "gram long, a long, b long, held long, _key long, lo int"
+_FIELDS = [("gram", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("held", pa.int64()), ("_key", pa.int64()), ("lo", pa.int32())]
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """rows(text, _key, wanted) to the bytes of the wanted records."""
+    """rows(_key, text, wanted) to the kinds wanted, with their bytes."""
+    schema = pa.schema([*_FIELDS, ("big", pa.bool_()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data, items = _encoded(text.as_py()), wanted.as_py()
-                yield pa.RecordBatch.from_pylist(
-                    [{"gram": w["gram"], "held": w["held"], "big": w["big"], "_key": key, "lo": w["lo"], "data": data[w["lo"] : w["lo"] + w["more"] + LENGTH]} for w in items],
-                    schema=_CUT,
-                )
-
-    return rows.mapInArrow(run, "gram long, held long, big boolean, _key long, lo int, data binary")
-
+                data = _encoded(text.as_py())
+                pieces = [{**w, "_key": key, "data": data[w["lo"] : w["lo"] + w["more"] + LENGTH]} for w in wanted.as_py()]
+                yield pa.RecordBatch.from_pylist(pieces, schema=schema)
 
-_CUT = pa.schema([("gram", pa.int64()), ("held", pa.int64()), ("big", pa.bool_()), ("_key", pa.int64()), ("lo", pa.int32()), ("data", pa.binary())])
+    return rows.mapInArrow(run, f"{_KIND}, big boolean, data binary")
 
 
 def _spans(pieces: list[tuple]) -> pa.RecordBatch:
-    """Sorts pieces (held, key, lo, data) and gives the spans of repeated windows in those held once."""
-    data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
-    ends = np.cumsum([len(p[3]) for p in pieces])
-    begins = ends - [len(p[3]) for p in pieces]
-    counts = np.array([len(p[3]) - LENGTH + 1 for p in pieces])
-    owner = np.repeat(np.arange(len(pieces)), counts)
+    """Sorts pieces (kind's columns, data), those with copies twice, and gives the spans of repeated windows in each."""
+    copies = [p for p in pieces for _ in range(2 if p[3] > 1 else 1)]
+    data = np.frombuffer(b"".join(p[-1] for p in copies), np.uint8)
+    sizes = np.array([len(p[-1]) for p in copies])
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(copies)), counts)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    twice = refined(data, begins[owner] + within)
-    once = np.array([p[0] == 1 for p in pieces])
-    hit = np.flatnonzero(twice & once[owner])
-    if not len(hit):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["_key", "start", "stop"])
-    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
-    first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
-    keys = np.array([p[1] for p in pieces], np.int64)[owner[first]]
-    los = np.array([p[2] for p in pieces], np.int64)[owner[first]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys), pa.array((los + within[first]).astype(np.int32)), pa.array((los + within[last] + LENGTH).astype(np.int32))],
-        names=["_key", "start", "stop"],
-    )
+    # bytes of other records say nothing of a window's place
+    needed = np.minimum(np.repeat(begins + sizes, sizes) - np.arange(len(data)), LENGTH)
+    hit = np.flatnonzero(refined(data, begins[owner] + within, needed))
+    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
+    first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
+    # the second of two copies says what the first one does
+    again = np.array([k > 0 and copies[k - 1] is copies[k] for k in range(len(copies))])
+    keep = ~again[owner[first]]
+    first, last = first[keep], last[keep]
+    kinds = [copies[k] for k in owner[first]]
+    columns = [pa.array([p[k] for p in kinds], kind) for k, (_, kind) in enumerate(_FIELDS)]
+    ends = [pa.array(within[first].astype(np.int32)), pa.array((within[last] + LENGTH).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, *ends], names=[*(name for name, _ in _FIELDS), "start", "stop"])
 
 
 def _sorted(pieces: DataFrame) -> DataFrame:
-    """Spans in pieces(gram, held, _key, lo, data); rows come clustered by gram, whole groups go to one batch."""
+    """Spans of repeated windows in the kinds of pieces; rows come clustered by gram, whole groups go to one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         group: list[tuple] = []
         gram, total = None, 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != gram:
                     done += group
                     group, gram = [], row[0]
                     if total >= BATCH:
                         yield _spans(done)
                         done, total = [], 0
-                group.append(row[1:])
-                total += len(row[4])
+                group.append(row)
+                total += len(row[-1])
         done += group
         if done:
             yield _spans(done)
 
-    one = pieces.select("gram", "held", "_key", "lo", "data").repartition("gram").sortWithinPartitions("gram")
-    return one.mapInArrow(run, "_key long, start int, stop int")
+    one = pieces.select(*(name for name, _ in _FIELDS), "data").repartition("gram").sortWithinPartitions("gram")
+    return one.mapInArrow(run, f"{_KIND}, start int, stop int")
 
 
 def _counted(pieces: DataFrame) -> DataFrame:
-    """Spans in pieces of very large groups: each window is a row, repeated ones are found by counting."""
+    """Spans in the kinds of very large groups: each window is a row, repeated ones are found by counting."""
+    names = [name for name, _ in _FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, lo, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = row[-1]
                 starts = range(len(data) - LENGTH + 1)
                 marks = [hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in starts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(marks, pa.binary()), pa.array([key] * len(marks), pa.int64()), pa.array([lo + i for i in starts], pa.int32())], names=["mark", "_key", "start"]
-                )
+                kind = [pa.array([row[k]] * len(marks), t) for k, (_, t) in enumerate(_FIELDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), *kind, pa.array(starts, pa.int32())], names=["mark", *names, "start"])
 
-    rows = pieces.select("_key", "lo", "data").mapInArrow(run, "mark binary, _key long, start int")
-    repeated = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    return rows.join(repeated, "mark", "left_semi").select("_key", "start", (F.col("start") + LENGTH).alias("stop"))
+    rows = materialize(pieces.select(*names, "data").mapInArrow(run, f"mark binary, {_KIND}, start int"), "windows")
+    repeated = materialize(rows.groupBy("mark").agg(F.sum("held").alias("n")).where("n > 1").select("mark"), "marks")
+    return rows.join(repeated, "mark", "left_semi").select(*names, "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def spans(rows: DataFrame) -> DataFrame:
     """rows(_key, text) to (_key, spans): the sorted, possibly overlapping spans of bytes to remove."""
     found = materialize(_records(rows.select("_key", "text")), "records")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
     # written first: a join of two plain exchanges is one whose hot partitions Spark can split
-    grams = materialize(grams.select("gram", (F.col("a") != F.col("b")).alias("mixed")), "grams")
-    shared = materialize(found.join(grams, "gram"), "shared")
-    span = lambda d: d.select("_key", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + LENGTH).alias("stop"))
-    mixed = shared.where("mixed")
-    kinds = materialize(mixed.groupBy("gram", "whole").agg(F.count("*").alias("held"), F.min(F.struct("_key", "lo", "more")).alias("at")), "kinds")
-    copies = mixed.join(kinds.where("held > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
-    groups = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("held").alias("least")).where("least = 1")
+    grams = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    shared = materialize(found.join(grams, "gram", "left_semi"), "shared")
+    kind = ["gram", "a", "b"]
+    kinds = materialize(shared.groupBy(*kind).agg(F.count("*").alias("held"), F.min(F.struct("_key", "lo", "more")).alias("at")), "kinds")
+    groups = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
     todo = kinds.join(groups.select("gram", (F.col("kinds") > GROUP).alias("big")), "gram")
-    wanted = todo.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct("gram", "held", "big", "at.lo", "at.more")).alias("wanted"))
+    wanted = todo.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct(*kind, "held", "big", "at.lo", "at.more")).alias("wanted"))
     pieces = materialize(_cut(rows.select("_key", "text").join(wanted, "_key").select("_key", "text", "wanted")), "pieces")
-    every = span(shared.where("NOT mixed")).union(span(copies)).union(_sorted(pieces.where("NOT big"))).union(_counted(pieces.where("big")))
+    verdicts = materialize(_sorted(pieces.where("NOT big")).union(_counted(pieces.where("big"))), "verdicts")
+    lone = verdicts.where("held = 1").select("_key", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop")).alias("stop"))
+    limit = shared.count() // HOT
+    copied = verdicts.where("held > 1").drop("_key", "lo")
+    span = lambda d: d.select("_key", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop")).alias("stop"))
+    # kinds of more than a thousandth of all records are a thousand at most
+    hot = span(shared.join(F.broadcast(copied.where(F.col("held") > limit)), kind))
+    rest = shared.join(F.broadcast(kinds.where(F.col("held") > limit).select(*kind)), kind, "left_anti").join(copied.where(F.col("held") <= limit), kind)
+    every = lone.union(hot).union(span(rest))
     return every.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 

@@ -396,3 +396,27 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.report(docs, bench).collect() == []
     assert [tuple(r) for r in decontaminate.report(some, bench).collect()] == [(1, False, 0, "")]
     assert decontaminate.remove(docs, spark.createDataFrame([(1, "what is it")], "item_id long, text string")).collect() == []
+
+
+def test_windows_are_sorted_as_suffixes():
+    rng = np.random.default_rng(6)
+    for alphabet in ([0, 1], [97, 98], [0], range(256)):
+        data = rng.choice(np.array(list(alphabet), np.uint8), 700)
+        data[400:640] = data[30:270]
+        starts = np.arange(len(data) - repeats.LENGTH + 1)
+        at = repeats.sorted_windows(data, starts, np.minimum(len(data) - np.arange(len(data)), repeats.LENGTH))
+        cut = [data[i : i + repeats.LENGTH].tobytes() for i in at]
+        assert sorted(at) == starts.tolist() and cut == sorted(cut)
+
+
+def test_words_of_equal_polynomial_hash_are_told_apart():
+    word = [0]
+    while len(word) < 1024:
+        word += [1 - x for x in word]
+    a, b = bytes(97 + x for x in word), bytes(98 - x for x in word)
+    one, two = (repeats.records(np.frombuffer(x, np.uint8)) for x in (a, b))
+    assert not set(zip(one[1].tolist(), one[2].tolist(), strict=True)) & set(zip(two[1].tolist(), two[2].tolist(), strict=True)) or a[:300] in b or b[:300] in a
+    both = np.frombuffer(a + b, np.uint8)
+    starts = np.array([0, 1024 - repeats.LENGTH, 1024])
+    want = [a[: repeats.LENGTH], a[-repeats.LENGTH :], b[: repeats.LENGTH]]
+    assert repeats.refined(both, starts).tolist() == [want.count(x) > 1 for x in want]
