@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Words of more bytes are hashed by BLAKE2: sums of powers modulo 2 ** 64 tell short ranges apart, but not long made-up ones.
+LONG_WORD = 256
 #: Odd, so that its powers can be inverted modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -76,6 +80,8 @@ def shingles(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = range_hashes(data, starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     k = min(size, n)
     m = n - k + 1
     long = combine([h[i : i + m] for i in range(k)]) if k == size else mix(combine([h[i : i + 1] for i in range(k)]) + np.uint64(k))

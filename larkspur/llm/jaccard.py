@@ -20,10 +20,12 @@ Tokens are hashes of word shingles. Documents with equal token sets form a class
 Of the m tokens that linked sets share in their prefixes all are frequent, or one is rare: step 2 covers the
 first case, step 1 the second, so no link is lost.
 
-A token's index group has a row a document at most, where a document has some 0.18 n rows: one task can hold it.
+Tokens that one in a hundred classes or more have in their prefix, some dozens a class at most, are found and counted before
+the shuffle and get their counts by broadcast, so that no task holds the rows of such a token.
 
 Null and empty texts have no tokens and link with nothing. Rows with one doc_id are one document, come back
-once, and have the largest of their texts; rows without doc_id are left out. Extra columns are ignored.
+once, and have the largest of their texts; rows without doc_id come back each, with their n_shingles and without a
+component, as nothing names them. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ from larkspur.llm.components import components
 
 #: A token or combination held by at most so many classes gives all their pairs.
 RARE = 16
-#: Ids of candidate documents are broadcast up to this many (some 50 MB), so that only candidates' texts are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Tokens that a class in so many or more has are counted before the shuffle; looked for in batches at twice that rate.
+HOT = 100
+#: Ids of candidate documents are broadcast up to this many (some 20 MB), so that only candidates' texts are shuffled.
+BROADCAST_IDS = 200_000
 #: Sets and tokens of a block; columns of an incidence matrix that are multiplied at once.
 BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 800, 1_000_000, 8_192
 
@@ -183,11 +187,32 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def grouped(index: DataFrame) -> DataFrame:
-    """index(key, doc, n) with the group's size and its least member, for groups of two or more; one shuffle."""
-    dealt = index.repartition("key")
+def hot_tokens(reps: DataFrame) -> DataFrame:
+    """(key, held, pivot) of the tokens in reps(doc_id, n, prefix) that one in HOT rows or more have; their number is bounded by HOT
+    times the mean prefix.
+
+    A token that is so frequent is as frequent in some batch, so batches name the candidates; all rows count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, times = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values[times >= max(2, batch.num_rows // (2 * HOT))], pa.int64())], names=["key"])
+
+    named = materialize(reps.select("prefix").mapInArrow(run, "key long").distinct(), "hot")
+    rows = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"), "n")
+    known = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    counted = rows.join(known, "key", "left_semi").groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct("doc", "n")).alias("pivot"))
+    return materialize(counted.where((F.col("held") > RARE) & (F.col("held") * HOT >= reps.count())), "hot")
+
+
+def grouped(index: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """index(key, doc, n) with the group's size and its least member, for groups of two or more; one shuffle of all but the hot keys."""
+    rest = index if hot is None else index.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    dealt = rest.repartition("key")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct("doc", "n")).alias("pivot")).where("held > 1")
-    return dealt.join(sizes, "key")
+    out = dealt.join(sizes, "key")
+    return out if hot is None else out.unionByName(index.join(F.broadcast(hot), "key"))
 
 
 def collected(index: DataFrame) -> DataFrame:
@@ -196,8 +221,8 @@ def collected(index: DataFrame) -> DataFrame:
 
 
 def single(rows: DataFrame) -> DataFrame:
-    """One row for each doc_id. Texts are only grouped where an id is repeated."""
-    repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row for each doc_id, and each of those without one. Texts are only grouped where an id is repeated."""
+    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return rows
     merged = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
@@ -206,13 +231,13 @@ def single(rows: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_shingles, component_id)."""
-    rows = single(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL"))
+    rows = single(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = materialize(profiles(rows, size, percent), "profiles")
     # classes of equal sets; sets without tokens stay alone
-    classes = found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
-    reps = found.join(classes.select("digest", F.col("doc").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    classes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
+    reps = materialize(found.join(classes.select("digest", F.col("doc").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "n", "prefix"), "reps")
     index = reps.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"), "n")
-    shared = materialize(grouped(index), "shared")
+    shared = materialize(grouped(index, hot_tokens(reps)), "shared")
     frequent = shared.where(F.col("held") > RARE).groupBy("doc").agg(F.count("*").alias("f"), F.first("n").alias("n"))
     frequent = materialize(frequent, "frequent")
     # the smaller of two linked sets, one of which has n tokens, has percent of n at least
@@ -236,7 +261,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         comps = materialize(components(links.union(across)), "components")
     merged = classes.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     return found.join(merged, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id")
     )
 
 
