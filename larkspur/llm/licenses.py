@@ -7,11 +7,11 @@ errors and gives span and edits. A window is that of one place (starts that diff
 notices back to back are each found; of overlapping matches of a notice the one of fewest edits counts.
 
 A match is of its own license only if the word that tells licenses apart is not another one's: it must keep a letter
-in its place, and a name of RIVALS is no edited form of it. Where spans of different labels overlap, the best score stands.
+in its place, and a name of RIVALS is no edited form of it; numbers, where there are any, must be the notice's own. Where spans of different labels overlap, the best score stands.
 
 Texts are searched as words joined by single spaces: A-Z lower-cased, words are runs of letters, digits and
-non-ASCII characters. A null text is empty, without words or labels. Every row gives one row; extra columns
-are ignored.
+non-ASCII characters. A null text is empty, without words or labels. Every row gives one row, repeated ones too; extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,6 +82,11 @@ def undisplaced(spans: list[tuple], labels: list[str]) -> list[tuple]:
     return out
 
 
+def places(text: str) -> list[int]:
+    """Where the spaces of text stand: as many as words begin before a place lie below it."""
+    return [m.start() for m in regex.finditer(" ", text)]
+
+
 def meets(places: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether one of the places, disjoint and sorted, overlaps start to end."""
     at = bisect.bisect_left(places, (end,))
@@ -108,9 +113,10 @@ class Scanner:
         for phrase, label in self.phrases:
             at = padded.find(phrase)
             while at >= 0:
-                out.append((padded.count(" ", 0, at), label))
+                out.append((at, label))
                 at = padded.find(phrase, at + 1)
-        return out
+        spaces = places(padded) if out else []
+        return [(bisect.bisect_left(spaces, at), label) for at, label in out]
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """Candidate windows [start, end] of each notice, one for starts that differ by its edits at most."""
@@ -135,6 +141,9 @@ class Scanner:
     def own(self, notice: str, found: str) -> bool:
         """Whether the words of found (whole words) tell the notice's license."""
         ours, theirs = notice.split(), found.split()
+        numbers = [w for w in theirs if w.isdigit()]
+        if numbers and numbers != [w for w in ours if w.isdigit()]:
+            return False
         for word in set(ours) & set(RIVALS):
             if word in theirs:
                 continue
@@ -162,9 +171,10 @@ class Scanner:
                 if self.own(n, around):
                     spans.append((round(1 - edits / len(n), 6), start, end, which, edits))
         out, labels = [], [label for _, label, _ in self.notices]
+        spaces = places(text) if spans else []
         for score, start, end, which, edits in undisplaced(spans, labels):
-            first = text.count(" ", 0, start + (text[start] == " "))
-            last = text.count(" ", 0, end - (text[end - 1] == " "))
+            first = bisect.bisect_left(spaces, start + (text[start] == " "))
+            last = bisect.bisect_left(spaces, end - (text[end - 1] == " "))
             out.append({"label": labels[which], "first_word": first, "last_word": last, "edits": edits, "score": score})
         return sorted(out, key=lambda s: (s["first_word"], s["last_word"], s["label"], s["edits"]))
 

@@ -438,3 +438,40 @@ def test_a_very_frequent_token(spark):
     rows += [(100 + k, rows[k][1]) for k in range(10)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows)).collect()}
     assert got == brute_components(rows)
+
+
+def edited(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        kind, at = rng.randrange(3), rng.randrange(len(out))
+        out[at : at + (kind > 0)] = [] if kind == 2 else [rng.choice("qxz ")]
+    return " ".join("".join(out).split())
+
+
+def test_seeds_lose_no_match_of_any_window():
+    one, rng, met = licenses.scanner(), random.Random(7), 0
+    for _ in range(300):
+        notice, _, k = rng.choice(one.notices)
+        text = f"some words {edited(rng, notice, rng.randint(0, k + 2))} and {edited(rng, rng.choice(one.notices)[0], rng.randint(0, 3))} end"
+        windows = one.windows(text)
+        for which, pattern in enumerate(one.patterns):
+            everywhere = pattern.search(text) is not None  # every window, without seeds
+            assert everywhere == any(pattern.search(text, a, b) for a, b in windows.get(which, []))
+            met += everywhere
+    assert met > 300
+
+
+def test_licenses_that_are_none():
+    scan = lambda t: licenses.scanner().scan(t)["labels"]
+    for text in ("Released under the BSD License", "Released under the GPL license", "Licensed under the ISC license", "Mozilla Public License version 1 1", "the public was granted a license"):
+        assert scan(text) == "", text
+    assert scan("Mozilla Publik License, version 2.0") == "mpl"
+
+
+def test_licenses_of_odd_tables(spark):
+    assert licenses.scan(frame(spark, [])).collect() == []
+    long = "mit license " * 30_000
+    began = time.perf_counter()
+    got = licenses.scan(frame(spark, [(1, long), (1, "x"), (1, "x")])).collect()
+    assert sorted(r.n_base for r in got) == [0, 0, 30_000] and time.perf_counter() - began < 60
+    assert max(r.last_word for r in got if r.n_base) == 59_998
