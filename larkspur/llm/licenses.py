@@ -7,7 +7,7 @@ errors and gives span and edits. A window is that of one place (starts that diff
 notices back to back are each found; of overlapping matches of a notice the one of fewest edits counts.
 
 A match is of its own license only if the word that tells licenses apart is not another one's: it must keep a letter
-in its place, and a name of RIVALS is no edited form of it; numbers, where there are any, must be the notice's own. Where spans of different labels overlap, the best score stands.
+in its place, and a name of RIVALS is no edited form of it; a number must be one of the notice's. Where spans of different labels overlap, the best score stands.
 
 Texts are searched as words joined by single spaces: A-Z lower-cased, words are runs of letters, digits and
 non-ASCII characters. A null text is empty, without words or labels. Every row gives one row, repeated ones too; extra columns
@@ -141,8 +141,7 @@ class Scanner:
     def own(self, notice: str, found: str) -> bool:
         """Whether the words of found (whole words) tell the notice's license."""
         ours, theirs = notice.split(), found.split()
-        numbers = [w for w in theirs if w.isdigit()]
-        if numbers and numbers != [w for w in ours if w.isdigit()]:
+        if any(w.isdigit() and w not in ours for w in theirs):
             return False
         for word in set(ours) & set(RIVALS):
             if word in theirs:

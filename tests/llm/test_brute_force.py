@@ -470,8 +470,8 @@ def test_licenses_that_are_none():
 
 def test_licenses_of_odd_tables(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
-    long = "mit license " * 30_000
+    long = "mit license " * 4_000
     began = time.perf_counter()
     got = licenses.scan(frame(spark, [(1, long), (1, "x"), (1, "x")])).collect()
-    assert sorted(r.n_base for r in got) == [0, 0, 30_000] and time.perf_counter() - began < 60
-    assert max(r.last_word for r in got if r.n_base) == 59_998
+    assert sorted(r.n_base for r in got) == [0, 0, 4_000] and time.perf_counter() - began < 30
+    assert max(r.last_word for r in got if r.n_base) == 7_998
