@@ -53,8 +53,8 @@ _LINES = f"SELECT grp, mu, phi, line, {_K} FROM ({M}) m, (SELECT unnest(range(1,
 
 def _priced(spark: SparkSession, sf_dir: str, cdf) -> DataFrame:
     rows = models(spark, sf_dir).withColumn("line", F.explode(F.transform(F.sequence(F.lit(1), F.lit(29)), lambda i: i * F.lit(0.5))))
-    p = prob.ou_probs(lambda k: cdf(k, F.col("mu"), F.col("phi")), F.col("mu"), F.col("line"))
-    return rows.withColumn("p", p).select("grp", "line", *[F.round(F.col(f"p.{x}") + 1e-12, 7).alias(f"p_{x}") for x in ("over", "under", "push")])
+    p = prob.ou_from_sums(lambda k: cdf(k, F.col("mu"), F.col("phi")), F.col("mu"), F.col("line"))
+    return prob.once(rows, "p", p).select("grp", "line", *[F.round(F.col(f"p.{x}") + 1e-12, 7).alias(f"p_{x}") for x in ("over", "under", "push")])
 
 
 #: A trifle is added so that ties of rounding fall alike in every engine.
@@ -63,7 +63,7 @@ _OUT = "round(p_over + 1e-12, 7) AS p_over, round(p_under + 1e-12, 7) AS p_under
 
 @query(f"SELECT grp, line, {_OUT} FROM ({_ou(_LINES, _pois('k', 'mu'), _pois('k - 1', 'mu'))})")
 def poisson_ou_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priced(spark, sf_dir, lambda k, mu, _: prob.poisson_cdf(k, mu))
+    return _priced(spark, sf_dir, lambda k, mu, _: prob.poisson_sums(k, mu))
 
 
 _R = "(mu / (CASE WHEN phi > 1.001 THEN phi - 1 ELSE 1 END))"
@@ -75,12 +75,12 @@ def _disp(k: str) -> str:
 
 @query(f"SELECT grp, line, {_OUT} FROM ({_ou(_LINES, _disp('k'), _disp('k - 1'))})")
 def negbin_dispersion_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priced(spark, sf_dir, prob.negbin_dispersion_cdf)
+    return _priced(spark, sf_dir, prob.negbin_dispersion_sums)
 
 
 @query(f"SELECT grp, line, {_OUT} FROM ({_ou(_LINES, _nb('k', 'phi', '(phi / (phi + mu))'), _nb('k - 1', 'phi', '(phi / (phi + mu))'))})")
 def negbin_size_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priced(spark, sf_dir, prob.negbin_size_cdf)
+    return _priced(spark, sf_dir, prob.negbin_size_sums)
 
 
 @query(f"""SELECT grp, line, round(CASE WHEN p_over > 1e-12 THEN (1 - p_push) / p_over END, 4) AS fair_over,
@@ -88,8 +88,8 @@ def negbin_size_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM ({_ou(_LINES, _pois('k', 'mu'), _pois('k - 1', 'mu'))}) WHERE p_over > 0.01 AND p_under > 0.01""")
 def fair_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = models(spark, sf_dir).withColumn("line", F.explode(F.transform(F.sequence(F.lit(1), F.lit(29)), lambda i: i * F.lit(0.5))))
-    p = prob.ou_probs(lambda k: prob.poisson_cdf(k, F.col("mu")), F.col("mu"), F.col("line"))
-    return rows.withColumn("p", p).where("p.over > 0.01 AND p.under > 0.01").select(
+    p = prob.ou_from_sums(lambda k: prob.poisson_sums(k, F.col("mu")), F.col("mu"), F.col("line"))
+    return prob.once(rows, "p", p).where("p.over > 0.01 AND p.under > 0.01").select(
         "grp", "line", F.round(prob.fair_odd(F.col("p.over"), F.col("p.push")), 4).alias("fair_over"), F.round(prob.fair_odd(F.col("p.under"), F.col("p.push")), 4).alias("fair_under"))
 
 
@@ -109,7 +109,7 @@ _FLAGS = f"""SELECT grp, a1, a2, a3, house, line, "over", "under", round(p_over
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ladders(spark, sf_dir).where((F.col("line") <= TOP_LINE) & (F.col("over") > 1.01) & (F.col("over") <= 50) & (F.col("under") > 1.01) & (F.col("under") <= 50))
     rows = rows.withColumn("d", prob.devig(F.col("over"), F.col("under"))).where(F.col("d.margin").between(0, 0.12))
-    priced = rows.join(models(spark, sf_dir), "grp").withColumn("p", prob.ou_probs(lambda k: prob.poisson_cdf(k, F.col("mu")), F.col("mu"), F.col("line")))
+    priced = prob.once(rows.join(models(spark, sf_dir), "grp"), "p", prob.ou_from_sums(lambda k: prob.poisson_sums(k, F.col("mu")), F.col("mu"), F.col("line")))
     ev = F.round(prob.expected_value(F.col("p.over"), F.col("over"), F.col("p.push")), 6)
     edge = F.round(prob.conditional_win(F.col("p.over"), F.col("p.push")) - F.col("d.p_over"), 6)
     return priced.withColumns({"ev": ev, "edge": edge}).where(F.col("p.over").between(0.15, 0.85) & (F.col("ev") >= 0.05) & (F.col("edge") >= 0.04)).select("grp", "a1", "a2", "a3", "house", "line", "over", "under", "ev", "edge")
