@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.prob import bind
@@ -33,6 +33,15 @@ LEAGUES = (
     ("ru", "russia"),
 )
 MIN_TOKEN = 4
+#: Marks of women's, second, reserve and youth sides.
+FLAGS = "f fem w b ii r res sub jr u17 u19 u20 u21 u23".split()
+#: Words of many clubs' names, which say nothing alone.
+WEAK = (
+    "sporting sport united unidos city club clube real atletico atletica athletic nacional national deportivo deportiva deportes racing independiente"
+    " internacional inter universidad universitario universidade america juventud juventude union olimpia olimpic olympic central junior"
+).split()
+#: Score of two names of which a word holds the other's.
+HELD = 92.0
 
 
 def plain(text: Column) -> Column:
@@ -119,3 +128,35 @@ def token_set_ratio(a: Column, b: Column) -> Column:
         )
 
     return bind(words(a), lambda x: bind(words(b), lambda y: compare(x, y)))
+
+
+def strip_weak(name: Column) -> Column:
+    return F.array_join(F.filter(F.split(name, " "), lambda t: (t != "") & ~t.isin(*WEAK)), " ")
+
+
+def side_hit(a: Column, b: Column) -> Column:
+    """token_set_ratio, at least HELD if a word of one holds a word of the other; 0 if a name is empty."""
+    held = F.exists(tokens(a), lambda x: F.exists(tokens(b), lambda y: x.contains(y) | y.contains(x)))
+    score = F.when(held, F.greatest(token_set_ratio(a, b), F.lit(HELD))).otherwise(token_set_ratio(a, b))
+    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(score)
+
+
+def side_hit_strong(a: Column, b: Column) -> Column:
+    """side_hit without weak words; names of weak words only give 0."""
+    return bind(strip_weak(a), lambda x: bind(strip_weak(b), lambda y: side_hit(x, y)))
+
+
+def flags(name: Column) -> Column:
+    """The marks in a name, sorted, as text."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(name, F.lit("")), " "), lambda t: t.isin(*FLAGS)))), " ")
+
+
+def pair_flags(home: Column, away: Column) -> Column:
+    """The marks of both sides, whichever is at home."""
+    return F.array_sort(F.array(flags(home), flags(away)))
+
+
+def aliased(names: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
+    """names with the alias of the column name, by a join with a dimension aliases(alias, name)."""
+    dim = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("name").alias("_name"))
+    return names.join(dim, F.col(name) == F.col("_alias"), "left").withColumn(name, F.coalesce("_name", name)).drop("_alias", "_name")
