@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by checkpoint() in the cluster's shared folder; a temporary one only in local mode."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="larkspur-"))
+    return df.checkpoint()
+
+
 def slot_rivals(rows: DataFrame, day: str, time: str, key: str, minutes: int) -> DataFrame:
     """How many other rows of the day lie within minutes of each row; days are small blocks."""
     other = rows.select(F.col(day), F.col(time).alias("_t"), F.col(key).alias("_k"))
@@ -20,17 +31,15 @@ def unify(edges: DataFrame) -> DataFrame:
 
     Lineage is cut by checkpoint() in the cluster's shared folder; only a count reaches the driver each round.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node").checkpoint()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(both)
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        new = (
+        new = cut(
             labels.join(seen, labels.node == seen.a).join(jump, "component")
-            .select("node", F.least("component", "near", "higher").alias("new"), "component").checkpoint()
+            .select("node", F.least("component", "near", "higher").alias("new"), "component")
         )
         if new.where("new != component").isEmpty():
             return labels
