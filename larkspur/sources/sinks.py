@@ -13,9 +13,30 @@ def append_ticks(rows: DataFrame, path: str, time: str = "ts") -> None:
     rows.withColumn("date", F.to_date(time)).write.mode("append").partitionBy("date").json(path)
 
 
-def upsert_months(rows: DataFrame, path: str, kickoff: str = "kickoff") -> None:
-    """Replace only the months that rows hold."""
-    rows.withColumn("month", F.date_format(kickoff, "yyyy-MM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+def upsert_months(rows: DataFrame, path: str, kickoff: str = "kickoff", keys: list[str] | None = None) -> None:
+    """Write rows to their months. With keys, a month keeps what it holds under other keys, and is left alone if nothing in it changes."""
+    new = rows.withColumn("month", F.date_format(kickoff, "yyyy-MM"))
+    spark = rows.sparkSession
+    if keys and _exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        held = old.join(new.select("month").distinct(), "month", "left_semi")
+        merged = new.unionByName(held.join(new.select("month", *keys), ["month", *keys], "left_anti"))
+        changed = merged.exceptAll(held.select(*merged.columns)).select("month").union(held.select(*merged.columns).exceptAll(merged).select("month")).distinct()
+        # read and written in one place: the rows are held in files of their own first
+        aside = f"{path.rstrip('/')}.aside"
+        merged.join(changed, "month", "left_semi").write.mode("overwrite").parquet(aside)
+        new = spark.read.schema(merged.schema).parquet(aside)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def append_months(rows: DataFrame, path: str, kickoff: str = "kickoff") -> None:
+    """Append settled rows, partitioned by the month of kickoff; those without one go to ``unknown``."""
+    rows.withColumn("month", F.coalesce(F.date_format(kickoff, "yyyy-MM"), F.lit("unknown"))).write.mode("append").partitionBy("month").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def generation(rows: DataFrame, folder: str, columns: list[str]) -> str:
@@ -34,19 +55,40 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small file by writing aside and renaming, so that readers see the old or the new one whole."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     final, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs = final.getFileSystem(conf)
-    out = fs.create(aside, True)
+    out = final.getFileSystem(conf).create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(aside, final):
-        raise OSError(f"could not rename to {path}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf)
+    how = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    how[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    files.rename(aside, final, how)
+
+
+def keep_generations(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Remove all but the latest generations of a folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = [s for s in fs.listStatus(where) if s.getPath().getName().startswith("gen=")]
+    for status in sorted(made, key=lambda s: (s.getModificationTime(), s.getPath().getName()))[:-keep]:
+        fs.delete(status.getPath(), True)
+
+
+def manifest(artifacts: DataFrame, path: str, at: str, most_spread_minutes: int = 45) -> dict:
+    """Write a manifest of artifacts(name, sha256, n, ts): what was published together; refuse sources too far apart in time."""
+    spread = artifacts.agg(((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60e6).alias("minutes")).first().minutes
+    if spread is not None and spread > most_spread_minutes:
+        raise ValueError(f"sources lie {spread:.0f} minutes apart")
+    rows = [r.asDict() for r in artifacts.select("name", "sha256", F.col("n").cast("long").alias("n"), F.col("ts").cast("string").alias("ts")).orderBy("name").collect()]
+    body = {"at": at, "spread_minutes": spread, "artifacts": rows}
+    put_text(artifacts.sparkSession, path, json.dumps(body))
+    return body
 
 
 def publish(rows: DataFrame, folder: str, pointer: str, columns: list[str], at: str, mode: str = "full") -> dict:
     """Write a generation, then its pointer, last. A ``close`` generation never replaces the pointer of a full one."""
     path = generation(rows, folder, columns)
+    keep_generations(rows.sparkSession, folder)
     body = {"file": path, "n": rows.count(), "at": at, "mode": mode}
     put_text(rows.sparkSession, pointer if mode == "full" else pointer.replace(".json", f"_{mode}.json"), json.dumps(body))
     return body

@@ -12,22 +12,63 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 TICK = "game long, house string, id long, ts timestamp, odd double, previous double, kind string"
 
 
+STATE = "game long, house string, open_odd double, open_ts timestamp, last_odd double, last_ts timestamp, min_odd double, max_odd double, n_obs long, n_moves long, closed boolean"
+
+
 def price_ticks(rows: DataFrame, least: float = 0.01) -> DataFrame:
     """rows(game, house, id, ts, odd), a stream, to open and price ticks; state is the last odd of a key."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples(index=False):
-            if last is None or abs(row.odd - last) >= least - 1e-9:
-                out.append((key[0], key[1], row.id, row.ts, row.odd, last, "open" if last is None else "price"))
-            last = row.odd
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["game", "house", "id", "ts", "odd", "previous", "kind"])
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        previous = rows["odd"].shift(1)
+        if state.exists:
+            previous.iloc[0] = state.get[0]
+        moved = previous.isna() | ((rows["odd"] - previous).abs() >= least - 1e-9)
+        state.update((float(rows["odd"].iloc[-1]),))
+        out = rows.assign(game=key[0], house=key[1], previous=previous, kind=previous.isna().map({True: "open", False: "price"}))
+        yield out.loc[moved, ["game", "house", "id", "ts", "odd", "previous", "kind"]]
 
     return rows.select("game", "house", "id", "ts", "odd").groupBy("game", "house").applyInPandasWithState(step, TICK, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def open_close(rows: DataFrame, late: str = "1 hour", keep_days: int = 30) -> DataFrame:
+    """rows(game, house, id, ts, odd, kickoff), a stream, to the state of each instrument after every batch that touches it.
+
+    Observations from kickoff less 45 seconds on count, and change nothing else. A line closes when event time has
+    passed kickoff less two minutes, with its last odd from before. State goes keep_days after kickoff has passed.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = list(state.get) if state.exists else [None, None, None, None, None, None, 0, 0, False]
+        # open odd and ts, last odd and ts, least, most, observations, moves, closed
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        kickoff = rows["kickoff"].iloc[-1]
+        alive = rows if pd.isna(kickoff) else rows[rows["ts"] < kickoff - pd.Timedelta(seconds=45)]
+        now[6] += len(rows)
+        if len(alive) and not now[8]:
+            first, last = alive.iloc[0], alive.iloc[-1]
+            changes = alive["odd"].diff().abs()
+            changes.iloc[0] = abs(first.odd - now[2]) if now[2] is not None else 0.0
+            now[7] += int((changes >= 0.01 - 1e-9).sum())
+            if now[0] is None:
+                now[0], now[1] = float(first.odd), first.ts.to_pydatetime()
+            now[2], now[3] = float(last.odd), last.ts.to_pydatetime()
+            now[4] = min(x for x in (now[4], float(alive["odd"].min())) if x is not None)
+            now[5] = max(x for x in (now[5], float(alive["odd"].max())) if x is not None)
+        now[8] = bool(now[8] or (not pd.isna(kickoff) and rows["ts"].max() >= kickoff - pd.Timedelta(minutes=2)))
+        state.update(tuple(now))
+        if not pd.isna(kickoff):
+            state.setTimeoutTimestamp(max(int((kickoff + pd.Timedelta(days=keep_days)).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *now)], columns=[f.split()[0] for f in STATE.split(", ")])
+
+    watermarked = rows.select("game", "house", "id", "ts", "odd", "kickoff").withWatermark("ts", late)
+    kept = ", ".join(STATE.split(", ")[2:])
+    return watermarked.groupBy("game", "house").applyInPandasWithState(step, STATE, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(rows: DataFrame, late: str = "10 minutes", size: str = "6 hours") -> DataFrame:
     """Counts by house and tumbling window behind a watermark."""
     return rows.withWatermark("ts", late).groupBy("house", F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), F.sum("odd").alias("total"))
