@@ -63,3 +63,37 @@ def runner_up(rows: DataFrame, by: list[str], score: str, order: list) -> DataFr
     w = Window.partitionBy(*by).orderBy(F.desc(score), *order)
     ranked = rows.withColumns({"_rank": F.row_number().over(w), "margin": F.col(score) - F.lead(score).over(w)})
     return ranked.where("_rank = 1").drop("_rank")
+
+
+def beat_split(rows: DataFrame, places: int = 6) -> DataFrame:
+    """rows(clv, won) to one row: how often won of those that beat the close and of the others, and whether the intervals lie apart."""
+    decided = rows.where("won IS NOT NULL")
+    side = lambda beat: (F.count_if(F.col("won") & beat), F.count_if(beat))
+    (k, n), (j, m) = side(F.col("clv") > 0), side(~(F.coalesce(F.col("clv"), F.lit(0.0)) > 0))
+    sums = decided.agg(k.alias("k"), n.alias("n_beat"), j.alias("j"), m.alias("n_not"))
+    some = lambda c: F.when(c > 0, c)
+    a, b = wilson(F.col("k"), some(F.col("n_beat"))), wilson(F.col("j"), some(F.col("n_not")))
+    return sums.select(
+        "n_beat", F.round(100 * F.col("k") / some(F.col("n_beat")), places).alias("green_beat"), "n_not", F.round(100 * F.col("j") / some(F.col("n_not")), places).alias("green_not"),
+        F.coalesce(a["lo"] > b["hi"], F.lit(False)).alias("apart"),
+    )
+
+
+def owners(rows: DataFrame, by: list[str], pair: list[str]) -> DataFrame:
+    """The most common pair of each key, the least one at ties, with its count."""
+    counts = rows.groupBy(*by, *pair).agg(F.count("*").alias("n"))
+    best = counts.groupBy(*by).agg(F.min_by(F.struct(*pair, "n"), F.struct(-F.col("n"), *pair)).alias("o"))
+    return best.select(*by, *[f"o.{c}" for c in (*pair, "n")])
+
+
+def consolidated(rows: DataFrame, key: list[str], month: str) -> DataFrame:
+    """One row a key, that of the newest month."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), month).alias("r")).select(*key, "r.*")
+
+
+def last_runs(rows: DataFrame, by: list[str], order: list, value: str, n: int) -> DataFrame:
+    """Each key's last n values as columns run_1 (the latest) to run_n."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    ranked = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == k, F.col(value))).alias(f"run_{k}") for k in range(1, n + 1)])
