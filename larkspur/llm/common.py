@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where it is unset, in local mode."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="larkspur-"))
         atexit.register(shutil.rmtree, _local[0], True)
