@@ -23,7 +23,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='larkspur-')).rstrip('/')}/larkspur-stream-{uuid.uuid4().hex}"
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{(given or tempfile.mkdtemp(prefix='larkspur-')).rstrip('/')}/larkspur-stream-{uuid.uuid4().hex}"
     writer = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
