@@ -26,7 +26,7 @@ def dealt(texts: list, by: Column) -> Column:
     return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), (by % len(texts)).cast("int"))
 
 
-def _sql(texts: list, by: str) -> str:
+def dealt_sql(texts: list, by: str) -> str:
     listed = ", ".join("NULL" if t is None else "'" + t + "'" for t in texts)
     return f"[{listed}][{by} % {len(texts)} + 1]"
 
@@ -54,7 +54,7 @@ def _league_sql() -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in rules) + " END"
 
 
-@query(f"SELECT league, codes, count(*) AS n FROM (SELECT league, {_league_sql()} AS codes FROM (SELECT league, {_PLAIN('league')} AS l FROM (SELECT {_sql(LEAGUE_TEXTS, 'id')} AS league FROM ({O})))) GROUP BY ALL")
+@query(f"SELECT league, codes, count(*) AS n FROM (SELECT league, {_league_sql()} AS codes FROM (SELECT league, {_PLAIN('league')} AS l FROM (SELECT {dealt_sql(LEAGUE_TEXTS, 'id')} AS league FROM ({O})))) GROUP BY ALL")
 def league_model_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir).select(dealt(LEAGUE_TEXTS, F.col("id")).alias("league")).withColumn("m", keys.league_models(F.col("league")))
     codes = F.when(F.col("m").isNotNull(), F.array_join(F.array(*[F.coalesce(F.col(f"m.{x}"), F.lit("")) for x in ("cards", "fouls", "shots", "corners")]), ","))
@@ -66,13 +66,13 @@ def _market_sql(raw: str) -> str:
     return "CASE " + " ".join(f"WHEN {t} = '{n}' OR {t} LIKE '% {n}' THEN '{m}'" for n, m in keys.MARKET_NAMES.items()) + " END"
 
 
-@query(f"SELECT raw, {_market_sql('raw')} AS market, regexp_matches(replace(replace(lower(raw), ' ', ''), '-', ''), '3vias|3way') AS three, count(*) AS n FROM (SELECT {_sql(MARKET_TEXTS, 'id')} AS raw FROM ({O})) GROUP BY ALL")
+@query(f"SELECT raw, {_market_sql('raw')} AS market, regexp_matches(replace(replace(lower(raw), ' ', ''), '-', ''), '3vias|3way') AS three, count(*) AS n FROM (SELECT {dealt_sql(MARKET_TEXTS, 'id')} AS raw FROM ({O})) GROUP BY ALL")
 def market_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir).select(dealt(MARKET_TEXTS, F.col("id")).alias("raw"))
     return rows.groupBy("raw", keys.market_name(F.col("raw")).alias("market"), keys.three_way(F.col("raw")).alias("three")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT raw, {_market_sql("regexp_extract(raw, '(?i)total de (.*)$', 1)")} AS market, regexp_extract(raw, '(?i)^(.+?)\\s+total de', 1) AS team, count(*) AS n FROM (SELECT {_sql(MARKET_TEXTS, 'cust')} AS raw FROM ({O}))
+@query(f"""SELECT raw, {_market_sql("regexp_extract(raw, '(?i)total de (.*)$', 1)")} AS market, regexp_extract(raw, '(?i)^(.+?)\\s+total de', 1) AS team, count(*) AS n FROM (SELECT {dealt_sql(MARKET_TEXTS, 'cust')} AS raw FROM ({O}))
   WHERE regexp_matches(raw, '(?i)^.+\\s+total de\\s+') GROUP BY ALL""")
 def team_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir).select(dealt(MARKET_TEXTS, F.col("cust")).alias("raw")).withColumn("m", keys.team_market(F.col("raw"))).where("m IS NOT NULL")
@@ -81,7 +81,7 @@ def team_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT message, CASE WHEN message IS NULL THEN NULL WHEN regexp_matches(lower(message), 'timeout') THEN 'Timeout' WHEN regexp_matches(lower(message), '429|rate') THEN 'HTTP429'
   WHEN regexp_matches(lower(message), '403|401|geo|blocked|forbidden') THEN 'Geo' WHEN regexp_matches(lower(message), 'auth|token|jwt') THEN 'Auth' WHEN regexp_matches(lower(message), 'parse|json|empty') THEN 'Parse' ELSE 'Other' END AS class,
-  count(*) AS n FROM (SELECT {_sql(ERROR_TEXTS, 'id')} AS message FROM ({O})) GROUP BY ALL""")
+  count(*) AS n FROM (SELECT {dealt_sql(ERROR_TEXTS, 'id')} AS message FROM ({O})) GROUP BY ALL""")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir).select(dealt(ERROR_TEXTS, F.col("id")).alias("message"))
     return rows.groupBy("message", keys.error_class(F.col("message")).alias("class")).agg(F.count("*").alias("n"))
@@ -106,7 +106,7 @@ def history_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT raw, CASE WHEN regexp_matches(raw, '\\(') THEN regexp_extract(raw, '^(.*) \\(', 1) WHEN raw = 'Leeds - Home - Home' THEN 'Leeds - Home' ELSE raw END AS clean,
   array_to_string(list_sort([x FOR x IN string_split(lower(raw), ' ') IF list_contains({names.FLAGS}, x)]), ' ') AS flags,
-  array_to_string([x FOR x IN string_split(lower(raw), ' ') IF NOT list_contains({names.WEAK}, x)], ' ') AS strong, count(*) AS n FROM (SELECT {_sql(NAME_TEXTS, 'id')} AS raw FROM ({O})) GROUP BY ALL""")
+  array_to_string([x FOR x IN string_split(lower(raw), ' ') IF NOT list_contains({names.WEAK}, x)], ' ') AS strong, count(*) AS n FROM (SELECT {dealt_sql(NAME_TEXTS, 'id')} AS raw FROM ({O})) GROUP BY ALL""")
 def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
     rows = orders(spark, sf_dir).select(dealt(NAME_TEXTS, F.col("id")).alias("raw"))
@@ -116,7 +116,7 @@ def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT text, CASE WHEN k IS NULL THEN 'unknown' WHEN h < 0 THEN 'upcoming' WHEN h <= 3 THEN 'started' ELSE 'finished' END AS state, count(*) AS n FROM (SELECT text, k, epoch(TIMESTAMP '{NOW}' - k) / 3600 AS h FROM (
   SELECT text, CASE WHEN epoch(TIMESTAMP '{NOW}' - k0) > 180 * 86400 THEN k0 + INTERVAL 1 YEAR ELSE k0 END AS k FROM (
-  SELECT text, CASE WHEN regexp_matches(text, '^[0-9]') THEN try_strptime('2024/' || text, '%Y/%d/%m %H:%M') END AS k0 FROM (SELECT {_sql(START_TEXTS, 'id')} AS text FROM ({O}))))) GROUP BY ALL""")
+  SELECT text, CASE WHEN regexp_matches(text, '^[0-9]') THEN try_strptime('2024/' || text, '%Y/%d/%m %H:%M') END AS k0 FROM (SELECT {dealt_sql(START_TEXTS, 'id')} AS text FROM ({O}))))) GROUP BY ALL""")
 def game_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders(spark, sf_dir).select(dealt(START_TEXTS, F.col("id")).alias("text"))
     return rows.groupBy("text", keys.game_state(F.col("text"), F.lit(NOW).cast("timestamp_ntz")).alias("state")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names, prob
 from larkspur.operators import history, ladder
+from larkspur.plans import similar
 from larkspur.plans.registry import query, table
 
 #: Lines above this are far in the tail of every model here.
@@ -240,7 +241,10 @@ def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), names.norm_team(F.col("p_name")).alias("name"))
 
 
-@query()
+_NAMES = "SELECT DISTINCT trim(regexp_replace(strip_accents(lower(coalesce(p_name, ''))), '[^a-z0-9]+', ' ', 'g')) AS a FROM part"
+
+
+@query(f"SELECT a, b, round(ratio, 6) AS score FROM ({similar.ratios(f'SELECT x.a, y.a AS b FROM ({_NAMES}) x JOIN ({_NAMES}) y ON x.a < y.a')})")
 def name_token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of all pairs of distinct part names; a bounded dimension of names."""
     n = table(spark, sf_dir, "part").select(names.norm_team(F.col("p_name")).alias("a")).distinct()
