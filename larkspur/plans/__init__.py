@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from larkspur.plans import boards, events, ledger, prices, streams  # noqa: F401  they register themselves
+from larkspur.plans import boards, events, ledger, matches, prices, streams  # noqa: F401  they register themselves
 from larkspur.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -27,7 +27,7 @@ def dealt(texts: list, by: Column) -> Column:
 
 
 def dealt_sql(texts: list, by: str) -> str:
-    listed = ", ".join("NULL" if t is None else "'" + t + "'" for t in texts)
+    listed = ", ".join("NULL" if t is None else f"'{t}'" for t in texts)
     return f"[{listed}][{by} % {len(texts)} + 1]"
 
 
