@@ -89,29 +89,57 @@ def leagues_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(a != b, F.lit(False))
 
 
-def _indel(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (len a + len b); the table's rows are folded over the characters of a."""
-    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+#: Characters of a name whose places fit in the bits of a long, with room for a sum.
+BITS = 61
 
-    def lcs(x: Column, y: Column) -> Column:
-        zero = F.transform(y, lambda _: F.lit(0))
 
-        def row(previous: Column, c: Column) -> Column:
-            def cell(acc: Column, i: Column) -> Column:
-                left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-                diagonal = F.when(i > 0, F.get(previous, i - 1)).otherwise(F.lit(0))
-                best = F.when(F.get(y, i) == c, diagonal + 1).otherwise(F.greatest(left, F.get(previous, i)))
-                return F.concat(acc, F.array(best))
+def _lcs_bits(x: Column, y: Column) -> Column:
+    """Length of the longest common subsequence of arrays of characters, x of BITS at most: a zero bit for each place of x that is in it."""
+    one = F.lit(1).cast("long")
+    placed = F.transform(x, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", one, i).alias("bit")))
+    full = F.call_function("shiftleft", one, F.size(x)) - 1
+
+    def fold(bits: Column, whole: Column) -> Column:
+        def step(v: Column, c: Column) -> Column:
+            at = F.aggregate(bits, F.lit(0).cast("long"), lambda m, e: F.when(e["c"] == c, m + e["bit"]).otherwise(m))
+            return bind(v.bitwiseAND(at), lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(whole))
+
+        return F.size(x) - F.bit_count(F.aggregate(y, whole, step))
+
+    return bind(placed, lambda bits: bind(full, lambda whole: fold(bits, whole)))
+
+
+def _lcs_rows(x: Column, y: Column) -> Column:
+    """The same for names of any length: the table's rows are folded over the characters of x."""
+
+    def row(previous: Column, c: Column) -> Column:
+        def cell(acc: Column, i: Column) -> Column:
+            left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+            diagonal = F.when(i > 0, F.get(previous, i - 1)).otherwise(F.lit(0))
+            best = F.when(F.get(y, i) == c, diagonal + 1).otherwise(F.greatest(left, F.get(previous, i)))
+            return F.concat(acc, F.array(best))
 
-            indexes = F.transform(y, lambda _, i: i)
-            return F.aggregate(indexes, F.array().cast("array<int>"), cell)
+        return F.aggregate(F.transform(y, lambda _, i: i), F.array().cast("array<int>"), cell)
 
-        return F.coalesce(F.try_element_at(F.aggregate(x, zero, row), F.lit(-1)), F.lit(0))
+    return F.coalesce(F.try_element_at(F.aggregate(x, F.transform(y, lambda _: F.lit(0)), row), F.lit(-1)), F.lit(0))
+
+
+def _indel(a: Column, b: Column) -> Column:
+    """100 * 2 * LCS / (len a + len b)."""
+    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+
+    def lcs(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) <= BITS, _lcs_bits(x, y)).when(F.size(y) <= BITS, _lcs_bits(y, x)).otherwise(_lcs_rows(x, y))
 
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * bind(chars(a), lambda x: bind(chars(b), lambda y: lcs(x, y))) / total)
 
 
+def _held(shared: Column, whole: Column) -> Column:
+    """_indel of a text and one that begins with it."""
+    return 200.0 * F.length(shared) / (F.length(shared) + F.length(whole))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0 to 100: the best Indel similarity of common and differing tokens; 100 if one's tokens hold the other's."""
     words = lambda s: F.array_sort(F.array_distinct(F.array_remove(F.split(s, " "), "")))
@@ -124,7 +152,7 @@ def token_set_ratio(a: Column, b: Column) -> Column:
             F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0)
             .when((F.size(both) > 0) & ((F.size(only_x) == 0) | (F.size(only_y) == 0)), 100.0)
             .when(F.size(both) == 0, _indel(left, right))
-            .otherwise(F.greatest(_indel(left, right), _indel(shared, left), _indel(shared, right)))
+            .otherwise(F.greatest(_indel(left, right), _held(shared, left), _held(shared, right)))
         )
 
     return bind(words(a), lambda x: bind(words(b), lambda y: compare(x, y)))

@@ -57,45 +57,41 @@ def _evidence() -> Column:
     return bind(F.struct(*[one(a, b).alias(k) for k, (a, b) in pairs.items()]), told)
 
 
-def _found(events: DataFrame, fixtures: DataFrame, same_league: bool) -> DataFrame:
-    """(event, fixture, score, method, strong): the best fixture of the day's pool for each event that has one."""
+def matched(events: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """events(event, day, kickoff, home, away, league) to (event, fixture, score, method, strong), unmatched ones left out.
+
+    An event whose league is known looks among the day's fixtures of that league first, then among all; leagues that differ and marks of
+    women's, second or youth sides that differ never match. Both looks are one pass: a pair of names is compared once, and what the first
+    look finds outranks what the second one does.
+    """
     f = fixtures.select("day", "fixture", F.col("kickoff").alias("f_kickoff"), F.col("home").alias("f_home"), F.col("away").alias("f_away"), F.col("league").alias("f_league"))
-    reach = PAIR_MINUTES + ONE_MINUTES
-    near = events.select("event", "day", "kickoff", "home", "away", "league").join(f, "day").withColumn("minutes", minutes_apart(F.col("kickoff"), F.col("f_kickoff"))).where(F.col("minutes") <= reach)
-    if same_league:
-        near = near.where("league = f_league")
-    seen = once(near, "e", _evidence()).select("*", "e.pair", "e.rh", "e.ra", "e.both", "e.best.strong", "e.best.second").drop("e")
-    pool = seen.groupBy("event").agg(F.collect_list(F.struct("fixture", "f_kickoff", F.greatest("rh", "ra").alias("hit"))).alias("pool"))
-    rows = seen.join(pool, "event")
+    near = events.select("event", "day", "kickoff", "home", "away", "league").join(f, "day").withColumn("minutes", minutes_apart(F.col("kickoff"), F.col("f_kickoff"))).where(F.col("minutes") <= PAIR_MINUTES + ONE_MINUTES)
+    own = F.coalesce(F.col("league") == F.col("f_league"), F.lit(False))
+    seen = once(near.withColumn("own", own), "e", _evidence()).select("*", "e.pair", "e.rh", "e.ra", "e.both", "e.best.strong", "e.best.second").drop("e")
+    rows = seen.withColumn("pool", F.collect_list(F.struct("fixture", "f_kickoff", "own", F.greatest("rh", "ra").alias("hit"))).over(Window.partitionBy("event")))
     within = lambda g, m: F.abs(F.unix_micros(g["f_kickoff"]) - F.unix_micros("f_kickoff")) <= m * 60_000_000
-    rivals = F.exists("pool", lambda g: (g["fixture"] != F.col("fixture")) & within(g, ONE_MINUTES) & (g["hit"] >= ONE_LEAST - 2))
-    alone = F.size(F.filter("pool", lambda g: within(g, SLOT_MINUTES))) == 1
     m, strong = F.col("minutes"), F.col("strong")
     sure = (F.col("pair") >= PAIR_LEAST) & ((strong >= SIDE_LEAST) | (F.col("pair") >= PAIR_SURE))
-    bonus = F.when(F.col("league") == F.col("f_league"), 5.0).otherwise(0.0)
-    tiers = [
-        ("pair", (m <= PAIR_MINUTES) & (sure | F.col("both")), F.greatest(F.col("pair"), (F.col("rh") + F.col("ra")) / 2) + F.greatest(F.lit(0.0), 40 - m)),
-        ("one_side", (m <= ONE_MINUTES) & (strong >= ONE_LEAST) & (F.col("second") >= ONE_SECOND) & ~rivals, strong + F.greatest(F.lit(0.0), 25 - m) + bonus),
-        ("slot_unique", (m <= SLOT_MINUTES) & (strong >= SLOT_LEAST) & (F.col("second") >= SLOT_SECOND) & alone, 80 + strong * 0.2 + F.greatest(F.lit(0.0), 20 - m)),
-    ]
-    options = F.array_compact(F.array(*[F.when(holds, F.struct(score.alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("method"))) for k, (name, holds, score) in enumerate(tiers)]))
+    bonus = F.when(F.col("own"), 5.0).otherwise(0.0)
+
+    def options(pool: Column, look: int) -> list[Column]:
+        rivals = F.exists(pool, lambda g: (g["fixture"] != F.col("fixture")) & within(g, ONE_MINUTES) & (g["hit"] >= ONE_LEAST - 2))
+        alone = F.size(F.filter(pool, lambda g: within(g, SLOT_MINUTES))) == 1
+        tiers = [
+            ("pair", (m <= PAIR_MINUTES) & (sure | F.col("both")), F.greatest(F.col("pair"), (F.col("rh") + F.col("ra")) / 2) + F.greatest(F.lit(0.0), 40 - m)),
+            ("one_side", (m <= ONE_MINUTES) & (strong >= ONE_LEAST) & (F.col("second") >= ONE_SECOND) & ~rivals, strong + F.greatest(F.lit(0.0), 25 - m) + bonus),
+            ("slot_unique", (m <= SLOT_MINUTES) & (strong >= SLOT_LEAST) & (F.col("second") >= SLOT_SECOND) & alone, 80 + strong * 0.2 + F.greatest(F.lit(0.0), 20 - m)),
+        ]
+        allowed = F.col("own") if look else F.lit(True)
+        return [F.when(allowed & holds, F.struct(F.lit(look).alias("look"), score.alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("method"))) for k, (name, holds, score) in enumerate(tiers)]
+
+    every = F.array_compact(F.array(*options(F.filter("pool", lambda g: g["own"]), 1), *options(F.col("pool"), 0)))
     guarded = rows.where(~leagues_conflict(F.col("league"), F.col("f_league")) & (pair_flags(F.col("home"), F.col("away")) == pair_flags(F.col("f_home"), F.col("f_away"))))
-    scored = guarded.withColumn("o", F.array_max(options)).where("o IS NOT NULL")
-    best = scored.groupBy("event").agg(F.max_by(F.struct("fixture", "o.score", "o.method", "strong"), F.struct(F.col("o.score"), F.col("o.rank"), -F.col("minutes"), "fixture")).alias("b"))
+    scored = guarded.withColumn("o", F.array_max(every)).where("o IS NOT NULL")
+    best = scored.groupBy("event").agg(F.max_by(F.struct("fixture", "o.score", "o.method", "strong"), F.struct(F.col("o.look"), F.col("o.score"), F.col("o.rank"), -F.col("minutes"), "fixture")).alias("b"))
     return best.select("event", "b.fixture", "b.score", "b.method", "b.strong")
 
 
-def matched(events: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """events(event, day, kickoff, home, away, league) to (event, fixture, score, method, strong), unmatched ones left out.
-
-    An event whose league is known looks among the day's fixtures of that league first, then among all; leagues that differ and marks of
-    women's, second or youth sides that differ never match.
-    """
-    first = _found(events, fixtures, True)
-    rest = events.join(first.select("event"), "event", "left_anti")
-    return first.unionByName(_found(rest, fixtures, False))
-
-
 def resolved(events: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Every event with its fixture's identity, or its own: fixture, method, day, kickoff, home, away, league, confidence."""
     f = fixtures.select("fixture", *[F.col(c).alias(f"f_{c}") for c in ("day", "kickoff", "home", "away", "league")])
@@ -156,12 +152,14 @@ def same_game_edges(games: DataFrame) -> DataFrame:
 def board_edges(rows: DataFrame) -> DataFrame:
     """(a, b, score) of rows that a board shows as one game: one fixture; or names at 75 at one time, 88 within a day or 75 minutes of it."""
     apart = F.abs(F.unix_micros("x.kickoff") - F.unix_micros("y.kickoff")) / 60e6
-    scored = once(_near(rows), "score", pair_score(F.col("x.home"), F.col("x.away"), F.col("y.home"), F.col("y.away")))
     day, score = F.col("x.day") == F.col("y.day"), F.col("score")
-    alike = (day & (apart == 0) & (score >= 75)) | (day & (score >= 88)) | (~day & (score >= 88) & (apart <= 75))
     free = F.col("x.fixture").isNull() & F.col("y.fixture").isNull()
+    alike = (day & (apart == 0) & (score >= 75)) | (day & (score >= 88)) | (~day & (score >= 88) & (apart <= 75))
     stuck = (F.col("x.fixture").isNull() != F.col("y.fixture").isNull()) & day & (((apart == 0) & (score >= 75)) | (score >= 95))
     one = F.coalesce(F.col("x.fixture") == F.col("y.fixture"), F.lit(False))
+    # names are compared only where they can decide
+    open_pairs = _near(rows).where(one | (F.col("x.fixture").isNull() | F.col("y.fixture").isNull()) & (day | (free & F.coalesce(apart <= 75, F.lit(False)))))
+    scored = once(open_pairs, "score", pair_score(F.col("x.home"), F.col("x.away"), F.col("y.home"), F.col("y.away")))
     return scored.where(F.coalesce(one | (free & alike) | stuck, F.lit(False))).select(F.col("x.game").alias("a"), F.col("y.game").alias("b"), "score")
 
 

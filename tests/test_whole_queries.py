@@ -35,7 +35,7 @@ def token_set_ratio(a, b):
 
 
 def test_names_of_all_pairs(spark, tmp_path):
-    part = ["azure pale", "pale azure", "Pale  Azure", "red bolt", "bolt", "zinc red bolt", "ring", "x", None]
+    part = ["azure pale", "pale azure", "Pale  Azure", "red bolt", "bolt", "zinc red bolt", "ring", "x", None, "abc" * 25, "acb" * 24 + " bolt", "b" * 61, "ab" * 31]
     spark.createDataFrame([(i, x) for i, x in enumerate(part)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     got = {(r.a, r.b): r.score for r in plans.QUERIES["name_token_set_ratio"](spark, str(tmp_path)).collect()}
     distinct = sorted({" ".join(x.lower().split()) for x in (name or "" for name in part)})
