@@ -214,3 +214,16 @@ def gate_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir).withColumn("market", F.concat("market", F.col("game") % 9))
     count = lambda d: d.groupBy("market").agg(F.count("*").alias("n"))
     return gates.promotion_block(count(rows.where("odd >= 1.6")), count(rows))
+
+
+_ARTIFACTS = f"SELECT house AS name, date_trunc('minute', max(ts)) AS ts, count(*) AS n, count(*) FILTER (odd < 1.9) AS m FROM ({B}) GROUP BY house"
+
+
+@query(f"""WITH a AS ({_ARTIFACTS})
+  SELECT 'manifest_age' AS gate, name AS subject, CAST(ts AS VARCHAR) AS reason FROM a, (SELECT TIMESTAMP '2024-01-31 00:00:00' AS now) WHERE epoch_us(now) - epoch_us(ts) > 360 * 60000000::BIGINT
+  UNION ALL SELECT 'manifest_spread', 'all', CAST((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000 AS VARCHAR) FROM a HAVING epoch_us(max(ts)) - epoch_us(min(ts)) > 1 * 60000000
+  UNION ALL SELECT 'manifest_shrink', name, n || ' -> ' || m FROM a WHERE m < n * 0.98""")
+def gate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts of the houses that are old, far apart in time, or shrunk."""
+    rows = ledger(spark, sf_dir).groupBy(F.col("house").alias("name")).agg(F.date_trunc("minute", F.max("ts")).cast("timestamp").alias("ts"), F.count("*").alias("before"), F.count_if(F.col("odd") < 1.9).alias("valid_count"))
+    return gates.manifest(rows, "2024-01-31 00:00:00", most_spread_minutes=1)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.plans.events import E
-from larkspur.plans.registry import query
+from larkspur.plans.registry import query, scratch
 from larkspur.streaming import ticks
 
 
@@ -23,10 +20,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"{(given or tempfile.mkdtemp(prefix='larkspur-')).rstrip('/')}/larkspur-stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     writer = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
