@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.names import HELD, flags, leagues_conflict, pair_flags, strip_weak, token_set_ratio, tokens
 from larkspur.functions.prob import bind, once
 from larkspur.operators.identity import cut, unify
-from larkspur.operators.matching import minutes_apart, pair_score
+from larkspur.operators.matching import by_names, minutes_apart, pair_score
 
 #: Minutes and scores of the tiers, and the most confidence that each gives.
 PAIR_MINUTES, PAIR_LEAST, PAIR_SURE, SIDE_LEAST = 45, 72, 88, 70
@@ -67,7 +67,7 @@ def matched(events: DataFrame, fixtures: DataFrame) -> DataFrame:
     f = fixtures.select("day", "fixture", F.col("kickoff").alias("f_kickoff"), F.col("home").alias("f_home"), F.col("away").alias("f_away"), F.col("league").alias("f_league"))
     near = events.select("event", "day", "kickoff", "home", "away", "league").join(f, "day").withColumn("minutes", minutes_apart(F.col("kickoff"), F.col("f_kickoff"))).where(F.col("minutes") <= PAIR_MINUTES + ONE_MINUTES)
     own = F.coalesce(F.col("league") == F.col("f_league"), F.lit(False))
-    seen = once(near.withColumn("own", own), "e", _evidence()).select("*", "e.pair", "e.rh", "e.ra", "e.both", "e.best.strong", "e.best.second").drop("e")
+    seen = by_names(near.withColumn("own", own), "e", _evidence()).select("*", "e.pair", "e.rh", "e.ra", "e.both", "e.best.strong", "e.best.second").drop("e")
     rows = seen.withColumn("pool", F.collect_list(F.struct("fixture", "f_kickoff", "own", F.greatest("rh", "ra").alias("hit"))).over(Window.partitionBy("event")))
     within = lambda g, m: F.abs(F.unix_micros(g["f_kickoff"]) - F.unix_micros("f_kickoff")) <= m * 60_000_000
     m, strong = F.col("minutes"), F.col("strong")
@@ -210,7 +210,7 @@ def fixed_point(games: DataFrame, most: int = 3) -> DataFrame:
 def by_margin(rows: DataFrame, fixtures: DataFrame) -> DataFrame:
     """rows(key, day, home, away) with the fixture of the day that beats the runner-up clearly, whatever its kickoff; else null."""
     f = fixtures.select("day", "fixture", F.col("home").alias("f_home"), F.col("away").alias("f_away"))
-    scored = rows.join(f, "day").withColumn("score", pair_score(F.col("home"), F.col("away"), F.col("f_home"), F.col("f_away")))
+    scored = by_names(rows.join(f, "day"), "score", pair_score(F.col("home"), F.col("away"), F.col("f_home"), F.col("f_away")))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "fixture")
     top = scored.withColumns({"_k": F.row_number().over(order), "_next": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).where("_k = 1")
     best = top.where((F.col("score") >= MARGIN_LEAST) & (F.col("score") - F.col("_next") >= MARGIN)).select("key", "fixture", "score")

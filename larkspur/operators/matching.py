@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.names import leagues_conflict, token_set_ratio
+from larkspur.functions.prob import once
 
 PAIR_SCORE, NAME_SCORE, RESULT_SCORE = 80.0, 88.0, 85.0
 MINUTES = 45
@@ -22,6 +25,13 @@ def minutes_apart(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(F.unix_micros(a) - F.unix_micros(b)) / 60e6, F.lit(9999.0))
 
 
+def by_names(rows: DataFrame, name: str, value: Column, names: tuple[str, ...] = ("home", "away", "f_home", "f_away")) -> DataFrame:
+    """rows with the column value of their names under name: names come again with each house and capture, so each distinct four is compared once."""
+    each = once(rows.select(*names).distinct(), name, value)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in names]
+    return rows.alias("r").join(each.alias("d"), reduce(lambda a, b: a & b, same)).select("r.*", f"d.{name}")
+
+
 def to_fixtures(events: DataFrame, fixtures: DataFrame) -> DataFrame:
     """events(event, day, kickoff, home, away, league) with the best fixture(fixture, ...) of the day, or null.
 
@@ -48,7 +58,7 @@ def to_results(instruments: DataFrame, results: DataFrame, field: str) -> DataFr
     """instruments(key, day, home, away) with the result of the day: with the field first, manual first, then by score."""
     r = results.select("day", F.col("home").alias("r_home"), F.col("away").alias("r_away"), "manual", F.col(field).alias("result"))
     score = F.least(token_set_ratio(F.col("home"), F.col("r_home")), token_set_ratio(F.col("away"), F.col("r_away")))
-    near = instruments.join(r, "day").withColumn("score", score).where(F.col("score") >= RESULT_SCORE)
+    near = by_names(instruments.join(r, "day"), "score", score, ("home", "away", "r_home", "r_away")).where(F.col("score") >= RESULT_SCORE)
     order = Window.partitionBy("key").orderBy(F.col("result").isNull(), F.desc("manual"), F.desc("score"), "r_home", "r_away")
     best = near.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("key", "result", "score")
     return instruments.join(best, "key", "left")
