@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names
 from larkspur.operators import fixtures as fx
+from larkspur.operators import matching
 
 DAY = datetime.date(2024, 5, 4)
 EVENT = "event int, day date, kickoff timestamp, home string, away string, league string"
@@ -98,3 +99,10 @@ def test_margin_and_reassignment(spark):
         "key int, home string, away string, kickoff timestamp, own_home string, own_away string, new_home string, new_away string, new_kickoff timestamp",
     )
     assert {r.key: r.verdict for r in fx.reassigned(cases).collect()} == {1: "keep", 2: "move", 3: "quarantine", 4: "quarantine", 5: "move"}
+
+
+def test_names_are_compared_once_and_rows_stay(spark):
+    rows = spark.createDataFrame([(1, "ajax", "porto", "porto", "ajax"), (2, "ajax", "porto", "porto", "ajax"), (3, None, "porto", "porto", None), (4, None, None, None, None), (5, "ajax", "x", "ajar", "x")], "id int, home string, away string, f_home string, f_away string")
+    score = matching.pair_score(*[F.coalesce(F.col(c), F.lit("")) for c in ("home", "away", "f_home", "f_away")])
+    got = {r.id: r.score for r in matching.by_names(rows, "score", score).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1] == got[2] == 100 and got[3] == got[4] == 0 and got[5] == 75
