@@ -12,9 +12,9 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql(spark, sf, name):
-    table = {"op8": "pages", "op9": "conversations"}.get(name.split("_")[0], "documents")
+    table = {"op8": "pages", "op9": "conversations", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     rows = registry.queries()[name](spark, sf).collect()
-    key = {"pages": "page_id", "conversations": "conv_id"}.get(table, "doc_id")
+    key = {"pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}.get(table, "doc_id")
     assert {r[key] for r in rows} == {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
 
 
