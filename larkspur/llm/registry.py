@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import q_centroids, q_decontaminate, q_html_text, q_jaccard, q_licenses, q_pieces, q_quality, q_quotes, q_repeats, q_token_files, q_url_filter, q_whitening
+from larkspur.llm import q_centroids, q_decontaminate, q_html_text, q_jaccard, q_katz, q_licenses, q_pieces, q_quality, q_quotes, q_repeats, q_token_files, q_url_filter, q_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": q_html_text.op8_html_text,
         "op9_chat_quotes": q_quotes.op9_chat_quotes,
         "op10_jaccard_join": q_jaccard.op10_jaccard_join,
+        "op11_lm_scores": q_katz.op11_lm_scores,
         "op12_whitening": q_whitening.op12_whitening,
         "op13_centroid_clusters": q_centroids.op13_centroid_clusters,
     }
