@@ -42,7 +42,7 @@ from larkspur.llm.bytes import LONG_WORD, LOWER, mix, range_hashes, words
 from larkspur.llm.common import discard, materialize
 
 #: Tokens of a block, and entries of a bucket, on the average.
-BLOCK, BUCKET = 1 << 22, 1 << 21
+BLOCK, BUCKET = 1 << 21, 1 << 21
 #: Counts of counts up to here reach the driver.
 SPECTRUM = 64
 #: Counts up to here are discounted by Turing's estimate.
