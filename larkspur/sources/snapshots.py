@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.times import civil_date, parse_instant
+from larkspur.sources import sinks
+
+#: Hours after which a full snapshot counts as stale.
+STALE_HOURS = 2.0
 
 _LINE = T.StructType([T.StructField("linha", T.DoubleType()), T.StructField("over", T.DoubleType()), T.StructField("under", T.DoubleType()), T.StructField("market_type_id", T.StringType()), T.StructField("market_type_name", T.StringType()), T.StructField("scope", T.StringType())])
 SNAPSHOT = T.StructType([
@@ -42,7 +46,7 @@ def team_lines(events: DataFrame) -> DataFrame:
     return each.select("casa", "event_id", "kickoff", "market", "team", F.posexplode("rows").alias("pos", "r")).select("casa", "event_id", "kickoff", "market", "team", "pos", F.col("r.linha").alias("line"), "r.over", "r.under")
 
 
-def pointer(spark: SparkSession, path: str, now: str, most_hours: float = 2.0) -> dict:
+def pointer(spark: SparkSession, path: str, now: str, most_hours: float = STALE_HOURS) -> dict:
     """A pointer file with its age in hours and whether its target is stale."""
     row = spark.read.option("multiLine", True).json(path)
     at = parse_instant(F.col("at").cast("string"), "-03:00")
@@ -53,6 +57,31 @@ def pointer(spark: SparkSession, path: str, now: str, most_hours: float = 2.0) -
     return found.first().asDict()
 
 
+def resolve(spark: SparkSession, path: str, now: str, most_hours: float | None = None, prefer_full: bool = True) -> dict | None:
+    """The first sound pointer: the full one if preferred, then the latest of any kind; null if neither is.
+
+    A pointer is sound if its target is there and holds as many whole lines as it says, more than none. With most_hours it must
+    also have a time that reads, at most so long ago. ``stale`` says that a preferred full one was not found or is over two hours old.
+    """
+    names = sinks.pointers(path)
+    for kind in (["full"] if prefer_full else []) + ["any"]:
+        body = sinks._body(spark, names[kind])
+        target = body.get("file")
+        if not target or not sinks._exists(spark, target):
+            continue
+        held = valid_lines(spark, target).first()
+        if held["objects"] != held["lines"] or held["objects"] != body.get("n") or not held["objects"]:
+            continue
+        at, moment = parse_instant(F.lit(str(body.get("at"))), "-03:00"), F.lit(now).cast("timestamp")
+        hours = F.greatest(F.lit(0.0), (F.unix_micros(moment) - F.unix_micros(at)) / 3.6e9)
+        age = spark.range(1).select(F.when(at.isNotNull(), hours).alias("age")).first()["age"]
+        if most_hours is not None and (age is None or age > most_hours):
+            continue
+        stale = prefer_full and (kind == "any" or body.get("mode") == "close" or (age is not None and age > STALE_HOURS))
+        return {**body, "pointer": kind, "age_hours": age, "stale": stale}
+    return None
+
+
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
     """The fixture dimension of one JSON document with a list ``fixtures``; a fixture comes once."""
     rows = spark.read.option("multiLine", True).json(path).select(F.explode("fixtures").alias("f")).select("f.*")
