@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from larkspur.plans import boards, counts, events, files, grouping, ledger, matches, persisted, prices, streams  # noqa: F401  they register themselves
+from larkspur.plans import boards, counts, events, files, grouping, ledger, matches, persisted, prices, repairs, streams  # noqa: F401  they register themselves
 from larkspur.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
