@@ -194,6 +194,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that leak."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    """docs without the documents that leak; other columns stay, whatever their names."""
+    found = leaks(docs, benchmark).select("doc_id").distinct()
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")

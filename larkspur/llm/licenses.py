@@ -6,8 +6,11 @@ automaton, locate every candidate window. There the regex library matches the wh
 errors and gives span and edits. A window is that of one place (starts that differ by k at most are one), so that
 notices back to back are each found; of overlapping matches of a notice the one of fewest edits counts.
 
-A match is of its own license only if the word that tells licenses apart is not another one's: it must keep a letter
-in its place, and a name of RIVALS is no edited form of it; a number must be one of the notice's. Where spans of different labels overlap, the best score stands.
+Edits must be misspellings. The words of a match are aligned with the notice's: a word that stands for another one, or that is put in
+(``not``, ``font``), makes it another notice, and the word that tells licenses apart must be there with one edit, or with two letters changed where other
+words are misspelt as well; a number must be one of the notice's. A notice that is denied (``not licensed under``) is none. Where spans of different labels overlap, the one of
+more unchanged characters stands. Marks that follow a Creative Commons name (nc, sa, nd, in letters or in words) become a part of its
+label, and a version that follows any notice is reported with its span.
 
 Texts are searched as words joined by single spaces: A-Z lower-cased, words are runs of letters, digits and
 non-ASCII characters. A null text is empty, without words or labels. Every row gives one row, repeated ones too; extra columns
@@ -17,6 +20,7 @@ are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import difflib
 import itertools
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,12 +51,18 @@ NOTICES = (
     ("mozilla public license version 2 0", "mpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
 )
-#: Words that tell a notice's license, with words of other licenses in their place.
-RIVALS = {
-    "mit": "isc bsd gpl lgpl agpl mpl epl eupl cpl lppl ofl osl afl ecl w3c psf php ncsa zlib x11 cc0 artistic apache boost ms".split(),
-    "nc": ["sa", "nd"],
-    "sa": ["nc", "nd"],
-}
+#: Words that tell a notice's license; of the marks, one is no edited form of another.
+TELLING = {"mit", "apache", "gnu", "lesser", "mozilla", "nc", "sa"}
+MARKS = {"nc", "sa", "nd"}
+#: Words that may be put in or left out.
+SMALL = {"the", "a", "an", "of", "to", "and", "in", "is", "or", "with", "any", "this", "under"}
+#: What denies the notice after it, as one word or two.
+DENIALS = {"not", "never", "neither", "nor", "cannot", "isn t", "aren t", "wasn t", "weren t", "not be", "never be", "not yet", "no longer", "not been", "never been"}
+#: Marks of Creative Commons licenses, as they are written after their name.
+WRITTEN = {
+    "nc": "nc", "sa": "sa", "nd": "nd", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd",
+    "non commercial": "nc", "share alike": "sa", "no derivatives": "nd", "no derivs": "nd", "no derivative": "nd",
+}
 #: One edit for so many characters of a notice.
 PER_EDIT = 10
 
@@ -69,12 +79,70 @@ def pieces(notice: str, edits: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def distance(a: str, b: str) -> int:
+    """Edits between two short texts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def tells(word: str, ours: list[str], theirs: list[str], noisy: bool) -> bool:
+    """Whether theirs holds the telling word of ours, with one edit at most, two in a noisy match; words may have been run together."""
+    alike = lambda w: distance(word, w) <= 1 or (noisy and len(w) == len(word) > 2 and sum(x != y for x, y in zip(word, w)) == 2)
+    if any(alike(w) and not (w in MARKS and word in MARKS) for w in theirs):
+        return True
+    return len(theirs) < len(ours) and regex.search(f"(?:{word}){{e<=1}}", "".join(theirs)) is not None
+
+
+def misspelt(ours: list[str], theirs: list[str]) -> bool:
+    """Whether theirs is ours with misspellings: no word stands for another one, none of weight is put in, no telling one is lost."""
+    if any(w.isdigit() and w not in ours for w in theirs):
+        return False
+    changed = [(ours[i:j], theirs[k:m]) for tag, i, j, k, m in difflib.SequenceMatcher(None, ours, theirs, autojunk=False).get_opcodes() if tag != "equal"]
+    # other words are misspelt too: it is not just a name that was put in the telling word's place
+    noisy = any(w not in TELLING and w not in b for a, b in changed if b for w in a)
+    for a, b in changed:
+        if not a and any(len(w) > 1 and w not in SMALL for w in b):
+            return False
+        if a and b and not SMALL.issuperset(a + b):
+            x, y = "".join(a), "".join(b)
+            if distance(x, y) > max(1 + noisy, len(x) // 2):
+                return False
+        if any(not tells(w, a, b, noisy) for w in TELLING.intersection(a)):
+            return False
+    return True
+
+
+def marks_after(words: list[str], at: int) -> tuple[str, int]:
+    """The marks of a Creative Commons license from words[at] on, joined, and the word after them; a lone nd adds no label."""
+    found: list[str] = []
+    while at < len(words):
+        two = WRITTEN.get(" ".join(words[at : at + 2]))
+        one = WRITTEN.get(words[at])
+        if not (two or one):
+            break
+        found.append(two or one)
+        at += 2 if two else 1
+    return ("" if found == ["nd"] else "-".join(m for m in ("nc", "nd", "sa") if m in found)), at
+
+
+def version_after(words: list[str], at: int) -> str:
+    """The version that stands at words[at]: numbers, after ``version`` or ``v`` or at once; empty if there is none."""
+    if at < len(words) and words[at] in ("version", "v"):
+        at += 1
+    out = [w for w in itertools.takewhile(lambda w: w.isdigit() and len(w) <= 2, words[at : at + 3])]
+    return ".".join(out)
+
+
 def undisplaced(spans: list[tuple], labels: list[str]) -> list[tuple]:
-    """The spans (score, start, end, notice, edits) that no better one of another label overlaps."""
+    """The spans (weight, start, end, notice, edits) that none of more weight and another label overlaps."""
     held: dict[int, list[tuple[int, int]]] = {}  # by notice, whose spans are disjoint
     out = []
     for _, group in itertools.groupby(sorted(spans, key=lambda s: (-s[0], *s[1:])), key=lambda s: s[0]):
-        # equal scores do not displace each other
+        # equal weights do not displace each other
         fresh = [x for x in group if not any(labels[k] != labels[x[3]] and meets(places, x[1], x[2]) for k, places in held.items())]
         for _, start, end, which, _ in fresh:
             bisect.insort(held.setdefault(which, []), (start, end))
@@ -138,21 +206,10 @@ class Scanner:
             out[which] = places
         return out
 
-    def own(self, notice: str, found: str) -> bool:
-        """Whether the words of found (whole words) tell the notice's license."""
-        ours, theirs = notice.split(), found.split()
-        if any(w.isdigit() and w not in ours for w in theirs):
-            return False
-        for word in set(ours) & set(RIVALS):
-            if word in theirs:
-                continue
-            if any(x in theirs for x in RIVALS[word]):
-                return False
-            if len(ours) == len(theirs):
-                there = theirs[ours.index(word)]
-                if len(there) == len(word) and not any(x == y for x, y in zip(word, there, strict=True)):
-                    return False
-        return True
+    def own(self, notice: str, found: str, before: str) -> bool:
+        """Whether found (whole words) is the notice with misspellings, and what stands before it doesn't deny it."""
+        last = before.split()[-2:]
+        return not (DENIALS & {" ".join(last), *last[-1:]}) and misspelt(notice.split(), found.split())
 
     def fuzzy(self, text: str) -> list[dict]:
         """Spans of the notices: label, first and last word, edits, score."""
@@ -166,21 +223,37 @@ class Scanner:
                     continue
                 bisect.insort(held, (start, end))
                 first_char, last_char = start + (text[start] == " "), end - (text[end - 1] == " ")
-                around = text[text.rfind(" ", 0, first_char) + 1 : e if (e := text.find(" ", last_char)) >= 0 else len(text)]
-                if self.own(n, around):
-                    spans.append((round(1 - edits / len(n), 6), start, end, which, edits))
+                begin = text.rfind(" ", 0, first_char) + 1
+                around = text[begin : e if (e := text.find(" ", last_char)) >= 0 else len(text)]
+                if self.own(n, around, text[max(0, begin - 24) : begin]):
+                    spans.append((len(n) - edits * PER_EDIT, start, end, which, edits))
         out, labels = [], [label for _, label, _ in self.notices]
-        spaces = places(text) if spans else []
-        for score, start, end, which, edits in undisplaced(spans, labels):
+        spaces, words = (places(text), text.split(" ")) if spans else ([], [])
+        for _, start, end, which, edits in undisplaced(spans, labels):
             first = bisect.bisect_left(spaces, start + (text[start] == " "))
             last = bisect.bisect_left(spaces, end - (text[end - 1] == " "))
-            out.append({"label": labels[which], "first_word": first, "last_word": last, "edits": edits, "score": score})
+            n, label = self.notices[which][:2]
+            marks, after = marks_after(words, last + 1) if label == "cc-by" else ("", last + 1)
+            numbers = regex.findall(r" (\d+)", n)
+            version = ".".join(numbers) or version_after(words, after)
+            out.append({"label": f"{label}-{marks}" if marks else label, "first_word": first, "last_word": after - 1, "edits": edits, "score": round(1 - edits / len(n), 6), "version": version})
         return sorted(out, key=lambda s: (s["first_word"], s["last_word"], s["label"], s["edits"]))
 
+    def marked(self, base: list[tuple[int, str]], joined: str, spans: list[dict]) -> list[dict]:
+        """Spans of exact Creative Commons names with their marks, where no notice has told more."""
+        out, words = [], joined.split(" ") if any(label == "cc-by" for _, label in base) else []
+        held = [(s["first_word"], s["last_word"] + 1) for s in spans]
+        for start, label in base:
+            marks, after = marks_after(words, start + 2) if label == "cc-by" else ("", 0)
+            if marks and not any(a <= start < b for a, b in held):
+                out.append({"label": f"cc-by-{marks}", "first_word": start, "last_word": after - 1, "edits": 0, "score": 1.0, "version": version_after(words, after)})
+        return out
+
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
         joined = b" ".join(words).decode("utf-8", "replace")
         base, spans = self.exact(f" {joined} "), self.fuzzy(joined)
+        spans = sorted(spans + self.marked(base, joined, spans), key=lambda s: (s["first_word"], s["last_word"], s["label"]))
         starts, labels = [s for s, _ in base], {x for _, x in base}
         return {
             "n_words": len(words),
@@ -202,11 +275,11 @@ def scanner(phrases: tuple = PHRASES, notices: tuple = NOTICES, per_edit: int =
 _FIELDS = (
     ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
     ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
-    ("spans", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()), ("score", pa.float64())]))),
+    ("spans", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()), ("score", pa.float64()), ("version", pa.string())]))),
 )
 _SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string,"
-    " score double, spans array<struct<label:string, first_word:long, last_word:long, edits:long, score:double>>"
+    " score double, spans array<struct<label:string, first_word:long, last_word:long, edits:long, score:double, version:string>>"
 )
 
 

@@ -334,17 +334,18 @@ def remove(docs: DataFrame) -> DataFrame:
     Cuts are of bytes; what they leave of a split character is dropped. A null text stays null.
     """
 
+    names, at = docs.columns, docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            columns, texts = batch.column(0).flatten(), []
+            for text, found in zip(columns[at], batch.column(1), strict=True):
                 t = text.as_py()
                 texts.append(t if t is None or not found.is_valid else b"".join(kept_parts(_encoded(t), found.as_py())[0]).decode("utf-8", "ignore"))
-            cut = pa.array(texts, pa.string())
-            columns = [cut if f.name == "text" else batch.column(f.name) for f in batch.schema if f.name != "_spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in batch.schema if f.name != "_spans"])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = keyed(docs)
-    marked = rows.join(spans(rows).withColumnRenamed("spans", "_spans"), "_key", "left").select(*docs.columns, "_spans")
-    out = marked.mapInArrow(run, docs.schema)
+    # the columns travel as one, so that none of theirs meets one of ours
+    rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    out = rows.join(spans(rows), "_key", "left").select("row", "spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
