@@ -7,8 +7,8 @@ errors and gives span and edits. A window is that of one place (starts that diff
 notices back to back are each found; of overlapping matches of a notice the one of fewest edits counts.
 
 Edits must be misspellings. The words of a match are aligned with the notice's: a word that stands for another one, or that is put in
-(``not``, ``font``), makes it another notice, and the word that tells licenses apart must be there with one edit, or with two letters changed where other
-words are misspelt as well; a number must be one of the notice's. A notice that is denied (``not licensed under``) is none. Where spans of different labels overlap, the one of
+(``not``, ``font``), makes it another notice, and the word that tells licenses apart must be there: a short one with one edit, or with two letters
+changed where other words are misspelt as well, a long one with half its letters; a number must be one of the notice's. A notice that is denied (``not licensed under``) is none. Where spans of different labels overlap, the one of
 more unchanged characters stands. Marks that follow a Creative Commons name (nc, sa, nd, in letters or in words) become a part of its
 label, and a version that follows any notice is reported with its span.
 
@@ -90,8 +90,8 @@ def distance(a: str, b: str) -> int:
 
 
 def tells(word: str, ours: list[str], theirs: list[str], noisy: bool) -> bool:
-    """Whether theirs holds the telling word of ours, with one edit at most, two in a noisy match; words may have been run together."""
-    alike = lambda w: distance(word, w) <= 1 or (noisy and len(w) == len(word) > 2 and sum(x != y for x, y in zip(word, w)) == 2)
+    """Whether theirs holds the telling word of ours, with one edit at most (short ones two in a noisy match, long ones half their letters); words may have been run together."""
+    alike = lambda w: distance(word, w) <= (1 if len(word) < 5 else len(word) // 2) or (noisy and len(w) == len(word) > 2 and sum(x != y for x, y in zip(word, w)) == 2)
     if any(alike(w) and not (w in MARKS and word in MARKS) for w in theirs):
         return True
     return len(theirs) < len(ours) and regex.search(f"(?:{word}){{e<=1}}", "".join(theirs)) is not None
