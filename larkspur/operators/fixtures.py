@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.names import HELD, flags, leagues_conflict, pair_flags, strip_weak, token_set_ratio, tokens
 from larkspur.functions.prob import bind, once
 from larkspur.operators.identity import cut, unify
-from larkspur.operators.matching import by_names, minutes_apart, pair_score
+from larkspur.operators.matching import by_names, minutes_apart, named_pairs, pair_score, with_pairs
 
 #: Minutes and scores of the tiers, and the most confidence that each gives.
 PAIR_MINUTES, PAIR_LEAST, PAIR_SURE, SIDE_LEAST = 45, 72, 88, 70
@@ -210,7 +210,9 @@ def fixed_point(games: DataFrame, most: int = 3) -> DataFrame:
 def by_margin(rows: DataFrame, fixtures: DataFrame) -> DataFrame:
     """rows(key, day, home, away) with the fixture of the day that beats the runner-up clearly, whatever its kickoff; else null."""
     f = fixtures.select("day", "fixture", F.col("home").alias("f_home"), F.col("away").alias("f_away"))
-    scored = by_names(rows.join(f, "day"), "score", pair_score(F.col("home"), F.col("away"), F.col("f_home"), F.col("f_away")))
+    # a runner-up so far below the least score leaves margin enough, so it need not be there
+    pairs = named_pairs(rows, f, "score", pair_score(F.col("home"), F.col("away"), F.col("f_home"), F.col("f_away")), MARGIN_LEAST - MARGIN)
+    scored = with_pairs(rows, pairs, f)
     order = Window.partitionBy("key").orderBy(F.desc("score"), "fixture")
     top = scored.withColumns({"_k": F.row_number().over(order), "_next": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).where("_k = 1")
     best = top.where((F.col("score") >= MARGIN_LEAST) & (F.col("score") - F.col("_next") >= MARGIN)).select("key", "fixture", "score")

@@ -32,6 +32,26 @@ def by_names(rows: DataFrame, name: str, value: Column, names: tuple[str, ...] =
     return rows.alias("r").join(each.alias("d"), reduce(lambda a, b: a & b, same)).select("r.*", f"d.{name}")
 
 
+def named_pairs(left: DataFrame, right: DataFrame, name: str, value: Column, least: float, other: tuple[str, str] = ("f_home", "f_away")) -> DataFrame:
+    """(day, home, away, other, name): distinct names of left(day, home, away) with those of right(day, other) of their day, where value is least or more.
+
+    Houses and captures repeat the names of a game, so the names of a day are far fewer than its rows; each four is compared once, whatever
+    the days on which it stands. Rows are joined to what is left.
+    """
+    names = ("home", "away", *other)
+    days = left.select("day", "home", "away").distinct().join(right.select("day", *other).distinct(), "day")
+    return by_names(days, name, value, names).where(F.col(name) >= least)
+
+
+def with_pairs(left: DataFrame, pairs: DataFrame, right: DataFrame, other: tuple[str, str] = ("f_home", "f_away")) -> DataFrame:
+    """left joined by day and names with pairs of named_pairs, and by theirs with right."""
+    meet = lambda a, b, columns: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+    rows = left.alias("l").join(pairs.alias("p"), meet("l", "p", ("day", "home", "away")))
+    score = [c for c in pairs.columns if c not in ("day", "home", "away", *other)]
+    near = rows.select("l.*", *[f"p.{c}" for c in (*other, *score)])
+    return near.alias("n").join(right.alias("r"), meet("n", "r", ("day", *other))).select("n.*", *[f"r.{c}" for c in right.columns if c not in ("day", *other)])
+
+
 def to_fixtures(events: DataFrame, fixtures: DataFrame) -> DataFrame:
     """events(event, day, kickoff, home, away, league) with the best fixture(fixture, ...) of the day, or null.
 
@@ -58,7 +78,7 @@ def to_results(instruments: DataFrame, results: DataFrame, field: str) -> DataFr
     """instruments(key, day, home, away) with the result of the day: with the field first, manual first, then by score."""
     r = results.select("day", F.col("home").alias("r_home"), F.col("away").alias("r_away"), "manual", F.col(field).alias("result"))
     score = F.least(token_set_ratio(F.col("home"), F.col("r_home")), token_set_ratio(F.col("away"), F.col("r_away")))
-    near = by_names(instruments.join(r, "day"), "score", score, ("home", "away", "r_home", "r_away")).where(F.col("score") >= RESULT_SCORE)
+    near = with_pairs(instruments, named_pairs(instruments, r, "score", score, RESULT_SCORE, ("r_home", "r_away")), r, ("r_home", "r_away"))
     order = Window.partitionBy("key").orderBy(F.col("result").isNull(), F.desc("manual"), F.desc("score"), "r_home", "r_away")
     best = near.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("key", "result", "score")
     return instruments.join(best, "key", "left")

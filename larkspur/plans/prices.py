@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names, prob
 from larkspur.operators import history, ladder
+from larkspur.operators.matching import by_names
 from larkspur.plans import similar
 from larkspur.plans.registry import query, table
 
-#: Lines above this are far in the tail of every model here.
-TOP_LINE = 14.5
-
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
@@ -55,7 +53,7 @@ _LINES = f"SELECT grp, mu, phi, line, {_K} FROM ({M}) m, (SELECT unnest(range(1,
 def _priced(spark: SparkSession, sf_dir: str, cdf) -> DataFrame:
     rows = models(spark, sf_dir).withColumn("line", F.explode(F.transform(F.sequence(F.lit(1), F.lit(29)), lambda i: i * F.lit(0.5))))
     p = prob.ou_from_sums(lambda k: cdf(k, F.col("mu"), F.col("phi")), F.col("mu"), F.col("line"))
-    return prob.once(rows, "p", p).select("grp", "line", *[F.round(F.col(f"p.{x}") + 1e-12, 7).alias(f"p_{x}") for x in ("over", "under", "push")])
+    return by_names(rows, "p", p, ("mu", "phi", "line")).select("grp", "line", *[F.round(F.col(f"p.{x}") + 1e-12, 7).alias(f"p_{x}") for x in ("over", "under", "push")])
 
 
 #: A trifle is added so that ties of rounding fall alike in every engine.
@@ -103,14 +101,15 @@ def devig_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAGS = f"""SELECT grp, a1, a2, a3, house, line, "over", "under", round(p_over * "over" + p_push - 1, 6) AS ev, round(p_over / (1 - p_push) - fair, 6) AS edge FROM (
-  {_ou(f'SELECT l.*, m.mu, (1 / "over") / (1 / "over" + 1 / "under") AS fair, {_K} FROM ({L}) l JOIN ({M}) m USING (grp) WHERE line <= {TOP_LINE} AND "over" > 1.01 AND "over" <= 50 AND "under" > 1.01 AND "under" <= 50 AND 1 / "over" + 1 / "under" - 1 BETWEEN 0 AND 0.12', _pois('k', 'mu'), _pois('k - 1', 'mu'))})
+  {_ou(f'SELECT l.*, m.mu, (1 / "over") / (1 / "over" + 1 / "under") AS fair, {_K} FROM ({L}) l JOIN ({M}) m USING (grp) WHERE "over" > 1.01 AND "over" <= 50 AND "under" > 1.01 AND "under" <= 50 AND 1 / "over" + 1 / "under" - 1 BETWEEN 0 AND 0.12', _pois('k', 'mu'), _pois('k - 1', 'mu'))})
   WHERE p_over BETWEEN 0.15 AND 0.85 AND round(p_over * "over" + p_push - 1, 6) >= 0.05 AND round(p_over / (1 - p_push) - fair, 6) >= 0.04"""
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ladders(spark, sf_dir).where((F.col("line") <= TOP_LINE) & (F.col("over") > 1.01) & (F.col("over") <= 50) & (F.col("under") > 1.01) & (F.col("under") <= 50))
+    rows = ladders(spark, sf_dir).where((F.col("over") > 1.01) & (F.col("over") <= 50) & (F.col("under") > 1.01) & (F.col("under") <= 50))
     rows = rows.withColumn("d", prob.devig(F.col("over"), F.col("under"))).where(F.col("d.margin").between(0, 0.12))
-    priced = prob.once(rows.join(models(spark, sf_dir), "grp"), "p", prob.ou_from_sums(lambda k: prob.poisson_sums(k, F.col("mu")), F.col("mu"), F.col("line")))
+    # a price is a matter of mean and line, of which there are few
+    priced = by_names(rows.join(models(spark, sf_dir), "grp"), "p", prob.ou_from_sums(lambda k: prob.poisson_sums(k, F.col("mu")), F.col("mu"), F.col("line")), ("mu", "line"))
     ev = F.round(prob.expected_value(F.col("p.over"), F.col("over"), F.col("p.push")), 6)
     edge = F.round(prob.conditional_win(F.col("p.over"), F.col("p.push")) - F.col("d.p_over"), 6)
     return priced.withColumns({"ev": ev, "edge": edge}).where(F.col("p.over").between(0.15, 0.85) & (F.col("ev") >= 0.05) & (F.col("edge") >= 0.04)).select("grp", "a1", "a2", "a3", "house", "line", "over", "under", "ev", "edge")
@@ -134,7 +133,7 @@ def topk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT grp, line, round((lo + hi) / 2, 5) AS mu FROM s WHERE k = 40""")
 def implied_mu_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("grp"), ((F.col("p_size") % 10) + 0.5).cast("double").alias("line"), (0.3 + (F.col("p_partkey") % 5) / 10.0).alias("q"))
-    return rows.select("grp", "line", F.round(prob.solve_mu(F.col("line"), F.col("q")), 5).alias("mu"))
+    return by_names(rows, "mu", F.round(prob.solve_mu(F.col("line"), F.col("q")), 5), ("line", "q")).select("grp", "line", "mu")
 
 
 _SANE = f"""WITH RECURSIVE l AS ({L}),
@@ -162,7 +161,7 @@ def ladder_main_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ladder.main_line(ladders(spark, sf_dir), ["grp"], ["a1", "a2", "a3"])
 
 
-_GAPS = f"""WITH d AS (SELECT DISTINCT grp, line FROM ({L}) WHERE a1 % 7 < 2),
+_GAPS = f"""WITH d AS (SELECT DISTINCT grp, line FROM ({L})),
   g AS (SELECT grp, line, line - lag(line) OVER w AS gap, min(line) OVER (PARTITION BY grp) AS lo, max(line) OVER (PARTITION BY grp) AS hi FROM d WINDOW w AS (PARTITION BY grp ORDER BY line)),
   c AS (SELECT grp, arg_max(line, (gap, -line)) AS cut, max(gap) AS widest, any_value(lo) AS lo, any_value(hi) AS hi FROM g WHERE gap IS NOT NULL GROUP BY grp)
   SELECT d.grp, count(*) AS n, min(d.line) AS lowest FROM d LEFT JOIN c USING (grp) WHERE c.grp IS NULL OR hi - lo < 8 OR hi < 12 OR widest < 4 OR d.line >= cut GROUP BY d.grp"""
@@ -170,7 +169,7 @@ _GAPS = f"""WITH d AS (SELECT DISTINCT grp, line FROM ({L}) WHERE a1 % 7 < 2),
 
 @query(_GAPS)
 def ladder_gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = ladder.match_lines(ladders(spark, sf_dir).where("a1 % 7 < 2"), ["grp"])
+    sets = ladder.match_lines(ladders(spark, sf_dir), ["grp"])
     return sets.select("grp", F.size("lines").cast("long").alias("n"), F.array_min("lines").alias("lowest"))
 
 
