@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm.common import table
-from larkspur.llm.url_filter import judge
+from larkspur.llm.url_filter import canonical, host_of, judge, lookups, path_of
 
-#: Fixed values: (verdict, host, path) rules, and listed canonical URLs of hosts that serve junk.
+#: Fixed values: (verdict, host, path) rules, and hosts that serve junk.
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -23,8 +24,11 @@ LISTED = [
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in LISTED], "entry string")
-    return judge(table(spark, sf_dir, "pages"), RULES, listed)
+    """The list: hosts that serve junk, and the canonical URL of every page that a crawl found there, so it grows with the pages."""
+    pages, hosts = table(spark, sf_dir, "pages"), F.array(*[F.lit(x) for x in LISTED])
+    seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    junk = seen.where(F.arrays_overlap(lookups(F.col("host"), F.col("path")), hosts)).select(canonical(F.col("host"), F.col("path")).alias("entry"))
+    return judge(pages, RULES, spark.range(1).select(F.explode(hosts).alias("entry")).unionByName(junk))
 
 
 SQL = f"""

@@ -4,7 +4,9 @@ The listed entries are canonical URLs: ``host/path`` without scheme, leading ``w
 final slashes. An entry ``host/`` lists the host and its subdomains. Each URL is looked up by its own canonical
 form and by its host suffixes. Look-ups first meet a blocked Bloom filter (blocks of 8 words of 64 bits, one
 bit set in each word); what passes goes to a hash join with the list, which removes false positives.
-DataFrame functions only. A null URL, or one without ``://``, has an empty host and path and is allowed.
+DataFrame functions only. The filter is always broadcast: it has at most ``MOST_BLOCKS`` blocks, so a longer list only makes it let more
+through to the join. A null URL, or one without ``://``, has an empty host and path, is looked up nowhere and is allowed; an empty
+list, or one of nulls, blocks nothing.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let
+from larkspur.llm.common import let, materialize
 
 WORDS = 8
 #: A block has 512 bits; at 32 entries a block, 16 bits an entry.
 ENTRIES_PER_BLOCK = 32
-#: The Bloom filter is broadcast up to this many blocks (5 MB), beyond it is joined by shuffle.
-BROADCAST_BLOCKS = 1 << 16
-#: Lists up to this many entries are broadcast for the exact join, larger ones are joined by shuffle.
+#: The most blocks of a filter (16 MB): eight million entries at 16 bits each; longer lists get fewer bits an entry.
+MOST_BLOCKS = 1 << 18
+#: Lists, and URLs found on them, are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_ENTRIES = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,21 +90,26 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
 
 
+def entries_of(listed: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct entries of listed(entry), written once, and their number."""
+    entries = materialize(listed.select("entry").where(F.col("entry").isNotNull()).distinct(), "listed")
+    return entries, entries.count()
+
+
+def possible_urls(urls: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """(url, entry) of the look-ups of urls(url, host, path) that the filter of n entries lets through."""
+    blocks = min(max(1, -(-n // ENTRIES_PER_BLOCK)), MOST_BLOCKS)
+    keys = urls.where("host != ''").select("url", F.explode(lookups(F.col("host"), F.col("path"))).alias("entry"))
+    probe = keys.withColumn("block", _block(F.col("entry"), blocks)).join(F.broadcast(bloom_filter(entries, blocks)), "block")
+    passed = F.array_min(F.array(*[F.col(f"w{w}").bitwiseAND(m) == m for w, m in enumerate(_masks(F.col("entry")))]))
+    return probe.where(passed).select("url", "entry")
+
+
 def listed_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """Distinct url of urls(url, host, path) that the list listed(entry) holds."""
-    entries = listed.select(F.col("entry")).where(F.col("entry").isNotNull()).distinct()
-    n = entries.count()
-    blocks = max(1, -(-n // ENTRIES_PER_BLOCK))
-    bloom = bloom_filter(entries, blocks)
-    if blocks <= BROADCAST_BLOCKS:
-        bloom = F.broadcast(bloom)
-    keys = urls.select("url", F.explode(lookups(F.col("host"), F.col("path"))).alias("entry"))
-    probe = keys.withColumn("block", _block(F.col("entry"), blocks)).join(bloom, "block")
-    possible = probe.where(
-        F.array_min(F.array(*[F.col(f"w{w}").bitwiseAND(m) == m for w, m in enumerate(_masks(F.col("entry")))]))
-    )
+    entries, n = entries_of(listed)
     exact = F.broadcast(entries) if n <= BROADCAST_ENTRIES else entries
-    return possible.select("url", "entry").join(exact, "entry", "left_semi").select("url").distinct()
+    return possible_urls(urls, entries, n).join(exact, "entry", "left_semi").select("url").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame) -> DataFrame:
@@ -112,11 +119,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     A row for every row of pages; null page_id and repeated rows are kept; other columns are ignored.
     """
     urls = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    hits = listed_urls(urls.select("url", "host", "path"), listed).withColumn("listed", F.lit(True))
+    hits = materialize(listed_urls(urls.select("url", "host", "path"), listed), "hits").withColumn("listed", F.lit(True))
+    if hits.count() <= BROADCAST_ENTRIES:
+        hits = F.broadcast(hits)
     fit = rule_of(F.col("host"), F.col("path"), rules)
+    # what has no host is on no list; it would meet in one task
+    found = urls.where("host != ''").join(hits, "url", "left").unionByName(urls.where("host = ''").withColumn("listed", F.lit(None).cast("boolean")))
     return (
-        urls.join(hits, "url", "left")
-        .withColumn("fit", fit)
+        found.withColumn("fit", fit)
         .select(
             "page_id",
             "host",
