@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import prob
+from larkspur.functions.keys import three_way
 from larkspur.functions.prob import bind
 
 MARGIN_LEAST, MARGIN_MOST = 0.0, 0.12
@@ -87,3 +89,21 @@ def balanced_at_edge(rows: DataFrame, by: list[str], edge: str, minutes: int = 5
     score = F.struct(F.round(F.abs(F.col("over") - F.col("under")), 9), F.coalesce(F.abs(F.col("line") - F.col("ref")), F.lit(0.0)), F.col("line"))
     best = close.groupBy(*by).agg(F.min_by(F.struct("line", "over", "under"), score).alias("b"))
     return best.select(*by, "b.line", "b.over", "b.under")
+
+
+#: The margin, chance, expected value and edge of a line that a board flags.
+MARGIN_TOP, CHANCE, EV_LEAST, EDGE_LEAST = 0.12, (0.15, 0.85), 0.05, 0.04
+
+
+def value_flags(lines: DataFrame, now: Column) -> DataFrame:
+    """lines(kickoff, stale, type_name, over, under, p struct(over, under, push), ...) to one row for each side of value.
+
+    Games that have begun, stale houses and three-way markets are left out, and so are lines whose margin is negative or too wide; a
+    kickoff that is not known counts as still to come.
+    """
+    open_ = lines.where(F.coalesce(F.col("kickoff") > now, F.lit(True)) & ~F.coalesce("stale", F.lit(False)) & ~three_way(F.col("type_name")))
+    fair = open_.withColumn("d", prob.devig(F.col("over"), F.col("under"))).where(F.col("d.margin").between(-1e-9, MARGIN_TOP + 1e-9))
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(s).alias("odd"), F.col(f"p.{s}").alias("chance"), F.col(f"d.p_{s}").alias("market_chance"))
+    sides = fair.select(*[c for c in lines.columns if c != "p"], F.col("p.push").alias("push"), F.explode(F.array(side("over"), side("under"))).alias("s")).select("*", "s.*").drop("s")
+    ev, edge = F.round(prob.expected_value(F.col("chance"), F.col("odd"), F.col("push")), 6), F.round(prob.conditional_win(F.col("chance"), F.col("push")) - F.col("market_chance"), 6)
+    return sides.withColumns({"ev": ev, "edge": edge}).where(F.col("chance").between(*CHANCE) & (F.col("ev") >= EV_LEAST) & (F.col("edge") >= EDGE_LEAST))

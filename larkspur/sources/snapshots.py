@@ -115,3 +115,21 @@ def envelope(spark: SparkSession, path: str, schema: str) -> DataFrame:
     text = spark.read.option("wholetext", True).text(path)
     body = F.regexp_extract("value", r"(?s)^\s*window\.\w+\s*=\s*(\{.*\})\s*;?\s*$", 1)
     return text.select(F.from_json(body, schema).alias("d")).select("d.*")
+
+
+def month_keys(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of every month's files, with their month; keys that begin with two underscores are notes, and lines that do not read are left out."""
+    rows = spark.read.schema(f"{schema}, month string").option("mode", "DROPMALFORMED").option("partitionColumnTypeInference.enabled", False).json(path)
+    return rows.where(F.col("key").isNotNull() & ~F.col("key").startswith("__"))
+
+
+def calibration(spark: SparkSession, path: str, competitions: list[str], stat: str, lines: bool = False) -> DataFrame:
+    """(competition, date, match_id, home, away, h, a) of matches of some competitions that have a date and both sides of a statistic.
+
+    A file is one document, or with lines one on each line.
+    """
+    side = f"{stat}: struct<h: double, a: double>"
+    schema = f"array<struct<competition: string, date: string, match_id: long, home: struct<id: long>, away: struct<id: long>, stats: struct<{side}>>>"
+    m = spark.read.schema(f"matches {schema}").option("multiLine", not lines).json(path).select(F.explode("matches").alias("m"))
+    rows = m.select("m.competition", "m.date", F.coalesce("m.match_id", F.lit(0)).alias("match_id"), F.col("m.home.id").alias("home"), F.col("m.away.id").alias("away"), F.col(f"m.stats.{stat}.h").alias("h"), F.col(f"m.stats.{stat}.a").alias("a"))
+    return rows.where(F.col("competition").isin(competitions) & (F.coalesce("date", F.lit("")) != "") & F.col("h").isNotNull() & F.col("a").isNotNull())
