@@ -35,37 +35,49 @@ def open_close(rows: DataFrame, late: str = "1 hour", keep_days: int = 30) -> Da
     """rows(game, house, id, ts, odd, kickoff), a stream, to the state of each instrument after every batch that touches it.
 
     Observations from kickoff less 45 seconds on count, and change nothing else. A line closes when event time has
-    passed kickoff less two minutes, with its last odd from before. State goes keep_days after kickoff has passed.
+    passed kickoff less two minutes, by a timer if no row of its own comes, with its last odd from before. A late row takes its place as
+    opening or last odd by its time; the moves around it are those of its batch (``keyed.instruments`` keeps them exact). State goes
+    keep_days after kickoff has passed, or after the last row where no kickoff is known.
     """
 
+    def shown(key: tuple, now: list) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *now[:9])], columns=[f.split()[0] for f in STATE.split(", ")])
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = list(state.get) if state.exists else [None, None, None, None, None, None, 0, 0, False, None, None]
+        # open odd and ts, last odd and ts, least, most, observations, moves, closed, kickoff, newest
+        if state.hasTimedOut and (now[8] or now[9] is None):
             state.remove()
             return
-        now = list(state.get) if state.exists else [None, None, None, None, None, None, 0, 0, False]
-        # open odd and ts, last odd and ts, least, most, observations, moves, closed
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        kickoff = rows["kickoff"].iloc[-1]
-        alive = rows if pd.isna(kickoff) else rows[rows["ts"] < kickoff - pd.Timedelta(seconds=45)]
-        now[6] += len(rows)
-        if len(alive) and not now[8]:
-            first, last = alive.iloc[0], alive.iloc[-1]
-            changes = alive["odd"].diff().abs()
-            changes.iloc[0] = abs(first.odd - now[2]) if now[2] is not None else 0.0
-            now[7] += int((changes >= 0.01 - 1e-9).sum())
-            if now[0] is None:
-                now[0], now[1] = float(first.odd), first.ts.to_pydatetime()
-            now[2], now[3] = float(last.odd), last.ts.to_pydatetime()
-            now[4] = min(x for x in (now[4], float(alive["odd"].min())) if x is not None)
-            now[5] = max(x for x in (now[5], float(alive["odd"].max())) if x is not None)
-        now[8] = bool(now[8] or (not pd.isna(kickoff) and rows["ts"].max() >= kickoff - pd.Timedelta(minutes=2)))
+        if state.hasTimedOut:
+            now[8] = True
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+            known = rows["kickoff"].dropna()
+            now[9] = known.iloc[-1].to_pydatetime() if len(known) else now[9]
+            now[10] = max(x for x in (now[10], rows["ts"].iloc[-1].to_pydatetime()) if x is not None)
+            alive = rows if now[9] is None else rows[rows["ts"] < now[9] - pd.Timedelta(seconds=45)]
+            now[6] += len(rows)
+            if len(alive) and not now[8]:
+                first, last = alive.iloc[0], alive.iloc[-1]
+                changes = alive["odd"].diff().abs()
+                changes.iloc[0] = abs(first.odd - now[2]) if now[2] is not None else 0.0
+                now[7] += int((changes >= 0.01 - 1e-9).sum())
+                if now[0] is None or first.ts < now[1]:
+                    now[0], now[1] = float(first.odd), first.ts.to_pydatetime()
+                if now[2] is None or last.ts >= now[3]:
+                    now[2], now[3] = float(last.odd), last.ts.to_pydatetime()
+                now[4] = min(x for x in (now[4], float(alive["odd"].min())) if x is not None)
+                now[5] = max(x for x in (now[5], float(alive["odd"].max())) if x is not None)
+            now[8] = bool(now[8] or (now[9] is not None and rows["ts"].max() >= now[9] - pd.Timedelta(minutes=2)))
         state.update(tuple(now))
-        if not pd.isna(kickoff):
-            state.setTimeoutTimestamp(max(int((kickoff + pd.Timedelta(days=keep_days)).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *now)], columns=[f.split()[0] for f in STATE.split(", ")])
+        ends = now[10] if now[9] is None else max(now[9], now[10])
+        due = ends + pd.Timedelta(days=keep_days) if now[8] or now[9] is None else now[9] - pd.Timedelta(minutes=2)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(due).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield shown(key, now)
 
     watermarked = rows.select("game", "house", "id", "ts", "odd", "kickoff").withWatermark("ts", late)
-    kept = ", ".join(STATE.split(", ")[2:])
+    kept = ", ".join(STATE.split(", ")[2:]) + ", kickoff timestamp, newest timestamp"
     return watermarked.groupBy("game", "house").applyInPandasWithState(step, STATE, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -195,3 +195,14 @@ def test_retries_are_throttled(spark):
     assert (changed.reason, changed.attempts) == ("postponed", 3)
     done = settlement.attempt(state, spark.createDataFrame([(1, 4.0, None)], none.schema), "id", hour(8)).where("id = 1").first()
     assert (done.status, done.result, done.reason, done.retryable, done.attempts, done.note) == ("settled", 4.0, None, False, 3, "x")
+
+
+def test_older_stream_closes_by_time_and_keeps_late_rows_in_place(spark, tmp_path):
+    from larkspur.streaming import ticks
+
+    batches = [[(1, "h", 1, t(9), 1.9, t(12)), (1, "h", 2, t(10), 2.0, t(12))], [(1, "h", 3, t(9, 30), 1.7, t(12))], [(1, "h", 4, t(8, 59), 1.6, t(12)), (2, "h", 5, t(14), 3.0, None)]]
+    seen = []
+    stream = ticks.open_close(stream_of(spark, tmp_path, batches), "2 hours")
+    stream.writeStream.outputMode("update").foreachBatch(lambda d, k: seen.extend((k, r) for r in d.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    last = [r for _, r in seen if r.game == 1][-1]
+    assert (last.open_odd, last.open_ts, last.last_odd, last.last_ts, last.n_obs, last.closed) == (1.6, t(8, 59), 2.0, t(10), 4, True)
