@@ -28,10 +28,13 @@ FUNCTIONS = {
     "margin": ("over DOUBLE, under DOUBLE", "DOUBLE", "CASE WHEN over > 1 AND under > 1 THEN 1 / over + 1 / under - 1 END"),
     "fair_over": ("over DOUBLE, under DOUBLE", "DOUBLE", "CASE WHEN over > 1 AND under > 1 THEN (1 / over) / (1 / over + 1 / under) END"),
     "american_to_decimal": ("price DOUBLE", "DOUBLE", "CASE WHEN price >= 100 THEN round(1 + price / 100, 2) WHEN price <= -100 THEN round(1 + 100 / abs(price), 2) END"),
+    "event_markets": ("event STRING", "MAP<STRING, VARIANT>", "try_variant_get(try_parse_json(event), '$.mercados', 'map<string, variant>')"),
+    "market_rungs": ("market VARIANT", "ARRAY<VARIANT>", "try_variant_get(market, '$', 'array<variant>')"),
     "clv_percent": ("open_odd DOUBLE, close_odd DOUBLE", "DOUBLE", "(open_odd / close_odd - 1) * 100"),
 }
 
-#: name: (parameters, columns, body)
+#: name: (parameters, columns, body). A call over a relation joins it with its distinct arguments; over large ones
+#: ``explode`` of event_markets and ``posexplode`` of market_rungs give the same without a join.
 TABLES = {
     "ladder_explode": (
         "event STRING", "market STRING, pos INT, line DOUBLE, over DOUBLE, under DOUBLE",

@@ -30,13 +30,19 @@ def sql_board_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_BOARD, l=ladders(spark, sf_dir), m=models(spark, sf_dir))
 
 
+#: The table function ladder_explode would join the events with their distinct texts.
+_EXPLODED = """
+SELECT game, market, pos, line, over, round(fair_over(over, under), 6) AS fair FROM (
+  SELECT game, market, pos, try_variant_get(rung, '$.linha', 'double') AS line, try_variant_get(rung, '$.over', 'double') AS over, try_variant_get(rung, '$.under', 'double') AS under
+  FROM (SELECT game, market, market_rungs(body) AS rungs FROM (SELECT game, event_markets(event) AS markets FROM {e}) LATERAL VIEW explode(markets) m AS market, body) LATERAL VIEW posexplode(rungs) r AS pos, rung)
+"""
 _RUNGS = f"SELECT game, market, row_number() OVER (PARTITION BY game, market ORDER BY id) - 1 AS pos, line, odd AS over FROM ({B})"
 
 
 @query(f"SELECT game, market, CAST(pos AS INTEGER) AS pos, line, over, round((1 / over) / (1 / over + 1 / (over + 0.2)), 6) AS fair FROM ({_RUNGS})")
 def sql_ladder_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON to their rungs by a table function, priced by a registered name."""
+    """Events as JSON to their rungs by generators over a registered name, priced by another one."""
     sql_names.register(spark)
     rungs = ledger(spark, sf_dir).groupBy("game", "market").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.col("line").alias("linha"), F.col("odd").alias("over"), (F.col("odd") + 0.2).alias("under")))), lambda r: r.dropFields("id")).alias("rows"))
     events = rungs.groupBy("game").agg(F.map_from_entries(F.collect_list(F.struct("market", "rows"))).alias("mercados")).select("game", F.to_json(F.struct("mercados")).alias("event"))
-    return spark.sql("SELECT e.game, r.market, r.pos, r.line, r.over, round(fair_over(r.over, r.under), 6) AS fair FROM {e} e, LATERAL ladder_explode(e.event) r", e=events)
+    return spark.sql(_EXPLODED, e=events)
