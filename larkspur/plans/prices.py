@@ -86,10 +86,13 @@ def negbin_size_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(CASE WHEN p_under > 1e-12 THEN (1 - p_push) / p_under END, 4) AS fair_under
   FROM ({_ou(_LINES, _pois('k', 'mu'), _pois('k - 1', 'mu'))}) WHERE p_over > 0.01 AND p_under > 0.01""")
 def fair_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models(spark, sf_dir).withColumn("line", F.explode(F.transform(F.sequence(F.lit(1), F.lit(29)), lambda i: i * F.lit(0.5))))
+    # a price is a matter of mean and line: each mean is priced once, whatever parts have it
+    groups = models(spark, sf_dir).select("grp", "mu")
+    rows = groups.select("mu").distinct().withColumn("line", F.explode(F.transform(F.sequence(F.lit(1), F.lit(29)), lambda i: i * F.lit(0.5))))
     p = prob.ou_from_sums(lambda k: prob.poisson_sums(k, F.col("mu")), F.col("mu"), F.col("line"))
-    return prob.once(rows, "p", p).where("p.over > 0.01 AND p.under > 0.01").select(
-        "grp", "line", F.round(prob.fair_odd(F.col("p.over"), F.col("p.push")), 4).alias("fair_over"), F.round(prob.fair_odd(F.col("p.under"), F.col("p.push")), 4).alias("fair_under"))
+    priced = prob.once(rows, "p", p).where("p.over > 0.01 AND p.under > 0.01").select(
+        "mu", "line", F.round(prob.fair_odd(F.col("p.over"), F.col("p.push")), 4).alias("fair_over"), F.round(prob.fair_odd(F.col("p.under"), F.col("p.push")), 4).alias("fair_under"))
+    return groups.join(priced, "mu").select("grp", "line", "fair_over", "fair_under")
 
 
 @query(f"""SELECT house, count(*) AS n, count(*) FILTER (m < 0) AS n_low, count(*) FILTER (m > 0.12) AS n_high, round(avg(m), 6) AS margin
