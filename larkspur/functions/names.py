@@ -165,7 +165,7 @@ def strip_weak(name: Column) -> Column:
 def side_hit(a: Column, b: Column) -> Column:
     """token_set_ratio, at least HELD if a word of one holds a word of the other; 0 if a name is empty."""
     held = F.exists(tokens(a), lambda x: F.exists(tokens(b), lambda y: x.contains(y) | y.contains(x)))
-    score = F.when(held, F.greatest(token_set_ratio(a, b), F.lit(HELD))).otherwise(token_set_ratio(a, b))
+    score = bind(token_set_ratio(a, b), lambda r: F.when(held, F.greatest(r, F.lit(HELD))).otherwise(r))
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(score)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.names import HELD, flags, leagues_conflict, pair_flags, strip_weak, token_set_ratio, tokens
 from larkspur.functions.prob import bind, once
 from larkspur.operators.identity import cut, unify
-from larkspur.operators.matching import by_names, minutes_apart, named_pairs, pair_score, with_pairs
+from larkspur.operators.matching import by_names, four, minutes_apart, named_pairs, pair_score, with_pairs
 
 #: Minutes and scores of the tiers, and the most confidence that each gives.
 PAIR_MINUTES, PAIR_LEAST, PAIR_SURE, SIDE_LEAST = 45, 72, 88, 70
@@ -137,16 +137,21 @@ def _near(games: DataFrame) -> DataFrame:
     return x.join(y, "day").where("x.game < y.game").drop("day")
 
 
+def _named(pairs: DataFrame, *more: Column) -> DataFrame:
+    """Pairs of _near as (a, b, home, away, f_home, f_away) and more, for by_names: the names of a game come again with each house and season."""
+    names = [F.col(f"{g}.{c}").alias(f"{n}{c}") for g, n in (("x", ""), ("y", "f_")) for c in ("home", "away")]
+    return pairs.select(F.col("x.game").alias("a"), F.col("y.game").alias("b"), *names, *more)
+
+
 def same_game_edges(games: DataFrame) -> DataFrame:
     """(a, b, score): pairs of one game by names, marks of each side, days one apart at most and kickoffs, never of two fixtures."""
     apart = F.abs(F.unix_micros("x.kickoff") - F.unix_micros("y.kickoff")) / 60e6
     pairs = _near(games).where(~(F.col("x.fixture").isNotNull() & F.col("y.fixture").isNotNull()) & (F.coalesce(apart, F.lit(0.0)) <= UNIFY_MINUTES))
-    side = lambda a, b: F.least(token_set_ratio(F.col(f"x.{a}"), F.col("y.home")), token_set_ratio(F.col(f"x.{b}"), F.col("y.away")))
-    scored = once(pairs, "s", F.struct(side("home", "away").alias("straight"), side("away", "home").alias("crossed")))
-    same = lambda a, b: (flags(F.col(f"x.{a}")) == flags(F.col("y.home"))) & (flags(F.col(f"x.{b}")) == flags(F.col("y.away")))
-    marks = F.when(F.col("s.straight") >= F.col("s.crossed"), same("home", "away")).otherwise(same("away", "home"))
-    score = F.greatest("s.straight", "s.crossed")
-    return scored.where((score >= UNIFY_LEAST) & marks).select(F.col("x.game").alias("a"), F.col("y.game").alias("b"), score.alias("score"))
+    same = lambda a, b: (flags(F.col(a)) == flags(F.col("f_home"))) & (flags(F.col(b)) == flags(F.col("f_away")))
+    sides = four(token_set_ratio, *[F.col(c) for c in ("home", "away", "f_home", "f_away")], lambda hh, aa, ha, ah: F.struct(F.least(hh, aa).alias("straight"), F.least(ah, ha).alias("crossed")))
+    marks = lambda s: F.when(s["straight"] >= s["crossed"], same("home", "away")).otherwise(same("away", "home"))
+    scored = by_names(_named(pairs), "s", bind(sides, lambda s: F.when(marks(s), F.greatest(s["straight"], s["crossed"]))))
+    return scored.where(F.col("s") >= UNIFY_LEAST).select("a", "b", F.col("s").alias("score"))
 
 
 def board_edges(rows: DataFrame) -> DataFrame:
@@ -154,13 +159,16 @@ def board_edges(rows: DataFrame) -> DataFrame:
     apart = F.abs(F.unix_micros("x.kickoff") - F.unix_micros("y.kickoff")) / 60e6
     day, score = F.col("x.day") == F.col("y.day"), F.col("score")
     free = F.col("x.fixture").isNull() & F.col("y.fixture").isNull()
-    alike = (day & (apart == 0) & (score >= 75)) | (day & (score >= 88)) | (~day & (score >= 88) & (apart <= 75))
-    stuck = (F.col("x.fixture").isNull() != F.col("y.fixture").isNull()) & day & (((apart == 0) & (score >= 75)) | (score >= 95))
+    one_free = F.col("x.fixture").isNull() != F.col("y.fixture").isNull()
+    # the least score that will do, if any does
+    alike = F.when(day & (apart == 0), 75.0).when(day | (apart <= 75), 88.0)
+    stuck = F.when(day, F.when(apart == 0, 75.0).otherwise(95.0))
     one = F.coalesce(F.col("x.fixture") == F.col("y.fixture"), F.lit(False))
     # names are compared only where they can decide
     open_pairs = _near(rows).where(one | (F.col("x.fixture").isNull() | F.col("y.fixture").isNull()) & (day | (free & F.coalesce(apart <= 75, F.lit(False)))))
-    scored = once(open_pairs, "score", pair_score(F.col("x.home"), F.col("x.away"), F.col("y.home"), F.col("y.away")))
-    return scored.where(F.coalesce(one | (free & alike) | stuck, F.lit(False))).select(F.col("x.game").alias("a"), F.col("y.game").alias("b"), "score")
+    least = F.when(one, F.lit(0.0)).when(free, alike).when(one_free, stuck)
+    scored = by_names(_named(open_pairs, least.alias("least")), "score", pair_score(*[F.col(c) for c in ("home", "away", "f_home", "f_away")]))
+    return scored.where(score >= F.col("least")).select("a", "b", "score")
 
 
 def groups(games: DataFrame, edges: DataFrame) -> DataFrame:
@@ -170,7 +178,8 @@ def groups(games: DataFrame, edges: DataFrame) -> DataFrame:
     of none. The canonical game has a fixture if one has, then the most records, then the least id.
     """
     own = games.select("game", F.col("fixture").cast("string").alias("label"))
-    both = cut(edges.select("a", "b", "score").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")))
+    edges = cut(edges.select("a", "b", "score"))  # they are read in every round
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     labels = cut(own)
     while True:
         offers = both.join(labels.where("label IS NOT NULL").withColumnRenamed("game", "b"), "b").groupBy("a").agg(F.max_by("label", F.struct("score", "label")).alias("offer"))
@@ -234,7 +243,7 @@ def reassigned(rows: DataFrame) -> DataFrame:
         .when((new >= MOVE_LEAST) & (new >= own + MOVE_MARGIN) & in_time, "move")
         .otherwise("quarantine")
     )
-    return once(rows, "s", scores).select(*rows.columns, verdict.alias("verdict"), own.alias("own_score"), new.alias("new_score"))
+    return by_names(rows, "s", scores, ("home", "away", "own_home", "own_away", "new_home", "new_away")).select(*rows.columns, verdict.alias("verdict"), own.alias("own_score"), new.alias("new_score"))
 
 
 def assigned_side(team: Column, home: Column, away: Column) -> Column:

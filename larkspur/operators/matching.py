@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.names import leagues_conflict, token_set_ratio
-from larkspur.functions.prob import once
+from larkspur.functions.prob import bind, once
 
 PAIR_SCORE, NAME_SCORE, RESULT_SCORE = 80.0, 88.0, 85.0
 MINUTES = 45
@@ -16,9 +17,15 @@ MINUTES = 45
 
 def pair_score(home: Column, away: Column, other_home: Column, other_away: Column) -> Column:
     """The better of the straight and the crossed pairing; each is as good as its worse side."""
-    straight = F.least(token_set_ratio(home, other_home), token_set_ratio(away, other_away))
-    crossed = F.least(token_set_ratio(home, other_away), token_set_ratio(away, other_home))
-    return F.greatest(straight, crossed)
+    return four(token_set_ratio, home, away, other_home, other_away, lambda hh, aa, ha, ah: F.greatest(F.least(hh, aa), F.least(ha, ah)))
+
+
+def four(
+    compare: Callable[[Column, Column], Column], home: Column, away: Column, other_home: Column, other_away: Column, body: Callable[[Column, Column, Column, Column], Column]
+) -> Column:
+    """body of compare for home and other_home, away and other_away, home and other_away, away and other_home; compare stands once in the plan, which is long."""
+    pairs = F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in ((home, other_home), (away, other_away), (home, other_away), (away, other_home))])
+    return bind(F.transform(pairs, lambda p: compare(p["a"], p["b"])), lambda s: body(*[F.get(s, F.lit(i)) for i in range(4)]))
 
 
 def minutes_apart(a: Column, b: Column) -> Column:
