@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.names import side_hit
 from larkspur.operators.fixtures import reassigned
-from larkspur.operators.identity import unify
+from larkspur.operators.identity import cut, unify
+from larkspur.operators.matching import by_names, four
 
 #: Fixed value: how alike each side must be for two pairs of names to be one game.
 SIDE_LEAST = 55
@@ -22,21 +23,26 @@ KEY = ["house", "market", "line", "side"]
 
 def same_game(home: Column, away: Column, other_home: Column, other_away: Column) -> Column:
     """Whether both sides are alike, straight or crossed."""
-    alike = lambda a, b: side_hit(a, b) >= SIDE_LEAST
-    return (alike(home, other_home) & alike(away, other_away)) | (alike(home, other_away) & alike(away, other_home))
+    return four(lambda a, b: side_hit(a, b) >= SIDE_LEAST, home, away, other_home, other_away, lambda hh, aa, ha, ah: (hh & aa) | (ha & ah))
 
 
 def name_clusters(records: DataFrame) -> DataFrame:
     """(fixture, home, away, component) of each fixture's distinct pairs of names: pairs of one component are spellings of one game.
 
-    Records without fixture or without a name of either side say nothing.
+    Records without fixture or without a name of either side say nothing. Each distinct set of names is clustered once.
     """
-    named = records.where("fixture IS NOT NULL AND home != '' AND away != ''").select("fixture", "home", "away").distinct()
-    pairs = named.withColumn("node", F.to_json(F.struct("fixture", "home", "away")))
-    x, y = pairs.alias("x"), pairs.alias("y")
-    near = x.join(y, (F.col("x.fixture") == F.col("y.fixture")) & (F.col("x.node") < F.col("y.node")))
-    edges = near.where(same_game(*[F.col(c) for c in ("x.home", "x.away", "y.home", "y.away")])).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return pairs.join(unify(edges), "node", "left").select("fixture", "home", "away", F.coalesce("component", "node").alias("component"))
+    named = records.where("fixture IS NOT NULL AND home != '' AND away != ''").groupBy("fixture").agg(F.sort_array(F.collect_set(F.struct("home", "away"))).alias("names"))
+    whole = cut(named.withColumn("names_id", F.sha2(F.to_json("names"), 256)))  # fixtures of the same teams and houses have the same names
+    sets = whole.groupBy("names_id").agg(F.min("names").alias("names")).select("names_id", F.explode("names").alias("n"))
+    pairs = cut(sets.select("names_id", "n.home", "n.away", F.to_json(F.struct("names_id", "n.home", "n.away")).alias("node")))
+    other = pairs.select("names_id", F.col("home").alias("f_home"), F.col("away").alias("f_away"), F.col("node").alias("f_node"))
+    near = pairs.join(other, "names_id").where("node < f_node")
+    alike = by_names(near, "alike", same_game(*[F.col(c) for c in ("home", "away", "f_home", "f_away")]))
+    parts = unify(alike.where("alike").select(F.col("node").alias("a"), F.col("f_node").alias("b")))
+    known = pairs.join(parts, "node", "left").withColumn("first", F.from_json(F.coalesce("component", "node"), "names_id string, home string, away string"))
+    clusters = known.groupBy("names_id").agg(F.collect_list(F.struct("home", "away", "first")).alias("c"))
+    out = whole.select("fixture", "names_id").join(clusters, "names_id").select("fixture", F.explode("c").alias("c"))
+    return out.select("fixture", "c.home", "c.away", F.to_json(F.struct("fixture", F.col("c.first.home").alias("home"), F.col("c.first.away").alias("away"))).alias("component"))
 
 
 def impure(records: DataFrame) -> DataFrame:
