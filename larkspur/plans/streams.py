@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larkspur.plans.events import E, T, timed
 from larkspur.plans.registry import query, scratch
@@ -39,17 +40,19 @@ _ALIVE = "coalesce(ts < kickoff - INTERVAL 2 MINUTE, true)"
 _MARK = "(SELECT max(ts) - INTERVAL 6 HOUR FROM events)"
 
 
-def _in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of the observations of a game with its kickoff, in the order of arrival by part, not by time."""
-    folder = scratch(spark, "parts")
+def _after_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of the observations of a game with its kickoff writes, whose parts come in the order of arrival, not of time."""
+    folder, state = scratch(spark, "parts"), scratch(spark, "keyed")
     rows = timed(spark, sf_dir).where("ts IS NOT NULL").select("id", "game", "house", F.col("ts").cast("timestamp").alias("ts"), "odd", F.when(F.col("game") % 5 > 0, F.col("kickoff").cast("timestamp")).alias("kickoff"))
     arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("id"), F.lit(5 * 3600)) * 1_000_000
     bounds = rows.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
     width = max(1, ((bounds.b or 0) - (bounds.a or 0)) // PARTS + 1)
     rows.withColumn("part", ((arrival - (bounds.a or 0)) / width).cast("int")).write.partitionBy("part").parquet(f"{folder}/staged")
-    for part in range(PARTS):  # one after the other, so that files have the order of parts
-        spark.read.schema(rows.schema).parquet(f"{folder}/staged/part={part}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    staged = spark.read.schema(StructType([*rows.schema, StructField("part", IntegerType())])).parquet(f"{folder}/staged")
+    for part in range(PARTS):  # each is one micro-batch of as many files as it has, and the stream goes on from where it stopped
+        staged.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        out = keyed.run(keyed.instruments(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), LATE), state, ended=part == PARTS - 1)
+    return out
 
 
 _SIGHTED = f"SELECT game, house, id, ts, odd, CASE WHEN game % 5 > 0 THEN kickoff END AS kickoff FROM ({T})"
@@ -61,7 +64,7 @@ _SIGHTED = f"SELECT game, house, id, ts, odd, CASE WHEN game % 5 > 0 THEN kickof
   FROM (SELECT *, lag(odd) OVER (PARTITION BY game, house, alive ORDER BY ts, id) AS prev FROM (SELECT *, {_ALIVE} AS alive FROM ({_SIGHTED}))) GROUP BY game, house)""")
 def stream_state_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State after seven micro-batches whose rows come out of order; lines close by timers, without a row of their own."""
-    out = keyed.run(keyed.instruments(_in_parts(spark, sf_dir), LATE), scratch(spark, "keyed"))
+    out = _after_parts(spark, sf_dir)
     stamps = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("open_ts", "last_ts")]
     return keyed.latest(out).select("game", "house", "open_odd", "last_odd", "max_odd", "min_odd", "n_obs", "n_moves", "closed", "close_odd", *stamps)
 
@@ -70,5 +73,4 @@ def stream_state_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM ({_SIGHTED}) WHERE {_ALIVE} WINDOW w AS (PARTITION BY game, house ORDER BY ts, id)) WHERE kind IS NOT NULL AND ts < date_trunc('millisecond', {_MARK})""")
 def stream_ticks_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks in the order of time, each as soon as the watermark makes it final."""
-    out = keyed.run(keyed.instruments(_in_parts(spark, sf_dir), LATE), scratch(spark, "keyed"))
-    return keyed.final_ticks(out).select("id", "game", "house", "odd", "previous", "kind")
+    return keyed.final_ticks(_after_parts(spark, sf_dir)).select("id", "game", "house", "odd", "previous", "kind")

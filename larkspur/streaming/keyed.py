@@ -1,126 +1,132 @@
 """State of an instrument by event time: rows take effect in the order of (time, id), whatever the order they come in.
 
 A row waits until the watermark has passed it; only then is it folded, and a tick of it is final. Until then it counts in the state
-that is shown, so the state after the last batch is that of all rows. A line closes by a timer at kickoff less two minutes, whether
-or not another row of it comes; rows of later event time only count. A second timer drops the state some days after kickoff, or after
-the last row where no kickoff is known. Rows behind the watermark are dropped by Spark. A key's waiting rows are those of the allowed
+that is shown, so the state after the last batch is that of all rows. A line closes once the watermark reaches kickoff less two minutes, whether
+or not another row of it comes; rows of later event time only count. State goes some days after kickoff, or after
+the last row where no kickoff is known. Rows behind the watermark are dropped. A key's waiting rows are those of the allowed
 lateness, so state does not grow with the length of the stream.
+
+State and waiting rows are tables (``steps``), folded by windows and aggregates over one shuffle by key, so no key costs a call of
+Python; each micro-batch writes the state of all live keys anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from larkspur.functions.times import FREEZE_MINUTES
 from larkspur.operators.history import MOVE
+from larkspur.streaming import steps
 
-#: The provider that keyed state with timers needs.
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+KEY = ("game", "house")
 _FOLD = "open_odd double, open_us long, last_odd double, last_us long, min_odd double, max_odd double, n_obs long, n_moves long, kickoff_us long, closed boolean, newest_us long, shown long"
-_WAITING = "us long, id long, odd double"
-OUT = "game long, house string, kind string, id long, us long, odd double, previous double, " + _FOLD
-_NEW = (None, None, None, None, None, None, 0, 0, None, False, None, 0)
+_NAMES = [f.split()[0] for f in _FOLD.split(", ")]
+_TICK = "id long, us long, odd double, previous double"
+OUT = f"game long, house string, kind string, {_TICK}, {_FOLD}"
+_STRUCT = "struct<" + ", ".join(f.replace(" ", ": ") for f in _FOLD.split(", ")) + ">"
+_HELD = f"game long, house string, live boolean, emitted boolean, folded {_STRUCT}, seen {_STRUCT}"
+_WAITING = "game long, house string, id long, us long, odd double"
 _DAY, _MINUTE = 86_400_000_000, 60_000_000
 
 
-def folded(state: tuple, rows: list[tuple[int, int, float]], freeze: int, tick: Callable | None = None) -> tuple:
-    """The state after rows (time, id, odd), which are in order; tick is told of openings and moves."""
-    first, first_us, last, last_us, least, most, n_obs, n_moves, kickoff, *rest = state
-    for us, row, odd in rows:
-        n_obs += 1
-        if kickoff is not None and us >= kickoff - freeze:
-            continue
-        moved = last is not None and abs(odd - last) >= MOVE - 1e-9
-        if tick and (last is None or moved):
-            tick("price" if moved else "open", row, us, odd, last)
-        if first is None:
-            first, first_us, least, most = odd, us, odd, odd
-        n_moves, last, last_us, least, most = n_moves + moved, odd, us, min(least, odd), max(most, odd)
-    return (first, first_us, last, last_us, least, most, n_obs, n_moves, kickoff, *rest)
-
-
-class Instrument(StatefulProcessor):
-    """Ticks that are final, and the state after every batch and timer that touches a key."""
-
-    def __init__(self, keep_days: int, freeze_minutes: int = FREEZE_MINUTES) -> None:
-        self.keep, self.freeze = keep_days * _DAY, freeze_minutes * _MINUTE
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("fold", _FOLD)
-        self.waiting = handle.getListState("waiting", _WAITING)
-
-    def _timer(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)  # one that the watermark has just reached fires, too early for its row
-
-    def _expired(self, state: tuple, passed: int) -> bool:
-        ends = [us for us in (state[8], state[10]) if us is not None]
-        return bool(ends) and passed >= max(ends) + self.keep
-
-    def _settled(self, key: tuple, state: tuple, waiting: list, passed: int) -> Iterator[pd.DataFrame]:
-        """Fold what the watermark has passed, keep the rest, and show both."""
-        ticks: list[tuple] = []
-        waiting.sort()
-        done = [w for w in waiting if w[0] < passed]
-        left = waiting[len(done) :]
-        state = folded(state, done, self.freeze, lambda *t: ticks.append(t))
-        closed = state[9] or (state[8] is not None and passed >= state[8] - self.freeze)
-        state = (*state[:9], closed, state[10], state[11] + 1)
-        self.state.update(state)
-        if left:
-            self.waiting.put(left)
-            self._timer(left[0][0])  # the next one to become final
-        else:
-            self.waiting.clear()
-        shown = folded(state, left, self.freeze)
-        none = (None,) * len(_NEW)
-        rows = [(*key, kind, row, us, odd, before, *none) for kind, row, us, odd, before in ticks]
-        rows.append((*key, "state", None, None, None, None, *shown))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in OUT.split(", ")]).astype({"id": "Int64", "us": "Int64", "open_us": "Int64", "last_us": "Int64", "n_obs": "Int64", "n_moves": "Int64", "kickoff_us": "Int64", "closed": "boolean", "newest_us": "Int64", "shown": "Int64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, passed = tuple(self.state.get() or _NEW), timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(w) for w in self.waiting.get()]
-        if self._expired(state, passed):
-            state, waiting = _NEW, []
-        kickoff, newest = state[8], state[10] or 0
-        for batch in rows:
-            waiting += zip(batch["us"].tolist(), batch["id"].tolist(), batch["odd"].tolist())
-            known = batch["kickoff_us"].dropna()
-            if kickoff is None and len(known):
-                kickoff = int(known.min())
-            newest = max(newest, int(batch["us"].max()))
-        state = (*state[:8], kickoff, state[9], newest, state[11])
-        if kickoff is not None:
-            self._timer(kickoff - self.freeze)
-        self._timer(max(newest, kickoff or 0) + self.keep)
-        yield from self._settled(key, state, waiting, passed)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, passed = self.state.get(), timerValues.getCurrentWatermarkInMs() * 1000
-        if state is None:
-            return
-        state = tuple(state)
-        if self._expired(state, passed):
-            self.state.clear()
-            self.waiting.clear()
-            return
-        yield from self._settled(key, state, [tuple(w) for w in self.waiting.get()], passed)
-
-    def close(self) -> None:
-        pass
-
-
-def instruments(rows: DataFrame, late: str = "1 hour", keep_days: int = 30) -> DataFrame:
-    """rows(game, house, id, ts, odd, kickoff), a stream, to rows of OUT; run it with PROVIDER set."""
-    timed = rows.where("ts IS NOT NULL AND odd IS NOT NULL").withWatermark("ts", late)
-    timed = timed.select("game", "house", "id", "ts", "odd", F.unix_micros("ts").alias("us"), F.unix_micros("kickoff").alias("kickoff_us"))
-    return timed.groupBy("game", "house").transformWithStateInPandas(Instrument(keep_days), OUT, "Update", "EventTime")
+@dataclass(frozen=True)
+class Instruments:
+    """A stream of rows(game, house, id, us, odd, kickoff_us), how late they may come, and how long state stays, in microseconds."""
+
+    rows: DataFrame
+    late: int
+    keep: int
+    freeze: int = FREEZE_MINUTES * _MINUTE
+
+
+def instruments(rows: DataFrame, late: str = "1 hour", keep_days: int = 30) -> Instruments:
+    """rows(game, house, id, ts, odd, kickoff), a stream, for run."""
+    timed = rows.where("ts IS NOT NULL AND odd IS NOT NULL")
+    waits = rows.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {late})").first()[0]
+    return Instruments(timed.select("game", "house", "id", F.unix_micros("ts").alias("us"), "odd", F.unix_micros("kickoff").alias("kickoff_us")), waits, keep_days * _DAY)
+
+
+def _at(us: int | None) -> Column:
+    return F.lit(us).cast("long")
+
+
+def _passed(mark: dict | None, of: Instruments) -> int | None:
+    """The watermark after the rows of mark, in whole milliseconds."""
+    return None if mark is None or mark["newest"] is None else (mark["newest"] - of.late) // 1000 * 1000
+
+
+def _seen(rows: DataFrame, waiting: DataFrame, held: DataFrame, passed: int | None, of: Instruments) -> DataFrame:
+    """Rows and those that waited, and one row for each state s, with what came before in their order.
+
+    live is false for what belongs to a state whose days are over: it is settled, and rows that come begin anew.
+    """
+    none = lambda **columns: [F.lit(None).cast(kind).alias(c) for c, kind in columns.items()]
+    every = rows.select(*KEY, "id", "us", "odd", "kickoff_us", F.lit(True).alias("fresh"), *none(s=_STRUCT))
+    every = every.unionByName(waiting.select(*KEY, "id", "us", "odd", *none(kickoff_us="long"), F.lit(False).alias("fresh"), *none(s=_STRUCT)))
+    every = every.unionByName(held.select(*KEY, *none(id="long", us="long", odd="double", kickoff_us="long"), F.lit(False).alias("fresh"), F.col("folded").alias("s")))
+    key = Window.partitionBy(*KEY)
+    every = every.withColumns({"s": F.max("s").over(key), "again": F.max("fresh").over(key)})
+    over = F.coalesce(F.greatest("s.kickoff_us", "s.newest_us") + of.keep <= _at(passed), F.lit(False))
+    every = every.withColumns({"live": ~over | F.col("fresh"), "s": F.when(~(over & F.col("fresh")), F.col("s"))})
+    life = Window.partitionBy(*KEY, "live")
+    every = every.withColumn("kickoff_us", F.coalesce("s.kickoff_us", F.min("kickoff_us").over(life)))
+    alive = F.when(F.col("us").isNotNull(), F.coalesce(F.col("us") < F.col("kickoff_us") - of.freeze, F.lit(True)))
+    every = every.withColumns({"alive": alive, "done": F.coalesce(F.col("us") < _at(passed), F.lit(False))})
+    previous = F.coalesce(F.lag("odd").over(Window.partitionBy(*KEY, "live", "alive").orderBy("us", "id", "odd")), "s.last_odd")
+    every = every.withColumn("previous", F.when(F.col("alive"), previous))
+    moved = F.abs(F.col("odd") - F.col("previous")) >= MOVE - 1e-9
+    return every.withColumn("kind", F.when(F.col("alive") & F.col("previous").isNull(), "open").when(F.col("alive") & moved, "price"))
+
+
+def _folded(seen: DataFrame, passed: int | None, of: Instruments) -> DataFrame:
+    """_HELD of each key: folded by the rows that the watermark has passed, and seen by all."""
+    s = F.first("s")
+    kickoff = F.first("kickoff_us")
+    closed = F.coalesce(s["closed"], F.lit(False)) | F.coalesce(kickoff - of.freeze <= _at(passed), F.lit(False))
+    emitted = F.max(F.col("fresh") | F.col("done")) | (closed != F.coalesce(s["closed"], F.lit(False)))
+    newest = F.greatest(s["newest_us"], F.max("us"))
+
+    def state(counted: Column) -> Column:
+        live = lambda c: F.when(counted & F.col("alive"), c)
+        at, odd, us = live(F.struct("us", "id", "odd")), live(F.col("odd")), live(F.col("us"))
+        count = lambda c: F.count(F.when(counted & c, 1))
+        total = lambda name, n: F.coalesce(s[name], F.lit(0)) + n
+        return F.struct(
+            F.coalesce(s["open_odd"], F.min_by(odd, at)).alias("open_odd"), F.coalesce(s["open_us"], F.min(us)).alias("open_us"),
+            F.coalesce(F.max_by(odd, at), s["last_odd"]).alias("last_odd"), F.coalesce(F.max(us), s["last_us"]).alias("last_us"),
+            F.least(s["min_odd"], F.min(odd)).alias("min_odd"), F.greatest(s["max_odd"], F.max(odd)).alias("max_odd"),
+            total("n_obs", count(F.col("us").isNotNull())).alias("n_obs"), total("n_moves", count(F.col("kind") == "price")).alias("n_moves"),
+            kickoff.alias("kickoff_us"), closed.alias("closed"), newest.alias("newest_us"), total("shown", emitted.cast("long")).alias("shown"),
+        )
+
+    # a state that ends in the batch that begins the key anew is not the one to show
+    shown = emitted & (F.col("live") | ~F.first("again"))
+    return seen.groupBy(*KEY, "live").agg(shown.alias("emitted"), state(F.col("done")).alias("folded"), state(F.lit(True)).alias("seen"))
+
+
+def _step(new: DataFrame | None, step: int, of: Instruments, folder: str, files_folder: str) -> None:
+    """Fold the rows of a micro-batch, or none once the input has ended, into the state that the step before left."""
+    spark = of.rows.sparkSession if new is None else new.sparkSession
+    earlier = steps.before(spark, folder, step)
+    passed, over = _passed(earlier, of), earlier and earlier["passed"]
+    rows = spark.createDataFrame([], "game long, house string, id long, us long, odd double, kickoff_us long") if new is None else new
+    rows = rows if over is None else rows.where(F.col("us") >= over)
+    held = steps.snapshot(spark, folder, "fold", _HELD, earlier).where("live")
+    seen = _seen(rows, steps.snapshot(spark, folder, "waiting", _WAITING, earlier), held, passed, of).persist()
+    try:
+        seen.where("us IS NOT NULL AND NOT done").select(*KEY, "id", "us", "odd").write.mode("overwrite").parquet(f"{folder}/waiting/step={step}")
+        _folded(seen, passed, of).write.mode("overwrite").parquet(f"{folder}/fold/step={step}")
+        states = steps.snapshot(spark, folder, "fold", _HELD, {"step": step})
+        none = lambda fields: [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields.split(", ")]
+        ticks = seen.where("done AND kind IS NOT NULL").select(*KEY, "kind", "id", "us", "odd", "previous", *none(_FOLD))
+        ticks.unionByName(states.where("emitted").select(*KEY, F.lit("state").alias("kind"), *none(_TICK), "seen.*")).write.mode("overwrite").parquet(f"{folder}/{files_folder}/batch={step}")
+    finally:
+        seen.unpersist()
+    newest = [us for us in (earlier and earlier["newest"], states.agg(F.max("folded.newest_us")).first()[0]) if us is not None]
+    steps.finish(spark, folder, {"step": step, "newest": max(newest, default=None), "passed": passed}, ("fold", "waiting"))
 
 
 def final_ticks(out: DataFrame) -> DataFrame:
@@ -130,21 +136,19 @@ def final_ticks(out: DataFrame) -> DataFrame:
 
 def latest(out: DataFrame) -> DataFrame:
     """The newest state of each key; close_odd is that of a closed line."""
-    names = [f.split()[0] for f in _FOLD.split(", ")]
-    newest = out.where("kind = 'state'").groupBy("game", "house").agg(F.max_by(F.struct(*names), "shown").alias("s")).select("game", "house", "s.*")
+    newest = out.where("kind = 'state'").groupBy("game", "house").agg(F.max_by(F.struct(*_NAMES), "batch").alias("s")).select("game", "house", "s.*")
     stamps = {f"{c}_ts": F.timestamp_micros(f"{c}_us") for c in ("open", "last")}
     return newest.withColumns(stamps | {"close_odd": F.when(F.col("closed"), F.col("last_odd"))})
 
 
-def run(stream: DataFrame, folder: str, files_folder: str = "out") -> DataFrame:
-    """Run a stream until its input ends, one folder a batch, so that a batch that is run again replaces what it wrote."""
-    spark: SparkSession = stream.sparkSession
-    name, provider = PROVIDER
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, provider)
-    try:
-        write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/{files_folder}/batch={k}")
-        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{files_folder}")
+def run(stream: Instruments, folder: str, files_folder: str = "out", ended: bool = True) -> DataFrame:
+    """Run a stream until its input ends, one folder a batch, so that a batch that is run again replaces what it wrote; rows of OUT and batch.
+
+    Where more input is to follow (ended is false), what the last batch lets pass stays for the next.
+    """
+    spark = stream.rows.sparkSession
+    steps.run(stream.rows, folder, lambda rows, step: _step(rows, step, stream, folder, files_folder))
+    last = steps.ended(spark, folder) if ended else None
+    if last is not None:
+        _step(None, last, stream, folder, files_folder)
+    return spark.read.schema(f"{OUT}, batch long").parquet(f"{folder}/{files_folder}")
