@@ -20,17 +20,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("game"), F.col("event_type").alias("house"), F.col("ts").cast("timestamp").alias("ts"), F.round(1.02 + F.col("value") / 100 + 1e-7, 2).alias("odd"))
 
 
-def _run(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
-    folder = scratch(spark, "stream")
-    writer = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    writer.start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
-
-
 @query(f"""SELECT * FROM (SELECT id, game, house, odd, lag(odd) OVER w AS previous, CASE WHEN lag(odd) OVER w IS NULL THEN 'open' WHEN abs(odd - lag(odd) OVER w) >= 0.01 - 1e-9 THEN 'price' END AS kind
   FROM ({E}) WINDOW w AS (PARTITION BY game, house ORDER BY ts, id)) WHERE kind IS NOT NULL""")
 def stream_ticks_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, ticks.price_ticks(_stream(spark, sf_dir)), "append").select("id", "game", "house", "odd", "previous", "kind")
+    return ticks.price_ticks(_stream(spark, sf_dir), scratch(spark, "stream")).select("id", "game", "house", "odd", "previous", "kind")
 
 
 #: Rows come up to five hours late and in seven parts, one a micro-batch; the watermark waits six.

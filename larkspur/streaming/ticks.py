@@ -5,30 +5,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.operators.history import MOVE
+from larkspur.streaming import steps
+
 TICK = "game long, house string, id long, ts timestamp, odd double, previous double, kind string"
 
 
 STATE = "game long, house string, open_odd double, open_ts timestamp, last_odd double, last_ts timestamp, min_odd double, max_odd double, n_obs long, n_moves long, closed boolean"
-
-
-def price_ticks(rows: DataFrame, least: float = 0.01) -> DataFrame:
-    """rows(game, house, id, ts, odd), a stream, to open and price ticks; state is the last odd of a key."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        previous = rows["odd"].shift(1)
-        if state.exists:
-            previous.iloc[0] = state.get[0]
-        moved = previous.isna() | ((rows["odd"] - previous).abs() >= least - 1e-9)
-        state.update((float(rows["odd"].iloc[-1]),))
-        out = rows.assign(game=key[0], house=key[1], previous=previous, kind=previous.isna().map({True: "open", False: "price"}))
-        yield out.loc[moved, ["game", "house", "id", "ts", "odd", "previous", "kind"]]
-
-    return rows.select("game", "house", "id", "ts", "odd").groupBy("game", "house").applyInPandasWithState(step, TICK, "last double", "append", GroupStateTimeout.NoTimeout)
+_LAST = "game long, house string, odd double"
+
+
+def price_ticks(rows: DataFrame, folder: str, least: float = MOVE) -> DataFrame:
+    """rows(game, house, id, ts, odd), a stream, run to its end to open and price ticks; state is the last odd of a key, a table of a snapshot a batch."""
+
+    def step(new: DataFrame, number: int) -> None:
+        spark = new.sparkSession
+        earlier = steps.before(spark, folder, number)
+        held = steps.snapshot(spark, folder, "last", _LAST, earlier).select("game", "house", F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("ts"), "odd", F.lit(0).alias("turn"))
+        every = held.unionByName(new.select("game", "house", "id", "ts", "odd", F.lit(1).alias("turn")))
+        order = ("turn", F.col("ts").isNull(), "ts", "id")
+        previous = F.lag("odd").over(Window.partitionBy("game", "house").orderBy(*order))
+        kind = F.when(F.col("previous").isNull(), "open").when(F.abs(F.col("odd") - F.col("previous")) >= least - 1e-9, "price")
+        ticks = every.withColumn("previous", previous).withColumn("kind", kind).where("turn = 1 AND kind IS NOT NULL")
+        ticks.select("game", "house", "id", "ts", "odd", "previous", "kind").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        last = every.groupBy("game", "house").agg(F.max_by("odd", F.struct("turn", F.col("ts").isNull(), "ts", "id")).alias("odd"))
+        last.write.mode("overwrite").parquet(f"{folder}/last/step={number}")
+        steps.finish(spark, folder, {"step": number}, ("last",))
+
+    steps.run(rows, folder, step)
+    return rows.sparkSession.read.schema(TICK).parquet(f"{folder}/out")
 
 
 def open_close(rows: DataFrame, late: str = "1 hour", keep_days: int = 30) -> DataFrame:

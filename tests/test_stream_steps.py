@@ -3,7 +3,7 @@
 import datetime
 import inspect
 
-from larkspur.streaming import keyed
+from larkspur.streaming import keyed, ticks
 
 SCHEMA = "game long, house string, id long, ts timestamp, odd double, kickoff timestamp"
 
@@ -18,7 +18,16 @@ def arrive(spark, tmp_path, rows):
 
 
 def test_no_call_of_python_for_a_key():
-    assert not any(word in inspect.getsource(keyed) for word in ("InPandas", "pandas_udf", "StatefulProcessor"))
+    for code in (keyed, ticks.price_ticks):
+        assert not any(word in inspect.getsource(code) for word in ("InPandas", "pandas_udf", "StatefulProcessor"))
+
+
+def test_last_odds_go_from_batch_to_batch(spark, tmp_path):
+    rows = lambda *r: arrive(spark, tmp_path, [(1, "h", i, ts, odd, None) for i, ts, odd in r]) and spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    ticks.price_ticks(rows((2, day(2), 1.9), (1, day(1), 1.8), (3, None, 2.0), (4, day(2), None)), f"file://{tmp_path}/run")
+    out = ticks.price_ticks(rows((5, day(1), 2.0), (6, day(3), 2.2)), f"file://{tmp_path}/run")
+    # an odd that is missing opens the line anew
+    assert sorted((r.id, r.kind, r.previous) for r in out.collect()) == [(1, "open", None), (2, "price", 1.8), (3, "open", None), (6, "price", 2.0)]
 
 
 def test_stream_goes_on_and_rows_of_ended_states_stay_final(spark, tmp_path):
