@@ -59,6 +59,8 @@ class Model:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.control = {i for i, p in enumerate(proto.pieces) if p.type in (kinds.CONTROL, kinds.UNKNOWN)}
+        #: bytes that each id stands for
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else b"" if i in self.control else p.piece.replace(SPACE, " ").encode("utf-8") for i, p in enumerate(proto.pieces)]
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.longest = max(map(len, self.id))
         self.alphabet = {c for c in self.id if len(c) == 1}
@@ -71,9 +73,9 @@ class Model:
         """Ids of a character that no piece holds."""
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
-    def merged(self, text: str) -> list[int]:
-        """Ids of a short text by merging the best neighbours first, the leftmost at ties."""
-        parts = list(text)
+    def parted(self, a: str, b: str) -> bool:
+        """Whether merging the best neighbours of a and b first, the leftmost at ties, ends in just these two; a merge across the two settles it."""
+        parts, edge = [*a, *b], len(a)  # the first edge parts are of a
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -81,7 +83,10 @@ class Model:
                 if i is not None and (best is None or self.score[i] > best):
                     best, at = self.score[i], k
             if at < 0:
-                return [self.id[p] for p in parts]
+                return parts == [a, b]
+            if at == edge - 1:
+                return False
+            edge -= at < edge
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def follows(self, a: int, b: int) -> bool:
@@ -93,7 +98,7 @@ class Model:
         if known is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            known = self._pairs[key] = self.merged(self.text[a] + self.text[b]) == [a, b]
+            known = self._pairs[key] = self.parted(self.text[a], self.text[b])
         return known
 
 
@@ -168,33 +173,38 @@ class Stream:
 class Encoder:
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.known: dict[str, np.ndarray] = {}
+        #: ids of a chunk, as the bytes of whole numbers of 32 bits: those of a text are joined at once
+        self.known: dict[str, bytes] = {}
         size = 1 << 19
-        self.slots, self.slot_ids, self.probes = self._table(size)
+        self.slots, self.slot_ids = self._table(size)
         self.scores = np.array(model.score)
         self.power = np.array([pow(_BASE, k, 1 << 64) for k in range(MATRIX + 1)], np.uint64)
         # a direct-mapped memory of pairs: a pair that takes another's slot only costs a new look-up
         self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
-    def _table(self, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def _table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Open-addressed table of piece hashes."""
-        slots, ids, most = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 1
+        slots, ids = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         for text, i in self.m.id.items():
             h = 0
             for c in text:
                 h = (h * _BASE + ord(c) + 1) & ((1 << 64) - 1)
-            at, probe = (h * _SPREAD & ((1 << 64) - 1)) >> (64 - size.bit_length() + 1), 1
+            at = (h * _SPREAD & ((1 << 64) - 1)) >> (64 - size.bit_length() + 1)
             while ids[at] >= 0:
-                at, probe = (at + 1) % size, probe + 1
-            slots[at], ids[at], most = h, i, max(most, probe)
-        return slots, ids, most
+                at = (at + 1) % size
+            slots[at], ids[at] = h, i
+        return slots, ids
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         at = ((h * np.uint64(_SPREAD)) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
-        out = np.where(self.slots[at] == h, self.slot_ids[at], -1)
-        for _ in range(self.probes - 1):
-            at = (at + 1) % len(self.slots)
-            out = np.where(self.slots[at] == h, self.slot_ids[at], out)
+        ids, hit = self.slot_ids[at], self.slots[at] == h
+        out = np.where(hit, ids, np.int32(-1))
+        rest = np.flatnonzero(~hit & (ids >= 0))  # only a slot that another piece holds is followed by a look at the next
+        while len(rest):
+            at[rest] = (at[rest] + 1) % len(self.slots)
+            ids, hit = self.slot_ids[at[rest]], self.slots[at[rest]] == h[rest]
+            out[rest[hit]] = ids[hit]
+            rest = rest[~hit & (ids >= 0)]
         return out
 
     def _follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,7 +248,7 @@ class Encoder:
             at = np.where(at > 0, back[at, rows], 0)
         ids = np.array(steps[::-1]).T
         for chunk, row in zip(chunks, ids, strict=True):
-            self.known[chunk] = row[row >= 0]
+            self.known[chunk] = row[row >= 0].astype(np.int32).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -250,9 +260,9 @@ class Encoder:
         for length, group in by_length.items():
             self._matrix(group, length)
 
-    def _streamed(self, chunk: str) -> np.ndarray:
+    def _streamed(self, chunk: str) -> bytes:
         stream = Stream(self.m)
-        return np.array(stream.feed(chunk) + stream.end(), np.int32)
+        return np.array(stream.feed(chunk) + stream.end(), np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split, new = [], set()
@@ -265,18 +275,11 @@ class Encoder:
             self.known.clear()
             new = {c for chunks in split for c in chunks}
         self._learn(new)
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([self.known[c] for c in chunks]) if chunks else none for chunks in split]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in split]
 
 
 def decode(model: Model, ids: list[int]) -> str:
-    out = bytearray()
-    for i in ids:
-        if i in model.of_byte:
-            out.append(model.of_byte[i])
-        elif i not in model.control:
-            out += model.text[i].replace(SPACE, " ").encode("utf-8")
-    text = out.decode("utf-8", "replace")
+    text = b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
