@@ -4,14 +4,15 @@ Candidates. Every window of LENGTH bytes owns the q-gram in it of least hash, th
 that is depends on the window's bytes alone, so equal windows own equal q-grams at equal offsets. Runs of
 windows with the same q-gram make one record: some n / 77 for n bytes. Records are counted by q-gram with
 partial aggregates; a q-gram met once leads nowhere. Records with equal bytes (by 128 bits of BLAKE2) are copies of
-one kind; each kind is sorted once, or twice next to itself if it has copies.
+one kind; each kind is sorted once, and a suffix of a kind with copies stands for several.
 
 Sorting. The suffixes of all kinds of a q-gram are sorted by bucket-pointer refinement: buckets of 8-grams are made
 first; a bucket of two or more is sorted by the bucket ids at the offset up to which its members agree, and what it becomes is at once what
-later buckets point to, so that the depth up to which a bucket agrees grows by that of the buckets it points to. Buckets of one are left
-alone. Windows that stand next to each other in the end are compared byte by byte; equal ones are repeated.
-That verdict goes back to all records of the kind. A task sorts whole q-gram groups, packed in batches. A group of
-more than GROUP kinds takes another exact way: its windows are counted as rows.
+later buckets point to, so that the depth up to which a bucket agrees grows by that of the buckets it points to. Buckets are taken from
+the ends of the kinds to their begins, so that most point to finished ones and are finished by one sort. Buckets of one are left
+alone. Windows that stand next to each other in the end are compared byte by byte; equal ones are repeated, as are those that stand for
+several. That verdict goes back to all records of the kind. A task sorts whole q-gram groups, packed in batches in which each q-gram
+has buckets of its own. A group of more than GROUP kinds takes another exact way: its windows are counted as rows.
 
 Kinds with more than a thousandth of the records, a thousand at most, reach their records by broadcast, the rest by a
 shuffle, so no kind fills a task. A null text is empty. Rows whose doc_id is null or repeated are told apart by a key of their own,
@@ -37,8 +38,8 @@ GRAM = 48
 GROUP = 20_000
 #: Bytes that are sorted at once.
 BATCH = 1 << 20
-#: Bytes of the initial buckets; parts in which a round refines its buckets, each with what the parts before have found.
-FIRST, PARTS = 8, 4
+#: Bytes of the initial buckets; most parts in which a round refines its buckets, each with what the parts before have found.
+FIRST, PARTS = 8, 48
 #: Kinds with more than one in so many records are broadcast.
 HOT = 1_000
 
@@ -72,26 +73,35 @@ def records(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return g[at].view(np.int64), halves[:, 0], halves[:, 1], lo, hi
 
 
-def sorted_windows(data: np.ndarray, starts: np.ndarray, needed: np.ndarray) -> np.ndarray:
+def sorted_windows(data: np.ndarray, starts: np.ndarray, needed: np.ndarray, room: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
     """starts in order of the suffixes of data that begin there, by bucket-pointer refinement.
 
     needed has, for each place in data, the bytes from there on that count; a bucket is refined as long as one of its
-    members needs it.
+    members needs it. room has the bytes up to the end of the place's record, all data if None: buckets with less of it
+    come first. group has small numbers of 16 bits; if given, the suffixes of each group stand together.
     """
     n = len(data)
+    room = n - np.arange(n) if room is None else room
     words = words_at(data)
     at = np.argsort(words, kind="stable")
     new = np.concatenate([[True], words[at[1:]] != words[at[:-1]]])
+    if group is not None:
+        at = at[np.argsort(group[at], kind="stable")]
+        new = np.concatenate([[True], (words[at[1:]] != words[at[:-1]]) | (group[at[1:]] != group[at[:-1]])])
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, n))
     # the id of a bucket is the place of its first member in the order, so that a part keeps the ids of its bucket
     bucket, depth = np.empty(n, np.int64), np.full(n, FIRST)
     bucket[at] = np.repeat(head, size)
     open_ = _unfinished(at, head, size, depth, needed)
+    stretch = max(FIRST, -(-(int(room.max()) + 1) // PARTS))
     while len(open_):
         ids = bucket[open_]
-        cuts = np.unique(np.searchsorted(ids, ids[np.arange(PARTS) * len(ids) // PARTS]))
-        open_ = np.concatenate([_refine(part, bucket, depth, needed) for part in np.split(open_, cuts[1:])])
+        head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        part = np.repeat((np.maximum.reduceat(room[open_], head) // stretch).astype(np.uint8), np.diff(np.append(head, len(open_))))
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        open_ = np.concatenate([_refine(at, bucket, depth, needed) for at in np.split(open_[order], cuts)])
     return starts[np.argsort(bucket[starts], kind="stable")]
 
 
@@ -132,16 +142,18 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def refined(data: np.ndarray, starts: np.ndarray, needed: np.ndarray | None = None) -> np.ndarray:
-    """Which of starts begin a LENGTH-byte string that another of starts begins too.
+def refined(data: np.ndarray, starts: np.ndarray, room: np.ndarray | None = None, group: np.ndarray | None = None) -> np.ndarray:
+    """Which of starts begin a LENGTH-byte string that another of starts, in the same group, begins too.
 
     starts are at least LENGTH bytes before the end of data. Neighbours in the order are compared byte by byte.
     """
-    if needed is None:
-        needed = np.minimum(len(data) - np.arange(len(data)), LENGTH)
-    at = sorted_windows(data, starts, needed)
+    if room is None:
+        room = len(data) - np.arange(len(data))
+    at = sorted_windows(data, starts, np.minimum(room, LENGTH), room, group)
     words = words_at(data)
     pair = np.arange(len(at) - 1)
+    if group is not None:
+        pair = pair[group[at[:-1]] == group[at[1:]]]
     for k in [*range(0, LENGTH - FIRST, FIRST), LENGTH - FIRST]:
         pair = pair[words[at[pair] + k] == words[at[pair + 1] + k]]
     hit = np.zeros(len(data), bool)
@@ -197,24 +209,22 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def _spans(pieces: list[tuple]) -> pa.RecordBatch:
-    """Sorts pieces (kind's columns, data), those with copies twice, and gives the spans of repeated windows in each."""
-    copies = [p for p in pieces for _ in range(2 if p[3] > 1 else 1)]
-    data = np.frombuffer(b"".join(p[-1] for p in copies), np.uint8)
-    sizes = np.array([len(p[-1]) for p in copies])
+    """Sorts pieces (kind's columns, data) that come by q-gram, and gives the spans of repeated windows in each."""
+    data = np.frombuffer(b"".join(p[-1] for p in pieces), np.uint8)
+    sizes = np.array([len(p[-1]) for p in pieces])
     begins = np.cumsum(sizes) - sizes
     counts = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(copies)), counts)
+    owner = np.repeat(np.arange(len(pieces)), counts)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     # bytes of other records say nothing of a window's place
-    needed = np.minimum(np.repeat(begins + sizes, sizes) - np.arange(len(data)), LENGTH)
-    hit = np.flatnonzero(refined(data, begins[owner] + within, needed))
+    room = np.repeat(begins + sizes, sizes) - np.arange(len(data))
+    grams = np.array([p[0] for p in pieces])
+    group = np.repeat(np.cumsum(np.concatenate([[False], grams[1:] != grams[:-1]])).astype(np.uint16), sizes)
+    several = np.array([p[3] > 1 for p in pieces])
+    hit = np.flatnonzero(refined(data, begins[owner] + within, room, group) | several[owner])
     new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
     first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-    # the second of two copies says what the first one does
-    again = np.array([k > 0 and copies[k - 1] is copies[k] for k in range(len(copies))])
-    keep = ~again[owner[first]]
-    first, last = first[keep], last[keep]
-    kinds = [copies[k] for k in owner[first]]
+    kinds = [pieces[k] for k in owner[first]]
     columns = [pa.array([p[k] for p in kinds], kind) for k, (_, kind) in enumerate(_FIELDS)]
     ends = [pa.array(within[first].astype(np.int32)), pa.array((within[last] + LENGTH).astype(np.int32))]
     return pa.RecordBatch.from_arrays([*columns, *ends], names=[*(name for name, _ in _FIELDS), "start", "stop"])

@@ -410,6 +410,26 @@ def test_windows_are_sorted_as_suffixes():
         assert sorted(at) == starts.tolist() and cut == sorted(cut)
 
 
+def test_suffixes_of_kinds_are_sorted_about_once(monkeypatch):
+    rng, pieces, work, plain = np.random.default_rng(7), [], [], repeats._refine
+    for gram in range(8):
+        base = rng.integers(97, 123, 300).astype(np.uint8)
+        for k in range(1 if gram < 4 else 6):  # four q-grams of one kind with copies, four of kinds that nearly agree
+            near = base.copy()
+            near[rng.integers(0, 300, k)] = 48 + k
+            pieces.append((gram, gram, k, 3 if k == 0 else 1, k, 0, near[k:].tobytes()))
+    monkeypatch.setattr(repeats, "_refine", lambda at, *rest: work.append(len(at)) or plain(at, *rest))
+    got = collections.Counter()
+    for r in repeats._spans(pieces).to_pylist():
+        got.update((r["gram"], r["b"], i) for i in range(r["start"], r["stop"] - repeats.LENGTH + 1))
+    seen = collections.Counter()
+    windows = [(p, i, (p[0], p[-1][i : i + repeats.LENGTH])) for p in pieces for i in range(len(p[-1]) - repeats.LENGTH + 1)]
+    for p, _, window in windows:
+        seen[window] += p[3]
+    assert got == collections.Counter((p[0], p[2], i) for p, i, window in windows if seen[window] > 1)
+    assert sum(work) <= sum(len(p[-1]) for p in pieces)
+
+
 def test_words_of_equal_polynomial_hash_are_told_apart():
     word = [0]
     while len(word) < 1024:
