@@ -12,7 +12,8 @@ each prefix has one piece that can end it. This gives the ids of the model's own
 
 Characters in no piece are given as bytes, if the model has byte pieces, else as the unknown id; paths always
 converge there, and before a U+2581 after another character. Between such places stand chunks; those of up to
-MATRIX characters are segmented many at once as numpy matrices, by the same recurrence, and remembered.
+MATRIX characters are segmented many at once as numpy matrices, by the same recurrence, and remembered. Texts are
+cut into chunks in Arrow's buffers, a dictionary of which shows Python each distinct chunk once.
 
 A null or empty text has no ids. Decoding gives the text back but for U+2581, which becomes a space, and
 characters that Unicode text cannot hold. Every row gives one row; extra columns are ignored.
@@ -20,18 +21,18 @@ characters that Unicode text cannot hold. Every row gives one row; extra columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Longest chunk that is segmented in matrices; chunks and pairs of pieces that are remembered.
-MATRIX, CHUNKS, PAIRS, PAIR_BITS = 32, 300_000, 2_000_000, 21
+#: Longest chunk that is segmented in matrices, and chunks a matrix; chunks and pairs of pieces that are remembered; bytes of text that are cut at once.
+MATRIX, COLUMNS, CHUNKS, PAIRS, PAIR_BITS, PART = 32, 20_000, 300_000, 2_000_000, 21, 4_000_000
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -64,9 +65,8 @@ class Model:
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.longest = max(map(len, self.id))
         self.alphabet = {c for c in self.id if len(c) == 1}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        #: chunks end before a space that follows another character; one chunk if pieces can span such places
-        self.chunk = re.compile(r"\n|(?:(?!\n).)+" if inner else rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", re.S)
+        #: chunks end before a space that follows another character, unless pieces can span such places
+        self.inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self._pairs: dict[int, bool] = {}
 
     def fallback(self, char: str) -> list[int]:
@@ -175,6 +175,9 @@ class Encoder:
         self.m = model
         #: ids of a chunk, as the bytes of whole numbers of 32 bits: those of a text are joined at once
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        #: chunks that decoding does not give back
+        self.lossy: set[str] = set()
         size = 1 << 19
         self.slots, self.slot_ids = self._table(size)
         self.scores = np.array(model.score)
@@ -219,63 +222,111 @@ class Encoder:
             self.pair_keys[at[miss]], self.pair_ok[at[miss]] = key[miss], ok[miss]
         return ok
 
-    def _matrix(self, chunks: list[str], length: int) -> None:
-        """Segments chunks of one length whose characters are all in the alphabet."""
-        n, bpe = len(chunks), self.m.bpe
-        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(n, length)
+    def _matrix(self, chunks: list[str]) -> None:
+        """Segments chunks whose characters are all in the alphabet, the longest first; row j holds those of j characters or more."""
+        n, bpe, length = len(chunks), self.m.bpe, len(chunks[0])
+        sizes = np.array([len(c) for c in chunks])
+        code = np.ascontiguousarray(np.array(chunks, f"U{length}").view(np.uint32).reshape(n, length).T)
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
-            prefix[j + 1] = prefix[j] * np.uint64(_BASE) + code[:, j] + np.uint64(1)
+            prefix[j + 1] = prefix[j] * np.uint64(_BASE) + code[j] + np.uint64(1)
         last = np.full((length + 1, n), -1, np.int32)
         back = np.zeros((length + 1, n), np.int32)
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0.0
         for j in range(1, length + 1):
-            for i in range(max(0, j - self.m.longest), j):
-                piece = self._lookup(prefix[j] - prefix[i] * self.power[j - i])
-                ok = np.flatnonzero((piece >= 0) & (best[i] > -np.inf))
+            left = np.arange(np.searchsorted(-sizes, -j, "right"))
+            # in a BPE lattice one piece can end a prefix: what has it is done, and short pieces are the likeliest
+            for i in range(j - 1, max(0, j - self.m.longest) - 1, -1) if bpe else range(max(0, j - self.m.longest), j):
+                piece = self._lookup(prefix[j, left] - prefix[i, left] * self.power[j - i])
+                ok = np.flatnonzero((piece >= 0) & (best[i, left] > -np.inf))
                 if bpe and i and len(ok):
-                    ok = ok[self._follows(last[i, ok], piece[ok])]
-                score = best[i, ok] + (0.0 if bpe else self.scores[piece[ok]])
-                win = ok[score > best[j, ok]]
-                best[j, win] = best[i, win] + (0.0 if bpe else self.scores[piece[win]])
-                last[j, win], back[j, win] = piece[win], i
-        at = np.full(n, length)
-        steps = []
-        rows = np.arange(n)
+                    ok = ok[self._follows(last[i, left[ok]], piece[ok])]
+                at, piece = left[ok], piece[ok]
+                score = best[i, at] + (0.0 if bpe else self.scores[piece])
+                win = score > best[j, at]
+                best[j, at[win]], last[j, at[win]], back[j, at[win]] = score[win], piece[win], i
+                if bpe and len(ok):
+                    left = np.delete(left, ok)
+                    if not len(left):
+                        break
+        at, rows, steps = sizes, np.arange(n), []
         while at.any():
             steps.append(np.where(at > 0, last[at, rows], -1))
             at = np.where(at > 0, back[at, rows], 0)
         ids = np.array(steps[::-1]).T
-        for chunk, row in zip(chunks, ids, strict=True):
-            self.known[chunk] = row[row >= 0].astype(np.int32).tobytes()
+        self._keep(chunks, ids[ids >= 0], (ids >= 0).sum(1))
 
     def _learn(self, chunks: set[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        for chunk in chunks:
-            if len(chunk) <= MATRIX and self.m.alphabet.issuperset(chunk) and chunk.strip(SPACE):
-                by_length.setdefault(len(chunk), []).append(chunk)
+        short, m = [], self.m
+        for chunk in (c.replace(" ", SPACE) for c in chunks):
+            if len(chunk) <= MATRIX and m.alphabet.issuperset(chunk) and chunk.strip(SPACE):
+                short.append(chunk)
             else:
-                self.known[chunk] = self._streamed(chunk)
-        for length, group in by_length.items():
-            self._matrix(group, length)
-
-    def _streamed(self, chunk: str) -> bytes:
+                ids = self._streamed(chunk)
+                self._keep([chunk], np.array(ids, np.int64), [len(ids)])
+        short.sort(key=len, reverse=True)
+        for start in range(0, len(short), COLUMNS):
+            self._matrix(short[start : start + COLUMNS])
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, sizes: list[int] | np.ndarray) -> None:
+        """Remembers the ids of chunks, one after another, and which chunks decoding does not give back."""
+        ends, blob = np.cumsum([0, *sizes]).tolist(), ids.astype(np.int32).tobytes()
+        keys = [c.replace(SPACE, " ") for c in chunks]
+        self.known.update((k, blob[4 * i : 4 * j]) for k, i, j in zip(keys, ends, ends[1:], strict=False))
+        raw = [self.m.raw[i] for i in ids.tolist()]
+        if b"".join(raw) != "".join(keys).encode("utf-8"):
+            self.lossy.update(k for k, i, j in zip(keys, ends, ends[1:], strict=False) if b"".join(raw[i:j]) != k.encode("utf-8"))
+
+    def _streamed(self, chunk: str) -> list[int]:
         stream = Stream(self.m)
-        return np.array(stream.feed(chunk) + stream.end(), np.int32).tobytes()
+        return stream.feed(chunk) + stream.end()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split, new = [], set()
-        for text in texts:
-            norm = (SPACE if self.m.prefix else "") + text.replace(" ", SPACE) if text else ""
-            chunks = self.m.chunk.findall(norm)
-            split.append(chunks)
-            new.update(c for c in chunks if c not in self.known)
+    def _know(self, chunks: list[str]) -> None:
+        """Has the ids of chunks in known; of those before the last CHUNKS only what is asked for again is kept."""
+        new = set(chunks).difference(self.known)
         if len(self.known) + len(new) > CHUNKS:
-            self.known.clear()
-            new = {c for chunks in split for c in chunks}
-        self._learn(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32) for chunks in split]
+            self.before, self.known, new = self.known, {}, set(chunks)
+            self.lossy.intersection_update(self.before)
+        again = new.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in again)
+        self._learn(new - again)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Ids of each text in number, the ids of all in a row, and whether decoding them may not give the text back.
+
+        Chunks are cut and told apart in Arrow's buffers; Python sees each distinct one of the column once.
+        """
+        some = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
+        given = texts.filter(some)
+        sizes, doubtful = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        if not len(given):
+            return sizes, pa.array([], pa.int32()), doubtful
+        norm = pc.binary_join_element_wise(" " if self.m.prefix else "", pc.replace_substring(given, SPACE, " "), "")
+        bounds = np.frombuffer(norm.buffers()[1], np.int32)[norm.offset : norm.offset + len(norm) + 1]
+        data, begins = np.frombuffer(norm.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds[:-1] - bounds[0]
+        line, space = data == 10, data == 32
+        cut = line.copy()
+        cut[1:] |= line[:-1]
+        cut[begins] = True
+        if not self.m.inner:
+            cut[1:] |= space[1:] & ~space[:-1]
+        at = np.flatnonzero(cut)
+        chunks = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        self._know(distinct)
+        packed = [self.known[c] for c in distinct]
+        ends = np.cumsum([0, *map(len, packed)], dtype=np.int32) // 4
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))).take(chunks.indices).flatten()
+        of, first, rows = chunks.indices.to_numpy(), np.searchsorted(at, begins), np.flatnonzero(some.to_numpy(zero_copy_only=False))
+        sizes[rows] = np.add.reduceat(np.diff(ends).astype(np.int64)[of], first)
+        lossy = np.fromiter((c in self.lossy for c in distinct), bool, len(distinct))
+        doubtful[rows] = np.logical_or.reduceat(lossy[of], first) | pc.match_substring(given, SPACE).to_numpy(zero_copy_only=False)
+        return sizes, ids, doubtful
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        sizes, ids, _ = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids.to_numpy(), np.cumsum(sizes)[:-1])
 
 
 def decode(model: Model, ids: list[int]) -> str:
@@ -288,21 +339,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(Model(path))
 
 
-def encode(docs: DataFrame, path: str, batch: int = 512) -> DataFrame:
+def parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of texts of so many bytes together, a longer one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end - start
+        start = end
+
+
+def encode(docs: DataFrame, path: str, part: int = PART) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_ids, ids, round_trip): ids, and whether decoding them gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path)
         for b in batches:
-            for start in range(0, b.num_rows, batch):
-                part = b.slice(start, batch)
-                texts = part.column(1).to_pylist()
-                ids = one.encode(texts)
-                sizes = np.array([len(x) for x in ids], np.int64)
+            column = b.column(1).cast(pa.string())
+            for start, rows in parts(column, part):
+                texts = column.slice(start, rows)
+                sizes, ids, doubtful = one.encode_column(texts)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                same = [decode(one.m, x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                same = ~doubtful
+                for i in np.flatnonzero(doubtful):
+                    same[i] = decode(one.m, ids[offsets[i] : offsets[i + 1]].to_pylist()) == texts[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(same)],
+                    [b.column(0).slice(start, rows).cast(pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), ids), pa.array(same)],
                     names=["doc_id", "n_ids", "ids", "round_trip"],
                 )
 
