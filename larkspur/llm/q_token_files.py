@@ -37,6 +37,6 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = materialize(t.write(table(spark, sf_dir, "documents"), folder, encoder, "uint16", END), "names")
     files = names.groupBy("path").agg(F.max("size").alias("size"))
     blocks = t.blocks_of(spark, files, 2)
-    found = materialize(t.scanned(blocks.repartition("path", "block"), "uint16", END), "blocks")
+    found = materialize(t.scanned(t.dealt(blocks), "uint16", END), "blocks")
     discard_folder(spark, folder)
-    return names.join(t.counts(blocks, found), ["path", "doc"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    return names.join(t.counts(blocks, found).hint("merge"), ["path", "doc"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))

@@ -47,6 +47,11 @@ def scan_block(ids: np.ndarray, end: int) -> tuple[int, int, int, np.ndarray]:
     return len(at), int(at[0]), int(len(ids) - 1 - at[-1]), np.diff(at) - 1
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """blocks over all shuffle partitions: their rows are few and small, but each stands for a block to be read."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "block")
+
+
 def scanned(blocks: DataFrame, dtype: str, end: int) -> DataFrame:
     """blocks to (path, block, seps, head, tail, sizes)."""
     width = np.dtype(dtype).itemsize
@@ -100,11 +105,14 @@ def _stitched(summaries: DataFrame) -> DataFrame:
 
 
 def counts(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """scanned() blocks to (path, doc, n_tokens): doc numbers the documents of a file from 0. found is read twice."""
+    """scanned() blocks to (path, doc, n_tokens): doc numbers the documents of a file from 0. found is read twice.
+
+    Sizes are exploded after the join, and neither side is ever broadcast: files tell little of how many documents are in them.
+    """
     s = _stitched(found.select("path", "block", "seps", "head", "tail"))
     spanning = s.where("seps > 0").select("path", F.col("docs_before").alias("doc"), (F.col("carry") + F.col("head")).alias("n_tokens"))
-    inner = found.where("seps > 1").select("path", "block", F.posexplode("sizes").alias("k", "n_tokens")).join(s.select("path", "block", "docs_before"), ["path", "block"])
-    inner = inner.select("path", (F.col("docs_before") + 1 + F.col("k")).alias("doc"), "n_tokens")
+    inner = found.where("seps > 1").select("path", "block", "sizes").hint("merge").join(s.select("path", "block", "docs_before"), ["path", "block"])
+    inner = inner.select("path", "docs_before", F.posexplode("sizes").alias("k", "n_tokens")).select("path", (F.col("docs_before") + 1 + F.col("k")).alias("doc"), "n_tokens")
     last = s.groupBy("path").agg(F.max_by(F.struct((F.col("docs_before") + F.col("seps")).alias("doc"), F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("head")).alias("n_tokens")), "block").alias("e"))
     return spanning.union(inner).union(last.select("path", "e.doc", "e.n_tokens").where("n_tokens > 0"))
 
