@@ -228,22 +228,32 @@ def by_margin(rows: DataFrame, fixtures: DataFrame) -> DataFrame:
     return rows.join(best, "key", "left")
 
 
-def reassigned(rows: DataFrame) -> DataFrame:
-    """rows(key, home, away, kickoff, own_home, own_away, new_home, new_away, new_kickoff) with verdict keep, move or quarantine."""
+def reassigned_scores(rows: DataFrame, name: str = "s") -> DataFrame:
+    """rows(home, away, own_home, own_away, new_home, new_away) with how like its names are the owner's and the other game's: name(own, new)."""
     scores = F.struct(
         F.coalesce(pair_score(F.col("home"), F.col("away"), F.col("own_home"), F.col("own_away")), F.lit(0.0)).alias("own"),
         F.coalesce(pair_score(F.col("home"), F.col("away"), F.col("new_home"), F.col("new_away")), F.lit(0.0)).alias("new"),
     )
-    own, new = F.col("s.own"), F.col("s.new")
-    in_time = F.col("new_kickoff").isNotNull() & F.coalesce(F.abs(F.unix_micros("kickoff") - F.unix_micros("new_kickoff")) <= MOVE_HOURS * 3_600_000_000, F.lit(True))
-    unnamed = (F.coalesce("home", F.lit("")) == "") | (F.coalesce("away", F.lit("")) == "")
-    verdict = (
+    return by_names(rows, name, scores, ("home", "away", "own_home", "own_away", "new_home", "new_away"))
+
+
+def reassignment(home: Column, away: Column, kickoff: Column, new_kickoff: Column, own: Column, new: Column) -> Column:
+    """keep, move or quarantine."""
+    in_time = new_kickoff.isNotNull() & F.coalesce(F.abs(F.unix_micros(kickoff) - F.unix_micros(new_kickoff)) <= MOVE_HOURS * 3_600_000_000, F.lit(True))
+    unnamed = (F.coalesce(home, F.lit("")) == "") | (F.coalesce(away, F.lit("")) == "")
+    return (
         F.when(unnamed, "quarantine")
         .when((own >= MOVE_LEAST) & (own >= new + MOVE_MARGIN), "keep")
         .when((new >= MOVE_LEAST) & (new >= own + MOVE_MARGIN) & in_time, "move")
         .otherwise("quarantine")
     )
-    return by_names(rows, "s", scores, ("home", "away", "own_home", "own_away", "new_home", "new_away")).select(*rows.columns, verdict.alias("verdict"), own.alias("own_score"), new.alias("new_score"))
+
+
+def reassigned(rows: DataFrame) -> DataFrame:
+    """rows(key, home, away, kickoff, own_home, own_away, new_home, new_away, new_kickoff) with verdict keep, move or quarantine."""
+    own, new = F.col("s.own"), F.col("s.new")
+    verdict = reassignment(*[F.col(c) for c in ("home", "away", "kickoff", "new_kickoff")], own, new)
+    return reassigned_scores(rows).select(*rows.columns, verdict.alias("verdict"), own.alias("own_score"), new.alias("new_score"))
 
 
 def assigned_side(team: Column, home: Column, away: Column) -> Column:
